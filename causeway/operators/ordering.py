@@ -21,6 +21,7 @@ MAX_GROUP_ROWS_SETTING = "spark.causeway.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
 _PART = "__part"
+_WHOLE = "__whole"
 _checked = [False]
 
 
@@ -134,10 +135,14 @@ def running(
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Exclusive running sums and maxima per key; plain window unless a group is hot."""
+    """Exclusive running sums and maxima per key; plain window unless a group is hot.
+
+    Without keys the whole table is one group, measured like any other.
+    """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     if not keys:
-        return prefix_scan(df, keys, order, sums, maxes)
+        whole = df.withColumn(_WHOLE, F.lit(0))
+        return running(whole, [_WHOLE], order, sums, maxes).drop(_WHOLE)
     cold, hot = split_hot(df, keys)
     before = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -158,8 +163,8 @@ def row_rank(
 ) -> DataFrame:
     """1-based position of each row inside its group under a total ``order``."""
     if not keys:
-        scanned = prefix_scan(df, keys, order, sums={name: F.lit(1)})
-        return scanned.withColumn(name, F.col(name) + 1)
+        whole = df.withColumn(_WHOLE, F.lit(0))
+        return row_rank(whole, [_WHOLE], order, name).drop(_WHOLE)
     cold, hot = split_hot(df, keys)
     ranked = cold.withColumn(
         name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
@@ -243,6 +248,21 @@ def shifted(
     return df.join(earlier, condition, "left").drop("__s_pos", *[f"__s_{k}" for k in keys])
 
 
+def lagged(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], column: str, name: str
+) -> DataFrame:
+    """The value of ``column`` one row earlier in the same group."""
+    def plain(part: DataFrame) -> DataFrame:
+        return part.withColumn(
+            name, F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def split(part: DataFrame) -> DataFrame:
+        placed = prefix_scan(part, keys, order, sums={"__pos": F.lit(1)})
+        return shifted(placed, keys, "__pos", 1, {name: column}).drop("__pos")
+
+    return by_group_size(df, keys, plain, split)
+
+
 def by_group_size(
     df: DataFrame,
     keys: Sequence[str],
