@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,20 +25,27 @@ def identifier_tokens(text: Column) -> Column:
     )
 
 
+def bind(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` over a struct of ``values``, each evaluated once however often it is used."""
+    packed = F.array(F.struct(*[c.alias(n) for n, c in values.items()]))
+    return F.get(F.transform(packed, body), F.lit(0))
+
+
+def _set_similarity(left: Column, right: Column, score: Callable[[Column], Column]) -> Column:
+    return bind({"a": left, "b": right}, lambda v: F.when(
+        (F.size(v["a"]) > 0) & (F.size(v["b"]) > 0), score(v)).otherwise(F.lit(0.0)))
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Set similarity; 0 when either side is empty."""
-    both = F.size(F.array_intersect(left, right))
-    either = F.size(F.array_union(left, right))
-    return F.when((F.size(left) > 0) & (F.size(right) > 0), both / either).otherwise(F.lit(0.0))
+    return _set_similarity(left, right, lambda v: F.size(
+        F.array_intersect(v["a"], v["b"])) / F.size(F.array_union(v["a"], v["b"])))
 
 
 def dice(left: Column, right: Column) -> Column:
     """Sorensen-Dice similarity; 0 when either side is empty."""
-    both = F.size(F.array_intersect(left, right))
-    total = F.size(left) + F.size(right)
-    return F.when((F.size(left) > 0) & (F.size(right) > 0), 2.0 * both / total).otherwise(
-        F.lit(0.0)
-    )
+    return _set_similarity(left, right, lambda v: 2.0 * F.size(
+        F.array_intersect(v["a"], v["b"])) / (F.size(v["a"]) + F.size(v["b"])))
 
 
 def directories(path: Column) -> Column:
@@ -49,20 +56,18 @@ def directories(path: Column) -> Column:
 
 def path_overlap(left: Column, right: Column) -> Column:
     """Shared leading directories over the deeper depth; two rootless paths overlap fully."""
-    a, b = directories(left), directories(right)
-    deep, shallow = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
-    matches = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: p["a"] == p["b"])
-    # Index of the first mismatch (or of the first position past the shorter path).
-    first_gap = F.array_position(
-        F.transform(matches, lambda m: F.coalesce(m, F.lit(False))), F.lit(False)
-    )
-    shared = F.when(first_gap == 0, shallow).otherwise(first_gap - 1)
-    return (
-        F.when(left.isNull() | right.isNull(), F.lit(0.0))
-        .when(deep == 0, F.lit(1.0))
-        .when(shallow == 0, F.lit(0.0))
-        .otherwise(shared / deep)
-    )
+    def score(v: Column) -> Column:
+        deep = F.greatest(F.size(v["a"]), F.size(v["b"]))
+        shallow = F.least(F.size(v["a"]), F.size(v["b"]))
+        same = F.transform(F.arrays_zip(v["a"].alias("a"), v["b"].alias("b")),
+                           lambda p: F.coalesce(p["0"] == p["1"], F.lit(False)))
+        gap = F.array_position(same, F.lit(False))  # 0 when every directory matches
+        shared = F.when(gap == 0, shallow).otherwise(gap - 1)
+        return (F.when(deep == 0, F.lit(1.0)).when(shallow == 0, F.lit(0.0))
+                .otherwise(shared / deep))
+
+    overlap = bind({"a": directories(left), "b": directories(right)}, score)
+    return F.when(left.isNull() | right.isNull(), F.lit(0.0)).otherwise(overlap)
 
 
 def module_of(path: Column) -> Column:
@@ -103,26 +108,39 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return found
 
 
-def canonical_key(test_id: Column) -> Column:
-    """``path|name``: path without ``.py``, last segment without its parameter suffix."""
-    parts = F.split(test_id, "::")
-    path = F.regexp_replace(F.regexp_replace(F.element_at(parts, 1), r"\\", "/"), r"\.py$", "")
-    bare = F.regexp_replace(F.element_at(parts, -1), r"\[.*$", "")
-    return F.when(F.size(parts) > 1, F.concat_ws("|", path, bare)).otherwise(
-        F.concat(path, F.lit("|"))
-    )
+def canonical_key(test_id: Column) -> tuple[Column, Column]:
+    """(module path without ``.py``, bare name): equal keys mean the same test.
+
+    The class segment and the parameter suffix do not take part; a file-only id has an empty
+    name.
+    """
+    ident = F.regexp_replace(F.trim(test_id), r"\\", "/")
+    parts = F.split(ident, "::")
+    head = F.regexp_replace(F.element_at(parts, 1), r"\.py$", "")
+    last = F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(F.lit(""))
+    return head, F.regexp_replace(last, r"(?s)\[.*$", "")
 
 
 def normalize_test_id(
     framework: Column, path: Column, test_class: Column, function: Column
 ) -> Column:
-    """``framework::path[::class]::function`` with forward slashes and trimmed parts."""
+    """``framework::path[::class]::function`` with forward slashes; empty parts are left out."""
+    tidy_path = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"\s+", "")
+    parts = [F.trim(framework), tidy_path, F.trim(test_class), F.trim(function)]
+    return F.concat_ws("::", *[F.when(part != "", part) for part in parts])
 
-    def tidy(part: Column) -> Column:
-        return F.trim(F.regexp_replace(part, r"\s+", " "))
 
-    class_part = F.when(F.trim(F.coalesce(test_class, F.lit(""))) != "", tidy(test_class))
-    return F.concat_ws(
-        "::", F.lower(tidy(framework)), F.regexp_replace(tidy(path), r"\\", "/"),
-        class_part, tidy(function),
-    )
+# Every line break a text may carry, as a class (after the two-character one).
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def lines(text: Column) -> Column:
+    """Lines of a text; a final line break does not open another line."""
+    body = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.split(body, LINE_BREAK))
+
+
+def count_pattern(text: Column, pattern: str) -> Column:
+    """Number of non-overlapping matches."""
+    return F.regexp_count(text, F.lit(pattern))
