@@ -60,7 +60,7 @@ def path_overlap(left: Column, right: Column) -> Column:
         deep = F.greatest(F.size(v["a"]), F.size(v["b"]))
         shallow = F.least(F.size(v["a"]), F.size(v["b"]))
         same = F.transform(F.arrays_zip(v["a"].alias("a"), v["b"].alias("b")),
-                           lambda p: F.coalesce(p["0"] == p["1"], F.lit(False)))
+                           lambda p: F.coalesce(p["a"] == p["b"], F.lit(False)))
         gap = F.array_position(same, F.lit(False))  # 0 when every directory matches
         shared = F.when(gap == 0, shallow).otherwise(gap - 1)
         return (F.when(deep == 0, F.lit(1.0)).when(shallow == 0, F.lit(0.0))

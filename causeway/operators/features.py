@@ -120,20 +120,23 @@ def cross_features(
 ) -> DataFrame:
     """Change-by-test similarity, module and dependency distance, and causal co-change rate."""
     left, right = F.coalesce(F.col(changed), F.lit("")), F.coalesce(F.col(test_path), F.lit(""))
-    overlap = text.path_overlap(left, right)
+    # Tokens and overlap are used more than once, so they are columns of their own first.
+    prepared = df.withColumns({
+        "__changed": text.identifier_tokens(left), "__test": text.identifier_tokens(right),
+        "__function": text.identifier_tokens(F.col(function)),
+        "path_overlap": text.path_overlap(left, right),
+    })
     if depth is None:
-        distance = 1 - overlap
+        distance = 1 - F.col("path_overlap")
     else:
         near = F.col(reachable).cast("boolean") if reachable else F.col(depth) > 0
         distance = F.coalesce(F.when(near, F.col(depth).cast("double")), F.lit(99.0))
-    tokens = text.identifier_tokens
-    rows = df.withColumns({
-        "file_test_similarity": text.dice(tokens(left), tokens(right)),
-        "lexical_similarity": text.jaccard(tokens(left), tokens(F.col(function))),
-        "path_overlap": overlap,
+    rows = prepared.withColumns({
+        "file_test_similarity": text.dice(F.col("__changed"), F.col("__test")),
+        "lexical_similarity": text.jaccard(F.col("__changed"), F.col("__function")),
         "same_module": (text.module_of(left) == text.module_of(right)).cast("int"),
         "dependency_distance": distance,
-    })
+    }).drop("__changed", "__test", "__function")
     return history.co_change_rate(rows, changed, test_path, ts, ties, label)
 
 

@@ -45,7 +45,9 @@ def distances_to(edges: DataFrame, targets: DataFrame, max_depth: int | None = N
     edges and one anti-join against what is known; the known set is checkpointed per level so
     that the lineage stays short and a lost executor costs a re-read.
     """
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("__next")).distinct()
+    # Read once per level, so the distinct edges are worked out only once.
+    back = materialise(
+        edges.select(F.col("dst").alias("node"), F.col("src").alias("__next")).distinct())
     known = materialise(targets.select("target").distinct().select(
         "target", F.col("target").alias("node"), F.lit(0).alias("depth")))
     frontier, depth = known, 0

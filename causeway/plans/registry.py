@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import ENTRIES, Tables, present
 
-_SECTIONS = ("history", "metric", "decision", "feature", "quality", "join")
+_SECTIONS = ("history", "metric", "decision", "feature", "quality", "join", "source")
 
 
 def _load() -> None:
