@@ -205,9 +205,10 @@ def quantiles(
     is ever held in one aggregation buffer.
     """
     present = df.filter(F.col(value).isNotNull())
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    # Read for sizes, for running totals and for the picks, so worked out once.
+    counts = materialise(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
     placed = running(counts, keys, [F.col(value).asc()], sums={"__below": F.col("__c")})
-    sized = _with_size(placed, keys)
+    sized = _with_size(placed, counts, keys)
     picks = []
     for name, level in levels.items():
         position = F.lit(float(level)) * (F.col("__size") - 1)
@@ -223,11 +224,15 @@ def quantiles(
     return picked.select(*keys, *outputs)
 
 
-def _with_size(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    if keys:
-        return with_totals(placed, keys, __size=F.sum("__c"))
-    total = placed.agg(F.sum("__c").alias("__size"))
-    return placed.crossJoin(F.broadcast(total))  # one row
+def _with_size(placed: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__size"))
+    if not keys:
+        return placed.join(F.broadcast(sizes))  # one row
+    renamed = sizes.withColumnsRenamed({k: f"__t_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & placed[k].eqNullSafe(renamed[f"__t_{k}"])
+    return placed.join(renamed, condition).drop(*[f"__t_{k}" for k in keys])
 
 
 def shifted(

@@ -212,15 +212,14 @@ def failure_context(df: DataFrame, text: str, k: int = 3, tail: int = 80) -> Dat
     last = F.size("__lines") - 1
     around = F.array_sort(F.array_distinct(F.flatten(F.transform(
         "__hits", lambda h: F.sequence(F.greatest(h - k, F.lit(0)), F.least(h + k, last))))))
-    kept = F.transform("__around", lambda i: F.element_at("__lines", i + 1))
+    kept = F.transform(around, lambda i: F.element_at("__lines", i + 1))
     ending = F.slice("__lines", F.greatest(F.size("__lines") - tail + 1, F.lit(1)), tail)
-    return (
-        df.withColumn("__lines", lines).withColumn("__hits", hits)
-        .withColumn("__around", around)
-        .withColumn("context", F.array_join(
-            F.when(F.size("__hits") > 0, kept).otherwise(ending), "\n"))
-        .withColumn("n_error_lines", F.size("__hits"))
-        .drop("__lines", "__hits", "__around"))
+    found = F.struct(
+        F.array_join(F.when(F.size("__hits") > 0, kept).otherwise(ending), "\n").alias("context"),
+        F.size("__hits").alias("n_error_lines"))
+    # Generated, not projected: a later filter on the context must not work it out again.
+    return df.withColumn("__lines", lines).withColumn("__hits", hits).select(
+        *df.columns, F.inline(F.array(found)))
 
 
 def assemble_evidence(

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import ENTRIES, Tables, present
 
-_SECTIONS = ("history", "metric", "decision", "feature", "quality", "join", "source")
+_SECTIONS = (
+    "history", "metric", "decision", "feature", "quality", "join", "source", "statistics",
+)
 
 
 def _load() -> None:
