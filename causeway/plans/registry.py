@@ -11,6 +11,7 @@ from .catalog import ENTRIES, Tables, present
 
 _SECTIONS = (
     "history", "metric", "decision", "feature", "quality", "join", "source", "statistics",
+    "model", "stream",
 )
 
 
