@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.numbers import clock_features, ratio
-from . import history, ordering
+from . import history
 
 
 def _flag(condition: Column) -> Column:
@@ -26,12 +26,15 @@ def change_features(
     path.
     """
     cleaned = df.withColumn("__path", F.coalesce(F.col(path), F.lit("")))
-    extension = F.lower(F.regexp_extract("__path", r"(?s)([^.]*)$", 1))
-    counted = ordering.with_totals(
-        cleaned, [commit],
-        files_changed=F.count_distinct(F.col("__path")),
-        authors_count=F.count_distinct(F.col(author)),
-        num_file_extensions=F.count_distinct(extension))
+    extension = F.lower(F.substring_index("__path", ".", -1))
+    # An observation table repeats a commit's files and author on every test row; they are
+    # reduced map-side before anything is counted.
+    seen = cleaned.select(commit, "__path", author).distinct()
+    totals = seen.groupBy(commit).agg(
+        F.count_distinct("__path").alias("files_changed"),
+        F.count_distinct(author).alias("authors_count"),
+        F.count_distinct(extension).alias("num_file_extensions"))
+    counted = cleaned.join(totals, commit)
     about_tests = F.contains(F.lower("__path"), F.lit("test"))
     return counted.withColumns({
         "lines_added": F.col(added).cast("double"),
@@ -119,25 +122,30 @@ def cross_features(
     label: str, depth: str | None = None, reachable: str | None = None,
 ) -> DataFrame:
     """Change-by-test similarity, module and dependency distance, and causal co-change rate."""
-    left, right = F.coalesce(F.col(changed), F.lit("")), F.coalesce(F.col(test_path), F.lit(""))
-    # Tokens and overlap are used more than once, so they are columns of their own first.
-    prepared = df.withColumns({
-        "__changed": text.identifier_tokens(left), "__test": text.identifier_tokens(right),
-        "__function": text.identifier_tokens(F.col(function)),
+    rows = df.withColumns({
+        changed: F.coalesce(F.col(changed), F.lit("")),
+        test_path: F.coalesce(F.col(test_path), F.lit(""))})
+    # Path features once per distinct pair.  The join and the co-change window use the same
+    # keys, so the observation rows are shuffled once for both.
+    left, right = F.col(changed), F.col(test_path)
+    tokens = text.identifier_tokens
+    pairs = rows.select(changed, test_path).distinct().withColumns({
+        "__changed": tokens(left), "__test": tokens(right),
         "path_overlap": text.path_overlap(left, right),
+        "same_module": (text.module_of(left) == text.module_of(right)).cast("int"),
     })
+    pairs = pairs.withColumn(
+        "file_test_similarity", text.dice(F.col("__changed"), F.col("__test"))).drop("__test")
     if depth is None:
         distance = 1 - F.col("path_overlap")
     else:
         near = F.col(reachable).cast("boolean") if reachable else F.col(depth) > 0
         distance = F.coalesce(F.when(near, F.col(depth).cast("double")), F.lit(99.0))
-    rows = prepared.withColumns({
-        "file_test_similarity": text.dice(F.col("__changed"), F.col("__test")),
-        "lexical_similarity": text.jaccard(F.col("__changed"), F.col("__function")),
-        "same_module": (text.module_of(left) == text.module_of(right)).cast("int"),
+    joined = rows.join(pairs, [changed, test_path]).withColumns({
+        "lexical_similarity": text.jaccard(F.col("__changed"), tokens(F.col(function))),
         "dependency_distance": distance,
-    }).drop("__changed", "__test", "__function")
-    return history.co_change_rate(rows, changed, test_path, ts, ties, label)
+    }).drop("__changed")
+    return history.co_change_rate(joined, changed, test_path, ts, ties, label)
 
 
 # Keyword lists of the message features.

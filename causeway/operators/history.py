@@ -220,7 +220,13 @@ def causal_history(
         with ordering.assume_ordinary_groups():
             return all_features(part)
 
-    return ordering.by_group_size(df, keys, plain, all_features)
+    def split(part: DataFrame) -> DataFrame:
+        return all_features(part).select(*plain_columns)
+
+    cold, hot = ordering.split_hot(df, keys)
+    result = plain(cold)
+    plain_columns = result.columns
+    return result if hot is None else result.unionByName(split(hot))
 
 
 def co_change_rate(
@@ -310,15 +316,18 @@ def history_asof(
     )
 
 
-def prior_modifications(
-    touches: DataFrame, commit: str, path: str, time: str, ties: Sequence[str]
-) -> DataFrame:
-    """Per commit: earlier touches of any file in its own diff, strictly by time."""
-    probes = touches.select(commit, path, time).distinct()
-    answered, _ = strictly_before(
-        touches, probes, [path], time, ties, [commit], sums={}
-    )
-    return answered.groupBy(commit).agg(F.sum("__pos").alias("prior_mod_count"))
+def prior_modifications(touches: DataFrame, commit: str, path: str, time: str) -> DataFrame:
+    """Per commit: earlier touches of any file in its own diff, strictly by time.
+
+    Touches are counted per (file, time) first, so the running total is over distinct times
+    and not over touches.
+    """
+    moments = touches.groupBy(path, time).agg(F.count(F.lit(1)).alias("__n"))
+    before = ordering.running(moments, [path], [F.col(time).asc()],
+                              sums={"__before": F.col("__n")})
+    own = touches.select(commit, path, time).distinct()
+    return own.join(before.drop("__n"), [path, time]).groupBy(commit).agg(
+        F.sum("__before").alias("prior_mod_count"))
 
 
 def group_causal_history(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import micros
-from ..operators import history, ordering, selection
+from ..operators import history, selection
 from .catalog import Tables, query, r, sql
 
 _KEY, _TIES = ["test_id"], ["event_id"]
@@ -190,8 +190,7 @@ def _(t: Tables):
     touches = t.changed_files.join(t.commits.select(F.col("sha").alias("commit_sha"), "ts"),
                                    "commit_sha")
     return history.prior_modifications(
-        touches.select("commit_sha", "path", micros("ts").alias("at"), "l_linenumber", "l_suppkey"),
-        "commit_sha", "path", "at", ["commit_sha", "l_linenumber", "l_suppkey"])
+        touches.select("commit_sha", "path", micros("ts").alias("at")), "commit_sha", "path", "at")
 
 
 @query("history_top_quarter", "F1 F13 E7 E8", sql(f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import conformal, metrics, models, selection
 from ..operators.models import ModelConfig
+from ..session import materialise
 from .catalog import Tables, query, r
 
 # A label that depends on two of the features, so that a model has something to find.
@@ -153,7 +154,8 @@ def _artifacts(t: Tables):
     prep = models.fit_preprocessor(train, _FEATURES, ["flag"])
     model = models.fit_risk_model(prep.transform(train, ["label"]), None, prep.names, "label",
                                   ModelConfig(trees=3, depth=3))
-    held = model.score(prep.transform(raw.filter("l_suppkey % 10 = 6"), ["label"]))
+    held = materialise(model.score(prep.transform(raw.filter("l_suppkey % 10 = 6"), ["label"])).select(
+        "label", "raw_score"))
     platt = models.fit_platt(held, "label", "raw_score")
     rule = conformal.conformal_threshold(
         held.withColumn("p", platt.apply(F.col("raw_score"))), "label", "p")
