@@ -348,4 +348,11 @@ def headline(
         .otherwise(F.concat(F.lit("p95 "), one(F.col("p95"), 4), F.lit(" over "),
                             F.col("n").cast("string"), F.lit(" samples"))).alias("note"))
     rows = recall.unionByName(time).unionByName(calibration).unionByName(spread)
-    return rows.withColumn("measured", F.col("value").isNotNull())
+    # An absent report still has its line, marked as not measured.
+    page = strategies.sparkSession.createDataFrame(
+        [(1, "Failure Recall"), (2, "Test Time Reduction"), (3, "Expected Calibration Error"),
+         (4, "Epistemic Disagreement")], "position int, metric string")
+    return page.join(rows.drop("metric"), "position", "left").withColumns({
+        "note": F.coalesce("note", F.lit("not measured")),
+        "measured": F.col("value").isNotNull(),
+    })

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,17 +23,17 @@ DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
 _PART = "__part"
 _WHOLE = "__whole"
-_checked = [False]
+_measured: ContextVar[bool] = ContextVar("measured", default=False)
 
 
 @contextmanager
 def assume_ordinary_groups() -> Iterator[None]:
     """Skip the size check inside the block, for rows whose groups were measured already."""
-    outer, _checked[0] = _checked[0], True
+    token = _measured.set(True)
     try:
         yield
     finally:
-        _checked[0] = outer
+        _measured.reset(token)
 
 
 def max_group_rows(df: DataFrame) -> int:
@@ -50,7 +51,7 @@ def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame
     The list of hot keys has at most ``rows / limit`` entries, which is what makes
     broadcasting it safe.
     """
-    if _checked[0]:
+    if _measured.get():
         return df, None
     limit = max_group_rows(df)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
 # Settings every job relies on; all of them can be changed on a running session.
 _SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,7 +21,16 @@ _SQL_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings the operators assume to an existing session."""
+    """Apply the settings the operators assume to an existing session.
+
+    Functions that run in Python workers are sent by value, so executors need no installed
+    copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get(_PARTITIONS, None) in (None, "200"):
+        # The cluster default is far too fine for one machine; a cluster keeps its own setting.
+        spark.conf.set(_PARTITIONS, str(context.defaultParallelism))
     for name, value in _SQL_SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)

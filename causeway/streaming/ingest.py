@@ -84,7 +84,9 @@ class ContinualLearner:
     """Scores each micro-batch, watches its error, keeps a replay table and refits on an alarm.
 
     ``foreachBatch`` hands micro-batches over one at a time; rows stay in Spark tables and only
-    the per-commit errors of a micro-batch (one number per commit) reach the detector.
+    the per-commit errors of a micro-batch (one number per commit) reach the detector.  The model
+    is refitted between micro-batches, so one commit per micro-batch gives the commit-by-commit
+    behaviour.
     """
 
     def __init__(
