@@ -216,17 +216,13 @@ def causal_history(
         part = runs_since_last_failure(part, keys, ts, ties, label)
         return flip_rate(part, keys, ts, ties, label, k)
 
-    def plain(part: DataFrame) -> DataFrame:
-        with ordering.assume_ordinary_groups():
+    def sized(size: str, part: DataFrame) -> DataFrame:
+        with ordering.known_groups(size):
             return all_features(part)
 
-    def split(part: DataFrame) -> DataFrame:
-        return all_features(part).select(*plain_columns)
-
     cold, hot = ordering.split_hot(df, keys)
-    result = plain(cold)
-    plain_columns = result.columns
-    return result if hot is None else result.unionByName(split(hot))
+    result = sized("ordinary", cold)
+    return result if hot is None else result.unionByName(sized("hot", hot))
 
 
 def co_change_rate(

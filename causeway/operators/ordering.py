@@ -23,17 +23,18 @@ DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
 _PART = "__part"
 _WHOLE = "__whole"
-_measured: ContextVar[bool] = ContextVar("measured", default=False)
+# What is already known about the groups of the rows at hand: "ordinary", "hot" or nothing.
+_known: ContextVar[str] = ContextVar("known_group_size", default="")
 
 
 @contextmanager
-def assume_ordinary_groups() -> Iterator[None]:
+def known_groups(size: str) -> Iterator[None]:
     """Skip the size check inside the block, for rows whose groups were measured already."""
-    token = _measured.set(True)
+    token = _known.set(size)
     try:
         yield
     finally:
-        _measured.reset(token)
+        _known.reset(token)
 
 
 def max_group_rows(df: DataFrame) -> int:
@@ -51,7 +52,7 @@ def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame
     The list of hot keys has at most ``rows / limit`` entries, which is what makes
     broadcasting it safe.
     """
-    if _measured.get():
+    if _known.get() == "ordinary":
         return df, None
     limit = max_group_rows(df)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
@@ -144,6 +145,8 @@ def running(
     if not keys:
         whole = df.withColumn(_WHOLE, F.lit(0))
         return running(whole, [_WHOLE], order, sums, maxes).drop(_WHOLE)
+    if _known.get() == "hot":
+        return prefix_scan(df, keys, order, sums, maxes)
     cold, hot = split_hot(df, keys)
     before = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -166,6 +169,9 @@ def row_rank(
     if not keys:
         whole = df.withColumn(_WHOLE, F.lit(0))
         return row_rank(whole, [_WHOLE], order, name).drop(_WHOLE)
+    if _known.get() == "hot":
+        scanned = prefix_scan(df, keys, order, sums={name: F.lit(1)})
+        return scanned.withColumn(name, F.col(name) + 1)
     cold, hot = split_hot(df, keys)
     ranked = cold.withColumn(
         name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
@@ -176,13 +182,6 @@ def row_rank(
     return ranked.unionByName(scanned.withColumn(name, F.col(name) + 1))
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """The row with the greatest ``order`` per key, as a map-side combinable aggregate."""
-    payload = F.struct(*[F.col(c) for c in df.columns])
-    best = df.groupBy(*keys).agg(F.max_by(payload, order).alias("__best"))
-    return best.select(*[F.col("__best")[c].alias(c) for c in df.columns])
-
-
 def with_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
     """Attach per-group aggregates.
 
@@ -276,6 +275,8 @@ def by_group_size(
     split: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Run ``plain`` on ordinary groups and ``split`` on hot ones, and union the results."""
+    if _known.get() == "hot":
+        return split(df)
     cold, hot = split_hot(df, keys)
     result = plain(cold)
     return result if hot is None else result.unionByName(split(hot))

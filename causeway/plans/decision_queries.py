@@ -13,12 +13,6 @@ _IDENTITY = ["test_id", *_TIES]
 _ORDER = "p DESC, test_id, l_orderkey, l_linenumber"
 
 
-@query("conformal_ranks", "J1")
-def _(t: Tables):
-    sizes = t.scored.filter("label = 1").groupBy("commit_sha").agg(F.count(F.lit(1)).alias("n"))
-    return conformal.conformal_ranks(sizes, "n", 0.95, 0.90)
-
-
 _POSITIVES = """
     WITH s AS (SELECT repo, 1 - p AS s FROM scored WHERE label = 1),
     z AS (SELECT repo, s, row_number() OVER (PARTITION BY repo ORDER BY s) AS rk,
@@ -52,6 +46,22 @@ _PAC = """
     k AS (SELECT d.n, min(CASE WHEN tail <= 0.1 THEN i END) AS k FROM d JOIN t ON d.n = t.n GROUP BY d.n)"""
 
 
+@query("conformal_ranks", "J1", sql(_PAC.replace("0.8::DOUBLE", "0.95::DOUBLE").replace(
+    "0.2::DOUBLE", "0.05::DOUBLE") + """
+    SELECT m.commit_sha, m.n, least(CAST(ceil((m.n + 1) * (1 - (1 - 0.95::DOUBLE))) AS BIGINT), m.n)
+           AS marginal_rank, k.k AS pac_rank FROM m JOIN k ON m.n = k.n""", "scored"))
+def _(t: Tables):
+    sizes = t.scored.filter("label = 1").groupBy("commit_sha").agg(F.count(F.lit(1)).alias("n"))
+    return conformal.conformal_ranks(sizes, "n", 0.95, 0.90).drop("certified_coverage")
+
+
+@query("certified_coverage", "J1")
+def _(t: Tables):
+    sizes = t.scored.filter("label = 1").groupBy("commit_sha").agg(F.count(F.lit(1)).alias("n"))
+    return conformal.conformal_ranks(sizes, "n", 0.95, 0.90).select(
+        "commit_sha", "certified_coverage")
+
+
 @query("conformal_threshold_pac", "J1 J2", sql(f"""{_PAC}
     SELECT m.commit_sha, m.n, k.k AS pac_rank, {r('z.s')} AS pac_threshold,
            CASE WHEN k.k IS NULL THEN 'marginal' ELSE 'pac' END AS guarantee,

@@ -109,7 +109,7 @@ def _(t: Tables):
     return bad.select("id", "contamination")
 
 
-@query("guard_columns", "B8")
+@query("guard_columns", "B8", sql("SELECT repo, count(*) AS n FROM scored GROUP BY repo", "scored"))
 def _(t: Tables):
     guarded = quality.guard_columns(t.scored, ["commit_sha", "test_id", "p"], ["label_failed"])
     return guarded.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))

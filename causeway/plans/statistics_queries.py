@@ -60,7 +60,15 @@ def _(t: Tables):
     return out.select("repo", "l_orderkey", "split").distinct()
 
 
-@query("balanced_cluster_halves", "F12")
+@query("balanced_cluster_halves", "F12", sql("""
+    WITH RECURSIVE c AS (SELECT commit_sha, min(l_orderkey) AS f, count(*) AS n FROM scored GROUP BY 1),
+    k AS (SELECT *, row_number() OVER (ORDER BY f, commit_sha) AS rk, count(*) OVER () AS kk,
+          sum(n) OVER () * 0.5 AS target FROM c),
+    w AS (SELECT rk, commit_sha, n, n AS assigned, true AS fit FROM k WHERE rk = 1
+          UNION ALL SELECT k.rk, k.commit_sha, k.n, CASE WHEN k.rk < kk AND w.assigned + k.n / 2.0 <= target
+          THEN w.assigned + k.n ELSE w.assigned END, k.rk < kk AND w.assigned + k.n / 2.0 <= target
+          FROM w JOIN k ON k.rk = w.rk + 1)
+    SELECT commit_sha, CAST(fit AS BIGINT) AS fit, n FROM w""", "scored"))
 def _(t: Tables):
     out = split.balanced_cluster_halves(t.scored, "commit_sha", F.col("l_orderkey"))
     return out.groupBy("commit_sha", "fit").agg(F.count(F.lit(1)).alias("n"))

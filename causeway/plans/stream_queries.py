@@ -28,13 +28,32 @@ def _(t: Tables):
     return _errors(t).select("repo", "day", "error")
 
 
-@query("page_hinkley", "M1")
+# The recurrence row by row, as a recursive query over the ordered errors.
+_RECURRENCE = """
+    WITH RECURSIVE e AS (SELECT repo, CAST(CAST(ts AS DATE) AS STRING) AS day, epoch_us(min(ts)) AS first_at,
+        avg(abs(label - CASE WHEN ts > TIMESTAMP '1999-01-01' THEN 1 - p ELSE p * 0.3 END)) AS error
+        FROM scored GROUP BY 1, 2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY first_at, day) AS pos FROM e),
+    s AS (SELECT DISTINCT repo, CAST(0 AS BIGINT) AS pos, 0::DOUBLE AS mean, 0::DOUBLE AS total, 0::DOUBLE AS low,
+          0 AS samples, 0::DOUBLE AS stat, '' AS day, CAST(0 AS BIGINT) AS first_at FROM e
+      UNION ALL SELECT repo, pos, m, CASE WHEN st > 1 THEN 0 ELSE t2 END, CASE WHEN st > 1 THEN 0 ELSE l2 END,
+          CASE WHEN st > 1 THEN 0 ELSE samples + 1 END, st, day, first_at FROM (
+          SELECT *, t2 - l2 AS st FROM (SELECT *, least(low, t2) AS l2 FROM (
+          SELECT *, total + (error - m - 0.005::DOUBLE) AS t2 FROM (
+          SELECT o.repo, o.pos, o.day, o.first_at, o.error, s.low, s.total, s.samples, CASE WHEN s.samples = 0
+              THEN o.error ELSE 0.99::DOUBLE * s.mean + (1.0::DOUBLE - 0.99::DOUBLE) * o.error END AS m
+          FROM s JOIN o ON o.repo = s.repo AND o.pos = s.pos + 1) a) b) c) d)"""
+
+
+@query("page_hinkley", "M1", sql(_RECURRENCE + f"""
+    SELECT repo, day, {r('stat')} AS statistic FROM s WHERE stat > 1""", "scored"))
 def _(t: Tables):
     out = drift.page_hinkley(_errors(t), ["repo"], ["at", "day"], "error", threshold=1.0)
     return out.filter("alarm = 1").select("repo", "day", "statistic")
 
 
-@query("page_hinkley_stream", "M1")
+@query("page_hinkley_stream", "M1", sql(_RECURRENCE + f"""
+    SELECT repo, first_at AS "at", {r('stat')} AS statistic FROM s WHERE stat > 1""", "scored"))
 def _(t: Tables):
     folder = scratch_folder(t.spark)
     errors = _errors(t).select("repo", "at", "error")
