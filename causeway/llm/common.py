@@ -160,3 +160,20 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
          for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
+
+
+#: Columns that identify a row by its id and text; rows equal in both share them.
+ROW = ("r1", "r2")
+
+
+def with_row(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Columns r1, r2 (a 128-bit identity, never null), ``key`` as key, ``text`` as text."""
+    named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    return named.select(
+        F.xxhash64("key", "text").alias("r1"),
+        F.xxhash64(F.lit("row"), "text", F.lit(7), "key").alias("r2"), "key", "text")
+
+
+def unsigned(values: np.ndarray) -> pa.Array:
+    """64-bit hashes as signed integers, as Spark keeps them."""
+    return pa.array(values.view(np.int64))

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, oracles, packing, quality_rules, secret_scan
+from . import (
+    byte_bpe, chat_format, line_dedup, oracles, packing, quality_rules, secret_scan, substring_dedup,
+)
 from .common import table
 
 
@@ -21,6 +23,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(turns.unionByName(tricky)))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
@@ -39,6 +46,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.PATTERN)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("secrets.base", lambda k, n=n: k == n)).cast("long").alias(f"n_{kind}")
@@ -49,7 +61,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_chat_formatting, op3_packing, op5_quality_rules, op6_byte_bpe, op8_secret_scan)}
+        op1_chat_formatting, op2_substring_dedup, op3_packing, op5_quality_rules, op6_byte_bpe,
+        op7_line_dedup, op8_secret_scan)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
