@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import configure, scratch_folder
 
 #: Bytes of an Arrow batch that one Python worker holds at a time; a longer row makes its own batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

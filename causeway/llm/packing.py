@@ -8,8 +8,10 @@ window. A window that spans two partitions simply has pieces (boundary records)
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,7 +26,7 @@ from .common import prepare, store
 WINDOW = 2048
 END_ID = 1
 #: Distinct words whose ids a task remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 class WordEncoder:
@@ -36,25 +38,60 @@ class WordEncoder:
     """
 
     def __init__(self, definition: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.words = re.compile(r"[^ \t\n\r\x0b\x0c]+")
         self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-        self.memory: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {"": ()}
+        self.tail = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces: dict[str, int] = {"": 0}
+        self.memory: dict[str, int] = {}
+        self.flat = array("I")  # ids of all pieces and words, one after another
+        self.ends = array("q", [0, 0])  # entry c lies from ends[c] to ends[c + 1]
 
     def _learn(self, words: list[str]) -> None:
         parts = []
         for word in words:
             found = self.simple.fullmatch(word)
             parts.append((found[1].lower(), found[2]) if found else (word, ""))
-        fresh = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in self.pieces]
-        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.pieces.update((p, tuple(e.ids)) for p, e in zip(fresh, coded))
+        # What fits neither pattern, such as digits or an apostrophe, is encoded by itself.
+        pieces, flat, ends = self.pieces, self.flat, self.ends
+        fresh = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in pieces]
+        single = [p for p in fresh if (p.isalpha() and self.simple.fullmatch(p)) or self.tail.fullmatch(p)]
+        for at in range(0, len(single), 2000):
+            group = single[at: at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(
+                [" ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
+            # Each piece is one pre-token, so it ends with the one id that closes a word.
+            last = np.flatnonzero(self.closing[ids]) + 1
+            if len(last) != len(group):
+                raise ValueError("the vocabulary does not mark word ends")
+            pieces.update(zip(group, range(len(ends) - 1, len(ends) - 1 + len(group))))
+            ends.extend((last + len(flat)).tolist())
+            flat.frombytes(ids.tobytes())
+        done = set(single)
+        rest = [p for p in fresh if p not in done]
+        for piece, coded in zip(rest, self.tokenizer.encode_batch_fast(
+                rest, add_special_tokens=False)):
+            pieces[piece] = len(ends) - 1
+            flat.extend(coded.ids)
+            ends.append(len(flat))
         for word, (core, tail) in zip(words, parts):
-            self.memory[word] = self.pieces[core] + self.pieces[tail]
+            if not tail:
+                self.memory[word] = pieces[core]
+                continue
+            self.memory[word] = len(ends) - 1
+            for c in (pieces[core], pieces[tail]):
+                flat.extend(flat[ends[c]: ends[c + 1]])
+            ends.append(len(flat))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by ``end_id``, and the n + 1 places where texts begin."""
@@ -68,16 +105,16 @@ class WordEncoder:
             cuts.append(len(words))
         code, distinct = pd.factorize(np.array(words, object))
         if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-            self.pieces = {"": ()}
+            self._forget()
         memory = self.memory
         self._learn([w for w in distinct if w not in memory])
-        found = [memory[w] for w in distinct]
-        found.append((end_id,))
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
+        entry = np.fromiter(map(memory.__getitem__, distinct), np.int64, len(distinct))
+        ends = np.array(self.ends)
+        length = np.append(ends[entry + 1] - ends[entry], 1)
+        starts = np.append(ends[entry], ends[-1])
+        flat = np.append(np.array(self.flat, np.uint32), np.uint32(end_id))
         code = np.insert(code, cuts[1:], len(distinct))
-        ids, places = gather(flat, np.cumsum(length) - length, length, code)
+        ids, places = gather(flat, starts, length, code)
         return ids, places[np.array(cuts) + np.arange(len(cuts))]
 
 
