@@ -67,3 +67,26 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dr
        CASE WHEN d.text IS NULL THEN NULL ELSE l.text END AS text
 FROM documents d LEFT JOIN left_over l USING (doc_id)
 """
+TEXTS["op4_near_dedup"] = rf"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS words
+    FROM documents),
+shingles AS (
+    SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words ELSE
+        list_distinct([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) END) AS s
+    FROM docs),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+    HAVING 100 * count(*) >= 80 * ((SELECT n FROM sizes WHERE doc_id = a.doc_id)
+        + (SELECT n FROM sizes WHERE doc_id = b.doc_id) - count(*))),
+reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM docs
+    UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+classes AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM docs d JOIN classes USING (doc_id) LEFT JOIN sizes s ON d.doc_id = s.doc_id
+"""

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_bpe, chat_format, line_dedup, oracles, packing, quality_rules, secret_scan, substring_dedup,
+    byte_bpe, chat_format, line_dedup, near_dedup, oracles, packing, quality_rules, secret_scan,
+    substring_dedup,
 )
 from .common import table
 
@@ -33,6 +34,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(
+        table(spark, sf_dir, "documents"), plan=near_dedup.Sketch(shingle=2))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", *[f"quality.{n}" for n in (
@@ -61,8 +68,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_chat_formatting, op2_substring_dedup, op3_packing, op5_quality_rules, op6_byte_bpe,
-        op7_line_dedup, op8_secret_scan)}
+        op1_chat_formatting, op2_substring_dedup, op3_packing, op4_near_dedup,
+        op5_quality_rules, op6_byte_bpe, op7_line_dedup, op8_secret_scan)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
