@@ -90,3 +90,20 @@ classes AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM docs d JOIN classes USING (doc_id) LEFT JOIN sizes s ON d.doc_id = s.doc_id
 """
+TEXTS["op9_embedding_dedup"] = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(vec_id, other) AS (
+    SELECT vec_id, vec_id FROM embeddings
+    UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
+       min(other) AS component_id, e.vec_id = min(other) AS kept
+FROM embeddings e JOIN reach USING (vec_id) GROUP BY e.vec_id
+"""

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_bpe, chat_format, line_dedup, near_dedup, oracles, packing, quality_rules, secret_scan,
-    substring_dedup,
+    byte_bpe, chat_format, embedding_dedup, line_dedup, near_dedup, oracles, packing, quality_rules,
+    secret_scan, substring_dedup, toxicity,
 )
 from .common import table
 
@@ -66,10 +66,23 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("secrets.spans_text").alias("spans"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_model(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_formatting, op2_substring_dedup, op3_packing, op4_near_dedup,
-        op5_quality_rules, op6_byte_bpe, op7_line_dedup, op8_secret_scan)}
+        op5_quality_rules, op6_byte_bpe, op7_line_dedup, op8_secret_scan,
+        op9_embedding_dedup, op10_toxicity)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
