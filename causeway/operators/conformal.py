@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from collections.abc import Sequence
 
 import pandas as pd
@@ -123,6 +124,12 @@ def conformal_threshold(
         F.max("__s").alias("score_max")).filter("n > 0")
     if sizes.isEmpty():
         raise ValueError("the calibration rows hold no positive to take a quantile over")
+    if by:
+        fitted = sizes.select(*[F.col(k).alias(f"__f_{k}") for k in by])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__f_{k}")) for k in by])
+        lacking = df.select(*by).distinct().join(fitted, same, "left_anti").head(1)
+        if lacking:
+            raise ValueError(f"group {tuple(lacking[0])} holds no positive to take a quantile over")
     ranked = conformal_ranks(sizes, "n", coverage, confidence)
     counts = scores.groupBy(*by, "__s").agg(F.count(F.lit(1)).alias("__c"))
     placed = ordering.running(counts, by, [F.col("__s").asc()], sums={"__below": F.col("__c")})
@@ -154,10 +161,17 @@ def conformal_threshold(
 
 
 def apply_conformal(df: DataFrame, rule: DataFrame, p: str, by: Sequence[str] = ()) -> DataFrame:
-    """Selection mask (``1 - p <= threshold``), margin and the guarantee behind it."""
+    """Selection mask (``1 - p <= threshold``), margin and the guarantee behind it.
+
+    A row whose group has no rule is an error when the result is read.
+    """
     terms = rule.select(*by, "threshold", "probability_floor", "guarantee")
     if by:
-        joined = df.join(terms, list(by), "left")
+        renamed = terms.withColumnsRenamed({k: f"__r_{k}" for k in by})
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in by])
+        joined = df.join(renamed, same, "left").drop(*[f"__r_{k}" for k in by]).withColumn(
+            "threshold", F.when(F.col("guarantee").isNotNull(), F.col("threshold")).otherwise(
+                F.raise_error(F.lit("a row belongs to a group without a fitted rule"))))
     else:
         fitted = terms.first()
         joined = df.withColumns({name: F.lit(fitted[name]) for name in terms.columns})

@@ -310,7 +310,7 @@ def headline(
     def one(value: Column, digits: int, unit: str = "") -> Column:
         return F.concat(_fixed(value, digits), F.lit(unit))
 
-    row = strategies.filter(F.contains("strategy", F.lit(marker))).limit(1)
+    row = strategies.filter(F.contains("strategy", F.lit(marker))).orderBy("strategy").limit(1)
     missed = F.coalesce(
         F.concat(F.lit(", missed-failure rate "), one(F.col("mfr"), 1, "%")), F.lit(""))
     parts = F.array_compact(F.array(

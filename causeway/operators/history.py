@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MICROS_PER_DAY, micros, ratio
+from ..session import materialise
 from . import ordering
 
 
@@ -53,16 +54,18 @@ def prior_duration_stats(
         })
 
     def split(part: DataFrame) -> DataFrame:
-        value = F.col(duration)
-        scanned = ordering.prefix_scan(part, keys, order, sums={
+        # Squares of offsets from the key's mean keep their digits however large the values are.
+        centred = ordering.with_totals(part, keys, __mid=F.avg(duration))
+        value = F.col(duration) - F.col("__mid")
+        scanned = ordering.prefix_scan(centred, keys, order, sums={
             "__n": F.when(value.isNotNull(), 1).otherwise(0), "__s": value, "__q": value * value,
         })
         mean = ratio(F.col("__s"), F.col("__n"))
         spread = F.greatest(F.col("__q") - F.col("__s") * mean, F.lit(0.0))
         return scanned.withColumns({
-            "duration_mean": mean,
+            "duration_mean": mean + F.col("__mid"),
             "duration_std": F.sqrt(ratio(spread, F.col("__n") - 1)),
-        }).drop("__n", "__s", "__q")
+        }).drop("__n", "__s", "__q", "__mid")
 
     return ordering.by_group_size(df, keys, plain, split)
 
@@ -94,20 +97,22 @@ def trailing_rate(
     def split(part: DataFrame) -> DataFrame:
         # Each row also sends one probe per window to time t - d, placed after the rows that
         # share that time; the difference of the two running totals is the trailing window.
+        # Rows may agree in key, time and ties; the number keeps them apart.
+        part = materialise(part.withColumn("__id", F.monotonically_increasing_id()))
         payload = F.struct(*[F.col(c) for c in df.columns])
         moments = F.array(
             F.struct(F.col("__us").alias("at"), F.lit(0).alias("probe")),
             *[F.struct((F.col("__us") - d * MICROS_PER_DAY).alias("at"), F.lit(d).alias("probe"))
               for d in days],
         )
-        rows = part.select(*keys, *ties, "__us", payload.alias("__row"),
+        rows = part.select(*keys, *ties, "__us", "__id", payload.alias("__row"),
                            F.explode(moments).alias("m"))
-        rows = rows.select(*keys, *ties, "__us", "__row", "m.at", "m.probe")
+        rows = rows.select(*keys, *ties, "__us", "__id", "__row", "m.at", "m.probe")
         own = F.col("probe") == 0
         scanned = ordering.prefix_scan(
             rows, keys,
             [F.col("at").asc(), F.col("probe").asc(), F.col("__us").asc(),
-             *[F.col(t).asc() for t in ties]],
+             *[F.col(t).asc() for t in ties], F.col("__id").asc()],
             sums={"__n": F.when(own, 1).otherwise(0),
                   "__f": F.when(own, F.col("__row")[label]).otherwise(0)},
         )
@@ -116,7 +121,7 @@ def trailing_rate(
             at = F.col("probe") == d
             picks += [F.max(F.when(at, F.col("__n"))).alias(f"__n{d}"),
                       F.max(F.when(at, F.col("__f"))).alias(f"__f{d}")]
-        joined = scanned.groupBy(*keys, "__us", *ties).agg(*picks)
+        joined = scanned.groupBy("__id").agg(*picks)
         rates = [
             _or_zero(ratio(F.col("__f0") - F.col(f"__f{d}"), F.col("__n0") - F.col(f"__n{d}")))
             .alias(f"failure_rate_{d}d") for d in days

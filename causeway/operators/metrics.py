@@ -527,9 +527,11 @@ def collection_quality(
         F.coalesce(F.sum("__files"), F.lit(0)).alias("total_file_modifications"))
     if known is None:
         return report.withColumn("total_checkpointed", F.col("commits_collected"))
-    return report.join(known, repo, "left").withColumn(
-        "total_checkpointed", F.col("commits_collected") + F.coalesce("__known", F.lit(0))
-    ).drop("__known")
+    # A repository may have nothing but known commits, or nothing but new ones.
+    both = report.join(known, repo, "full").fillna(
+        0, ["commits_collected", "total_line_churn", "total_file_modifications", "__known"])
+    return both.withColumn(
+        "total_checkpointed", F.col("commits_collected") + F.col("__known")).drop("__known")
 
 
 def sample_digest(df: DataFrame, by: Sequence[str], item: str, max_ids: int = 1_000_000) -> DataFrame:

@@ -123,21 +123,24 @@ def flag_top(
 ) -> DataFrame:
     """Flag the global top ``k`` rows without sorting the table.
 
-    Score counts locate the cut score; only the rows tied at the cut are ranked.
+    Score counts locate the cut score; only the rows tied at the cut are ranked.  Rows without a
+    score come last either way.
     """
     if k <= 0:
         return df.withColumn(name, F.lit(False))
-    direction = F.col(score).desc() if descending else F.col(score).asc()
+    column = F.col(score)
+    direction = column.desc_nulls_last() if descending else column.asc_nulls_last()
     counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
     placed = ordering.running(counts, [], [direction], sums={"__before": F.col("__c")})
     at = placed.filter((F.col("__before") < k) & (F.col("__before") + F.col("__c") >= k)).first()
     if at is None:
         return df.withColumn(name, F.lit(True))
-    cut, wanted = F.lit(at[score]), k - at["__before"]
-    beyond = F.col(score) > cut if descending else F.col(score) < cut
-    away = df.filter(F.col(score) != cut).withColumn(name, beyond)
-    tied = ordering.row_rank(
-        df.filter(F.col(score) == cut), [], [F.col(t) for t in ties], "__rank")
+    cut, wanted = F.lit(at[score]).cast(df.schema[score].dataType), k - at["__before"]
+    beyond = column.isNotNull() if at[score] is None else F.coalesce(
+        column > cut if descending else column < cut, F.lit(False))
+    at_cut = column.eqNullSafe(cut)
+    away = df.filter(~at_cut).withColumn(name, beyond)
+    tied = ordering.row_rank(df.filter(at_cut), [], [F.col(t) for t in ties], "__rank")
     return away.unionByName(tied.withColumn(name, F.col("__rank") <= wanted).drop("__rank"))
 
 

@@ -554,16 +554,15 @@ def _(t: Tables):
 @query("collection_quality", "E33", sql("""
     WITH f AS (SELECT commit_sha, sum(lines_added + lines_deleted) AS churn, count(*) AS files
                FROM changed_files GROUP BY 1),
-    d AS (SELECT repo, count(*) AS known FROM commits WHERE message = 'F' GROUP BY repo)
-    SELECT c.repo, count(*) AS commits_collected,
-           CAST(coalesce(sum(churn), 0) AS BIGINT) AS total_line_churn,
-           CAST(coalesce(sum(files), 0) AS BIGINT) AS total_file_modifications,
-           count(*) + max(known) AS total_checkpointed
-    FROM commits c LEFT JOIN f ON c.sha = f.commit_sha JOIN d ON c.repo = d.repo
-    WHERE message <> 'F' GROUP BY c.repo""", "commits", "changed_files"))
+    c AS (SELECT *, message = 'F' OR repo LIKE '3%' AS done FROM commits)
+    SELECT c.repo, count(*) FILTER (NOT done) AS commits_collected,
+           CAST(coalesce(sum(churn) FILTER (NOT done), 0) AS BIGINT) AS total_line_churn,
+           CAST(coalesce(sum(files) FILTER (NOT done), 0) AS BIGINT) AS total_file_modifications,
+           count(*) AS total_checkpointed
+    FROM c LEFT JOIN f ON c.sha = f.commit_sha GROUP BY c.repo""", "commits", "changed_files"))
 def _(t: Tables):
     commits = t.commits.withColumnRenamed("sha", "commit_sha")
-    done = commits.filter("message = 'F'").select("commit_sha")
+    done = commits.filter("message = 'F' OR repo LIKE '3%'").select("commit_sha")
     return metrics.collection_quality(commits, t.changed_files, "repo", "commit_sha", done)
 
 

@@ -312,8 +312,8 @@ def _(t: Tables):
 # One source text per part: imports, a branch per size step, and tests in and out of a class.
 _SOURCES = """SELECT p_partkey AS id, concat(CASE p_size % 4 WHEN 0 THEN 'tests/test_' WHEN 1 THEN 'venv/test_'
     WHEN 2 THEN 'src/' ELSE 'tests/' END, CAST(p_partkey AS STRING), CASE p_size % 4 WHEN 3 THEN '_test.py' ELSE '.py' END) AS path,
-    concat('import os', chr(10), 'from pkg.', replace(p_name, ' ', '_'), ' import ', p_type, CASE WHEN p_size % 3 = 0
-    THEN ', other' ELSE '' END, chr(10), CASE WHEN p_size % 7 = 0 THEN concat('import pytest', chr(10),
+    concat('import os', chr(10), 'from pkg.', replace(p_name, ' ', '_'), ' import (', p_type, CASE WHEN p_size % 3 = 0
+    THEN concat(',', chr(10), '    other as o') ELSE '' END, ')', chr(10), CASE WHEN p_size % 7 = 0 THEN concat('import pytest', chr(10),
     '@pytest.mark.parametrize("x", [1])', chr(10)) ELSE '' END, 'def test_top():', chr(10),
     repeat(concat('    if a and b:', chr(10), '        pass', chr(10)), p_size % 5), '    assert 1', chr(10),
     'class TestBox:', chr(10), '    def test_in(self):', chr(10), '        return 1 if self else 2', chr(10),
@@ -334,7 +334,8 @@ def _(t: Tables):
 
 
 @query("imported_modules", "A14 D1", """
-    WITH x AS (SELECT p_partkey AS id, concat('pkg.', replace(p_name, ' ', '_')) AS m, p_type AS n, p_size AS s FROM part)
+    WITH x AS (SELECT p_partkey AS id, concat('pkg.', replace(p_name, ' ', '_')) AS m, p_type AS n, p_size AS s FROM part
+               WHERE p_size % 11 <> 0)
     SELECT id, 'os' AS module FROM x UNION ALL SELECT id, m FROM x UNION ALL SELECT id, concat(m, '.', n) FROM x
     UNION ALL SELECT id, concat(m, '.other') FROM x WHERE s % 3 = 0
     UNION ALL SELECT id, 'pytest' FROM x WHERE s % 7 = 0""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,7 +115,8 @@ class ContinualLearner:
             self.model.score(rows, "p"), [], self.commit, F.col(self.position), self.label, "p")
         timeline = []
         for row in errors.orderBy("at", self.commit).toLocalIterator():
-            statistic, alarm = self.detector.update(row["error"])
+            statistics, alarms, self.detector = self.detector.follow(np.array([row["error"]]))
+            statistic, alarm = statistics[0], alarms[0]
             timeline.append((str(row[self.commit]), int(row["at"]), float(row["error"]),
                              float(statistic), int(alarm)))
         self.buffer = self._newest(self.buffer.unionByName(rows))
