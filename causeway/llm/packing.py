@@ -29,69 +29,78 @@ END_ID = 1
 REMEMBERED = 400_000
 
 
+#: ASCII punctuation that the tokenizer keeps together; an apostrophe may begin a contraction.
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class WordEncoder:
     """Encodes words once each; words are runs without ASCII white space.
 
     The tokenizer drops white space and never merges across it, so the ids of a text are those of
-    its words. A word of Latin letters with trailing ASCII punctuation is two of its pre-tokens,
-    the first in lower case; any other word is handed over whole.
+    its words. A word of Latin letters with trailing ASCII punctuation is two pre-tokens, the first
+    in lower case; such pieces go straight to the merges. Any other word is handed over whole.
     """
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.words = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-        self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-        self.tail = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+        self.merges = Tokenizer.from_str(definition)
+        self.merges.encode_special_tokens = True
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+        # What str.split takes for white space beyond the six characters.
+        self.unusual = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+        self.western = re.compile("[\x00-\xff]*")
+        self.latin = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
         self._forget()
 
     def _forget(self) -> None:
         self.pieces: dict[str, int] = {"": 0}
-        self.memory: dict[str, int] = {}
-        self.flat = array("I")  # ids of all pieces and words, one after another
-        self.ends = array("q", [0, 0])  # entry c lies from ends[c] to ends[c + 1]
+        self.memory: dict[str, int] = {}  # word: number of its first piece, and of its second
+        self.flat = array("I")  # ids of all pieces, one after another
+        self.ends = array("q", [0, 0])  # piece c lies from ends[c] to ends[c + 1]
+
+    def _add(self, pieces: list[str], ids: np.ndarray, last: np.ndarray) -> None:
+        self.pieces.update(zip(pieces, range(len(self.ends) - 1, len(self.ends) - 1 + len(pieces))))
+        self.ends.extend((last + len(self.flat)).tolist())
+        self.flat.frombytes(ids.tobytes())
 
     def _learn(self, words: list[str]) -> None:
-        parts = []
+        pieces, cores, tails, whole = self.pieces, [], [], {}
         for word in words:
-            found = self.simple.fullmatch(word)
-            parts.append((found[1].lower(), found[2]) if found else (word, ""))
-        # What fits neither pattern, such as digits or an apostrophe, is encoded by itself.
-        pieces, flat, ends = self.pieces, self.flat, self.ends
-        fresh = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in pieces]
-        single = [p for p in fresh if (p.isalpha() and self.simple.fullmatch(p)) or self.tail.fullmatch(p)]
-        for at in range(0, len(single), 2000):
-            group = single[at: at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(
+            core = word.rstrip(_PUNCTUATION)
+            if core.isalpha() and (core.isascii() or self.latin.fullmatch(core)) or not core:
+                cores.append(core.lower())
+                tails.append(word[len(core):])
+            else:
+                cores.append(word)
+                tails.append("")
+                whole[word] = None
+        single = [p for p in dict.fromkeys(chain(cores, tails)) if p not in pieces and p not in whole]
+        for at in range(0, len(single), 100):
+            group = single[at: at + 100]
+            ids = np.array(self.merges.encode_batch_fast(
                 [" ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
             # Each piece is one pre-token, so it ends with the one id that closes a word.
             last = np.flatnonzero(self.closing[ids]) + 1
             if len(last) != len(group):
                 raise ValueError("the vocabulary does not mark word ends")
-            pieces.update(zip(group, range(len(ends) - 1, len(ends) - 1 + len(group))))
-            ends.extend((last + len(flat)).tolist())
-            flat.frombytes(ids.tobytes())
-        done = set(single)
-        rest = [p for p in fresh if p not in done]
-        for piece, coded in zip(rest, self.tokenizer.encode_batch_fast(
-                rest, add_special_tokens=False)):
-            pieces[piece] = len(ends) - 1
-            flat.extend(coded.ids)
-            ends.append(len(flat))
-        for word, (core, tail) in zip(words, parts):
-            if not tail:
-                self.memory[word] = pieces[core]
-                continue
-            self.memory[word] = len(ends) - 1
-            for c in (pieces[core], pieces[tail]):
-                flat.extend(flat[ends[c]: ends[c + 1]])
-            ends.append(len(flat))
+            self._add(group, ids, last)
+        rest = [w for w in whole if w not in pieces]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        self._add(rest, np.array(list(chain.from_iterable(coded)), np.uint32),
+                  np.cumsum([len(c) for c in coded], dtype=np.int64))
+        for word, core, tail in zip(words, cores, tails):
+            self.memory[word] = pieces[core] << 32 | pieces[tail]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text closed by ``end_id``, and the n + 1 places where texts begin."""
@@ -101,7 +110,9 @@ class WordEncoder:
 
         words, cuts = [], [0]
         for text in texts:
-            words += self.words.findall(text)
+            if text.isascii() or self.western.fullmatch(text):
+                text = text.lower()  # the tokenizer does the same; fewer words are distinct
+            words += self.words.findall(text) if self.unusual.search(text) else text.split()
             cuts.append(len(words))
         code, distinct = pd.factorize(np.array(words, object))
         if len(self.memory) > REMEMBERED:
@@ -110,12 +121,12 @@ class WordEncoder:
         self._learn([w for w in distinct if w not in memory])
         entry = np.fromiter(map(memory.__getitem__, distinct), np.int64, len(distinct))
         ends = np.array(self.ends)
-        length = np.append(ends[entry + 1] - ends[entry], 1)
-        starts = np.append(ends[entry], ends[-1])
+        length = np.append(np.diff(ends), 1)
         flat = np.append(np.array(self.flat, np.uint32), np.uint32(end_id))
-        code = np.insert(code, cuts[1:], len(distinct))
-        ids, places = gather(flat, starts, length, code)
-        return ids, places[np.array(cuts) + np.arange(len(cuts))]
+        both = np.stack([entry >> 32, entry & 0xFFFFFFFF], 1)[code].ravel()
+        both = np.insert(both, 2 * np.array(cuts[1:]), len(length) - 1)
+        ids, places = gather(flat, ends, length, both)
+        return ids, places[2 * np.array(cuts) + np.arange(len(cuts))]
 
 
 def tokenise(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text",
