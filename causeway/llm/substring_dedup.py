@@ -265,7 +265,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
         some = chosen.filter(F.col("large") == large)
         wanted = some.groupBy(*ROW).agg(F.collect_set(
             F.struct("anchor", "content", "first", "count")).alias("wanted"))
-        return rows.join(wanted, list(ROW)).select(*ROW, "text", "wanted")
+        # With all columns of the last join, so that Spark exchanges the texts once for both.
+        return rows.join(wanted, list(ROW)).select(*ROW, "key", "text", "wanted")
 
     marks = _grow(_pieces(fetched(False), plan, single=False), plan)
     if not chosen.filter("large").isEmpty():
