@@ -256,9 +256,10 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
     prepare(docs.sparkSession)
     rows = with_row(docs, key, text)
     found = store(segments(rows, plan))
-    anchors = found.groupBy("anchor", "content").agg(F.count("*").alias("n")).groupBy("anchor").agg(
+    # Stored, so that both sides of the join are exchanged and Spark can split a hot anchor.
+    anchors = store(found.groupBy("anchor", "content").agg(F.count("*").alias("n")).groupBy("anchor").agg(
         F.sum("n").alias("n"), F.count("*").alias("kinds")).filter("n > 1").select(
-        "anchor", (F.col("kinds") > plan.group_limit).alias("large"))
+        "anchor", (F.col("kinds") > plan.group_limit).alias("large")))
     chosen = store(found.join(anchors, "anchor"))
 
     def fetched(large: bool) -> DataFrame:
