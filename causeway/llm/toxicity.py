@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Words are folded first: case, accents, homoglyphs of other scripts, digits and signs that stand for
-letters. The lexicon is learned: smoothed log-odds of folded words and word beginnings between toxic
+Words are folded first: case, homoglyphs of other scripts, digits and signs that stand for letters;
+a word whose accents hide a plain lexicon word matches it too. The lexicon is learned: smoothed log-odds of folded words and word beginnings between toxic
 and other training texts. A text's evidence is the weight of its hits, without those inside
 exception phrases, taken as it is and normalised by length; a small logistic model turns it into a
 score. Fitting uses at most ``sample`` labelled rows; scoring is one pass over all texts.
@@ -54,12 +54,16 @@ class Model:
     weights: tuple[float, ...]
 
 
+def plain(word: str) -> str:
+    """The word without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 def fold(word: str) -> str:
-    """The folded word, empty if it holds no letters."""
+    """The folded word, empty if it holds no letters. Accents stay: they tell words apart."""
     word = _EDGE.sub("", word.lower())
     if not word.isascii():
-        word = unicodedata.normalize("NFKD", word).translate(HOMOGLYPHS)
-        word = "".join(c for c in word if not unicodedata.combining(c))
+        word = unicodedata.normalize("NFKC", word).translate(HOMOGLYPHS)
     if not word.isalpha():
         word = _INNER.sub("", word)
         if sum(map(str.isalpha, word)) >= 2:
@@ -141,6 +145,7 @@ class Matcher:
             self.automaton.add_word(pattern, (weight, len(pattern)))
         if model.lexicon:
             self.automaton.make_automaton()
+        self.whole = {t[1:]: w for t, w in model.lexicon.items() if t.startswith("=") and t.isascii()}
 
     def weights(self, values) -> np.ndarray:
         """Per word the largest weight of a lexicon entry it matches, else 0."""
@@ -154,6 +159,9 @@ class Matcher:
         if hits:
             place, weight = np.array(hits).T
             np.maximum.at(found, np.searchsorted(begin, place.astype(np.int64) + 1), weight)
+        for i, word in enumerate(values):
+            if not found[i] and not word.isascii():
+                found[i] = self.whole.get(plain(word), 0.0)
         return found
 
     def features(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[int, str]]]:

@@ -188,8 +188,9 @@ def test_bounds_never_exceed_distances():
 
 
 def test_folding():
-    for word in ("IDIOT!!", "1d10t", "idіot", "i.d.i.o.t", "ídiot", "(idiot)"):
+    for word in ("IDIOT!!", "1d10t", "idіot", "i.d.i.o.t", "(idiot)", "ｉdiot"):
         assert toxicity.fold(word) == "idiot", word
+    assert toxicity.plain(toxicity.fold("Ídïot!")) == "idiot" and toxicity.fold("chÓn") == "chón"
     assert toxicity.fold("2024") == "" and toxicity.fold("&&&") == ""
 
 
