@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,19 +115,109 @@ def unit_index(df: DataFrame, unit: Sequence[str]) -> tuple[DataFrame, int]:
     return ranked.withColumn("__unit", F.col("__unit") - 1), units.count()
 
 
-def draws(df: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
-    """Resampling draws (rep, __unit): ``n`` with replacement per replicate.
+# ---- resampling
+#
+# A replicate draws as many units as there are, with replacement. Which block of units each draw
+# falls into is counted first (replicates x blocks numbers); the draws of a block are then resolved
+# inside it, where its rows lie. Only sums per replicate and key are exchanged, never draws joined
+# with rows. Both levels draw by the same arithmetic, written once for columns and once for arrays,
+# so any engine can repeat it.
 
-    A draw is a hash of (seed, replicate, draw number), so the same seed gives the same
-    draws whatever the partitioning, for every statistic that reads them.  A unit drawn twice
-    is two rows; joined with a small unit table they are summed where they are generated.
+_PRIME = 2147483579  # below 2**31 and 2 modulo 3, so cubing permutes the residues
+BLOCK_UNITS = 512
+
+
+def _cube(x):
+    return x * x % _PRIME * x % _PRIME
+
+
+def _links(number) -> tuple:
+    """What is folded into the state for one draw, in order, after the replicate."""
+    high = F.floor(number / 65536) if isinstance(number, Column) else number // 65536
+    return high, number % 65536, 12345
+
+
+def draw(seed: int, replicate, number, bound):
+    """Numbers below ``bound`` for arrays of draws; two residues, so large bounds are even too."""
+    state = _cube(seed % _PRIME)
+    for added in (replicate, *_links(number)):
+        state = _cube((state + added) % _PRIME)
+    second = _cube((state + number % 65536 + 777) % _PRIME)
+    second = _cube((second + 12345) % _PRIME)
+    return (state * _PRIME + second) % bound
+
+
+def with_draw(
+    df: DataFrame, seed: int, replicate: Column, number: Column, bound: int, name: str
+) -> DataFrame:
+    """``draw`` as columns, one step each, so that no expression grows with the chain."""
+    def cubed(rows: DataFrame, value: Column, at: str) -> DataFrame:
+        return rows.withColumn("__base", value % _PRIME).withColumn(at, _cube(F.col("__base")))
+
+    rows = df.withColumn("__first", F.lit(_cube(seed % _PRIME)).cast("long"))
+    for added in (replicate, *_links(number)):
+        rows = cubed(rows, F.col("__first") + added, "__first")
+    rows = cubed(rows, F.col("__first") + number % 65536 + 777, "__second")
+    rows = cubed(rows, F.col("__second") + 12345, "__second")
+    return rows.withColumn(name, (F.col("__first") * _PRIME + F.col("__second")) % bound).drop(
+        "__base", "__first", "__second")
+
+
+def _every_draw(df: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
+    """(rep, __unit): ``n`` draws with replacement per replicate, made where they are read."""
+    size = max(n, 1)
+    numbered = df.sparkSession.range(replicates * n).select(
+        F.floor(F.col("id") / size).alias("rep"), (F.col("id") % size).alias("__number"))
+    drawn = with_draw(numbered, seed, F.col("rep"), F.col("__number"), size, "__unit")
+    return drawn.select(F.col("rep").cast("int").alias("rep"), "__unit")
+
+
+def resampled_sums(
+    df: DataFrame, unit: Sequence[str], keys: Sequence[str], sums: Sequence[str],
+    replicates: int, seed: int, block: int = BLOCK_UNITS,
+) -> tuple[DataFrame, int]:
+    """(rep, keys, sums) over resampled units, and the number of units.
+
+    ``sums`` are columns that add up; NULL counts as 0. Every key that a block holds appears in
+    every replicate.
     """
     if replicates < 1:
         raise ValueError("need at least one replicate")
-    every = df.sparkSession.range(replicates * max(n, 0))
-    rep, number = F.floor(F.col("id") / n), F.col("id") % n
-    unit = F.pmod(F.xxhash64(F.lit(seed), rep, number), F.lit(max(n, 1)))
-    return every.select(rep.cast("int").alias("rep"), unit.alias("__unit"))
+    units, n = unit_index(df, unit)
+    cells = df.groupBy(*unit, *keys).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in sums])
+    placed = cells.join(units, list(unit)).select(
+        F.floor(F.col("__unit") / block).alias("__block"),
+        (F.col("__unit") % block).cast("int").alias("__place"), *keys, *sums)
+    drawn = _every_draw(df, n, replicates, seed).groupBy(
+        "rep", F.floor(F.col("__unit") / block).alias("__block")).agg(
+        F.count(F.lit(1)).alias("__n"))
+
+    def resolve(group: tuple, rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        size = min(block, n - group[0] * block)
+        times = counts["__n"].to_numpy()
+        replicate = np.repeat(counts["rep"].to_numpy().astype(np.int64), times)
+        turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        place = draw(seed + 1 + int(group[0]), replicate, turn, size)
+        weights = np.bincount(replicate * size + place, minlength=replicates * size).reshape(
+            replicates, size).astype(float)
+        parts = []
+        grouped = rows.groupby(list(keys), dropna=False, sort=False) if keys else [((), rows)]
+        for name, own in grouped:
+            values = np.zeros((size, len(sums)))
+            values[own["__place"].to_numpy()] = own[list(sums)].to_numpy(float)
+            part = pd.DataFrame(weights @ values, columns=list(sums))
+            part.insert(0, "rep", np.arange(replicates, dtype=np.int32))
+            for k, v in zip(keys, name if isinstance(name, tuple) else (name,)):
+                part[k] = v
+            parts.append(part)
+        return pd.concat(parts)[["rep", *keys, *sums]] if parts else pd.DataFrame(
+            columns=["rep", *keys, *sums])
+
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    shape = ", ".join(["rep int", *[f"`{k}` {kinds[k]}" for k in keys], *[f"`{c}` double" for c in sums]])
+    partial = placed.groupBy("__block").cogroup(drawn.groupBy("__block")).applyInPandas(resolve, shape)
+    return partial.groupBy("rep", *keys).agg(*[F.sum(c).alias(c) for c in sums]), n
 
 
 def intervals(
@@ -174,18 +265,11 @@ def cluster_bootstrap(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Intervals of the pooled metrics over resampled commits, and paired differences.
 
-    All strategies and metrics share the draws.  The commit statistics of one unit travel as
-    one row, and replicate sums combine map-side.
+    All strategies and metrics share the draws.
     """
     from .selection import COMMIT_STATS, pooled_metrics
 
-    units, n = unit_index(stats, [commit])
-    packed = stats.groupBy(commit).agg(F.collect_list(
-        F.struct(strategy, *COMMIT_STATS)).alias("__stats"))  # one entry per strategy
-    indexed = packed.join(units, commit).select("__unit", "__stats")
-    drawn = draws(stats, n, replicates, seed).join(indexed, "__unit")
-    rows = drawn.select("rep", F.inline("__stats"))
-    sums = rows.groupBy("rep", strategy).agg(*[F.sum(c).alias(c) for c in COMMIT_STATS])
+    sums, n = resampled_sums(stats, [commit], [strategy], COMMIT_STATS, replicates, seed)
     values = sums.select("rep", strategy, *pooled_metrics(F.col, F.lit(n)))
     # One value per replicate, strategy and metric; every interval below reads it again.
     long = materialise(values.unpivot(["rep", strategy], list(METRICS), "metric", "value"))
@@ -221,10 +305,11 @@ def bootstrap(
     """Intervals of user aggregates over resampled clusters.
 
     Each statistic is a Column aggregate; it is evaluated per replicate over the rows of the
-    drawn clusters, repeated by their multiplicity.
+    drawn clusters, repeated by their multiplicity.  Rows are multiplied by the replicates, as any
+    aggregate needs; for sums and ratios of sums use ``resampled_sums``.
     """
     units, n = unit_index(df, unit)
-    drawn = draws(df, n, replicates, seed).join(units, "__unit")
+    drawn = _every_draw(df, n, replicates, seed).join(units, "__unit")
     folded = df.join(drawn, list(unit)).groupBy("rep").agg(
         *[c.cast("double").alias(s) for s, c in statistics.items()])
     long = materialise(folded.unpivot(["rep"], list(statistics), "statistic", "value"))
@@ -243,14 +328,13 @@ def bootstrap_ci(
     An empty sample gives NULLs with n = 0.
     """
     present = df.filter(F.col(value).isNotNull()).select(*identity, value)
-    units, n = unit_index(present, identity)
     point = present.agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    counted = present.withColumns({"__v": F.col(value).cast("double"), "__one": F.lit(1)})
+    folded, n = resampled_sums(counted, identity, [], ["__v", "__one"], replicates, seed)
     if n == 0:
         return point.withColumns({c: F.lit(None).cast("double")
                                   for c in ("median", "ci_lower", "ci_upper")})
-    rows = present.join(units, list(identity)).select("__unit", value)
-    sampled = draws(present, n, replicates, seed).join(rows, "__unit").groupBy("rep").agg(
-        F.avg(value).alias("value"))
+    sampled = folded.select(ratio(F.col("__v"), F.col("__one")).alias("value"))
     tail = (1.0 - ci) / 2.0
     ends = ordering.quantiles(sampled.select("value"), [], "value",
                               {"ci_lower": tail, "ci_upper": 1.0 - tail})
@@ -260,7 +344,7 @@ def bootstrap_ci(
 
 def significance_report(
     stats: DataFrame, reference: str, measures: Mapping[str, tuple[str, str]],
-    commit: str = "commit_sha", strategy: str = "strategy", replicates: int = 200, seed: int = 42,
+    commit: str = "commit_sha", strategy: str = "strategy", replicates: int = 1000, seed: int = 42,
 ) -> DataFrame:
     """Paired comparison of every strategy with the reference on every measure.
 
@@ -283,10 +367,9 @@ def significance_report(
         F.count_if(F.col("ref").isNotNull() & F.col("other").isNotNull()).alias("used"))
     effect = cliffs_delta(usable, "ref", "other", keys)
     test = wilcoxon_signed_rank(usable, "ref", "other", keys).drop("n_pairs")
-    units, n = unit_index(usable, [commit])
-    drawn = draws(stats, n, replicates, seed).join(units, "__unit").select(commit, "rep")
-    sampled = materialise(usable.join(drawn, commit).groupBy(*keys, "rep").agg(
-        F.avg(F.col("ref") - F.col("other")).alias("value")))
+    gaps = usable.withColumns({"__d": F.col("ref") - F.col("other"), "__one": F.lit(1)})
+    folded, _n = resampled_sums(gaps, [commit], keys, ["__d", "__one"], replicates, seed)
+    sampled = materialise(folded.select(*keys, "rep", ratio(F.col("__d"), F.col("__one")).alias("value")))
     points = usable.groupBy(*keys).agg(F.avg(F.col("ref") - F.col("other")).alias("point"))
     spread = intervals(sampled, points, keys, replicates)
     return (counts.withColumn("dropped", F.col("available") - F.col("used"))
@@ -321,10 +404,9 @@ def score_calibrators(
     sums = materialise(sums.groupBy(cluster, method, "bin").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.sum("p").alias("p"),
         F.sum("sq").alias("sq")))
-    units, n = unit_index(sums, [cluster])
-    drawn = draws(df, n, replicates, seed).join(units, "__unit").select(cluster, "rep")
-    resampled = sums.join(drawn, cluster).groupBy("rep", method, "bin").agg(
-        *[F.sum(c).alias(c) for c in ("n", "y", "p", "sq")])
+    resampled, _n = resampled_sums(
+        sums, [cluster], [method, "bin"], ("n", "y", "p", "sq"), replicates, seed)
+    resampled = resampled.filter("n > 0")
     sampled = materialise(_calibration_measures(resampled, ["rep", method]))
     pooled = sums.groupBy(method, "bin").agg(
         *[F.sum(c).alias(c) for c in ("n", "y", "p", "sq")])

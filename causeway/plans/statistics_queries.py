@@ -154,27 +154,95 @@ def _strategy_stats(t: Tables):
         rows, "commit_sha", "strategy", "label", "selected", "duration", "abstained")
 
 
-@query("bootstrap_ci", "L3")
-def _(t: Tables):
-    return statistics.bootstrap_ci(
-        t.customer, ["c_custkey"], "c_acctbal", replicates=200)
+_PRIME = statistics._PRIME
+
 
+def _drawn(base: str, rep: str, number: str, bound: str) -> str:
+    """Select items of ``statistics.draw`` in steps; the last one is the draw, named ``drawn``."""
+    steps, state = [], base
+    for i, added in enumerate((rep, f"({number}) // 65536", f"({number}) % 65536", "12345")):
+        steps.append(f"({state} + {added}) % {_PRIME} AS a{i}, a{i} * a{i} % {_PRIME} * a{i} % {_PRIME} AS b{i}")
+        state = f"b{i}"
+    steps.append(f"(b3 + ({number}) % 65536 + 777) % {_PRIME} AS a4, a4 * a4 % {_PRIME} * a4 % {_PRIME} AS b4")
+    steps.append(f"(b4 + 12345) % {_PRIME} AS a5, a5 * a5 % {_PRIME} * a5 % {_PRIME} AS b5")
+    return ", ".join([*steps, f"(b3 * {_PRIME} + b5) % ({bound}) AS drawn"])
 
-@query("cluster_bootstrap", "L4")
+
+def _resampled(replicates: int, seed: int = 42, block: int = statistics.BLOCK_UNITS) -> str:
+    """Common table expressions behind ``units (unit)``: ``times (rep, unit, w)`` and ``size (n)``."""
+    cube = lambda x: f"({x}) * ({x}) % {_PRIME} * ({x}) % {_PRIME}"
+    first = statistics._cube(seed)
+    return f"""
+    numbered AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS u FROM units),
+    size AS (SELECT count(*) AS n FROM units),
+    every AS (SELECT rep, unnest(range(n)) AS num, n FROM range({replicates}) r(rep), size),
+    first_draws AS (SELECT rep, {_drawn(str(first), 'rep', 'num', 'n')} FROM every),
+    blocks AS (SELECT rep, drawn // {block} AS blk, count(*) AS c FROM first_draws GROUP BY 1, 2),
+    inner_draws AS (SELECT rep, blk, unnest(range(c)) AS num,
+                    {cube(f'({seed} + 1 + blk) % {_PRIME}')} AS base FROM blocks),
+    placed AS (SELECT rep, blk, {_drawn('base', 'rep', 'num', f'least({block}, n - blk * {block})')}
+               FROM inner_draws, size),
+    times AS (SELECT p.rep, m.unit, count(*) AS w FROM placed p JOIN numbered m ON m.u = blk * {block} + drawn
+              GROUP BY 1, 2)"""
+
+
+@query("bootstrap_ci", "L3", f"""
+    WITH units AS (SELECT c_custkey AS unit FROM customer WHERE c_acctbal IS NOT NULL), {_resampled(1000)},
+    m AS (SELECT rep, sum(w * c_acctbal) / sum(w) AS v FROM times JOIN customer ON unit = c_custkey GROUP BY rep),
+    p AS (SELECT avg(c_acctbal) AS mean, count(c_acctbal) AS n, quantile_cont(c_acctbal, 0.5) AS median FROM customer)
+    SELECT {r('max(mean)')} AS mean, max(n) AS n, {r('max(median)')} AS median,
+           {r('quantile_cont(v, 0.025)')} AS ci_lower, {r('quantile_cont(v, 0.975)')} AS ci_upper FROM m, p""")
 def _(t: Tables):
-    table, _diffs = statistics.cluster_bootstrap(_strategy_stats(t), replicates=50, reference="loose")
+    return statistics.bootstrap_ci(t.customer, ["c_custkey"], "c_acctbal")
+
+
+_METRIC_SQL = """
+    SELECT {keys}, unnest(['trr', 'etr', 'fr', 'mfr', 'ar']) AS metric, unnest([
+        100 - 100.0 * sum(w * ts) / sum(w * ta), CASE WHEN sum(w * da) > 0 THEN 100 - 100.0 * sum(w * ds) / sum(w * da) END,
+        CASE WHEN sum(w * fa) > 0 THEN 100.0 * sum(w * fd) / sum(w * fa) END,
+        CASE WHEN sum(w * fa) > 0 THEN 100 - 100.0 * sum(w * fd) / sum(w * fa) END, CAST(0 AS DOUBLE)]) AS value
+    FROM {source} GROUP BY {keys}"""
+_STRATEGY_SQL = f"""
+    WITH cells AS (
+        SELECT l_orderkey AS unit, strategy, count(*) AS ta, count(*) FILTER (sel) AS ts,
+               count(*) FILTER (label = 1) AS fa, count(*) FILTER (label = 1 AND sel) AS fd,
+               sum(duration) AS da, coalesce(sum(duration) FILTER (sel), 0) AS ds
+        FROM (SELECT *, unnest(['loose', 'strict', 'certain']) AS strategy,
+                     unnest([p >= 0.3, p >= 0.7, uncertainty <= 0.02]) AS sel FROM scored) GROUP BY 1, 2),
+    units AS (SELECT DISTINCT unit FROM cells), {_resampled(2000)},
+    v AS ({_METRIC_SQL.format(keys='rep, strategy', source='times JOIN cells USING (unit)')}),
+    pt AS ({_METRIC_SQL.format(keys='strategy', source='(SELECT *, 1 AS w FROM cells)')}),"""
+
+
+@query("cluster_bootstrap", "L4", sql(f"""{_STRATEGY_SQL}
+    i AS (SELECT strategy, metric, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high,
+                 count(value) AS known FROM v GROUP BY 1, 2)
+    SELECT strategy, metric, {r('value')} AS point, {r('low')} AS ci_lower, {r('high')} AS ci_upper,
+           2000 - known AS undefined_replicates, n AS n_units
+    FROM pt JOIN i USING (strategy, metric), size""", "scored"))
+def _(t: Tables):
+    table, _diffs = statistics.cluster_bootstrap(_strategy_stats(t), reference="loose")
     return table
 
 
-@query("cluster_bootstrap_differences", "L4")
+@query("cluster_bootstrap_differences", "L4", sql(f"""{_STRATEGY_SQL}
+    d AS (SELECT a.strategy, a.metric, a.value - b.value AS value FROM v a JOIN v b USING (rep, metric)
+          WHERE a.strategy <> 'loose' AND b.strategy = 'loose'),
+    i AS (SELECT strategy, metric, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high,
+                 count(value) AS known FROM d GROUP BY 1, 2)
+    SELECT a.strategy, a.metric, {r('a.value - b.value')} AS point, {r('low')} AS ci_lower,
+           {r('high')} AS ci_upper, 2000 - known AS undefined_replicates,
+           CAST(coalesce(low > 0 OR high < 0, FALSE) AS BIGINT) AS excludes_zero
+    FROM pt a JOIN pt b USING (metric) JOIN i ON i.strategy = a.strategy AND i.metric = a.metric
+    WHERE a.strategy <> 'loose' AND b.strategy = 'loose'""", "scored"))
 def _(t: Tables):
-    _table, diffs = statistics.cluster_bootstrap(_strategy_stats(t), replicates=50, reference="loose")
+    _table, diffs = statistics.cluster_bootstrap(_strategy_stats(t), reference="loose")
     return diffs
 
 
 @query("interval_table", "L5")
 def _(t: Tables):
-    table, diffs = statistics.cluster_bootstrap(_strategy_stats(t), replicates=30, reference="loose")
+    table, diffs = statistics.cluster_bootstrap(_strategy_stats(t), reference="loose")
     return statistics.interval_table(table, diffs)
 
 
@@ -182,7 +250,7 @@ def _(t: Tables):
 def _(t: Tables):
     return statistics.significance_report(_strategy_stats(t), "loose", {
         "failure_recall": ("failures_detected", "failures_available"),
-        "time_saved": ("duration_selected", "duration_available")}, replicates=30)
+        "time_saved": ("duration_selected", "duration_available")})
 
 
 def _calibrated(t: Tables):
@@ -193,15 +261,37 @@ def _calibrated(t: Tables):
                 ("squared", F.col("p") * F.col("p")))])))
 
 
-@query("score_calibrators", "L7")
+_EDGES = " + ".join(f"(p > {b * 0.1:.17e})::INT" for b in range(1, 10))
+_BIN_SQL = """
+    SELECT {keys}, unnest(['ece', 'mce', 'brier']) AS metric, unnest([sum(n * gap) / sum(n), max(gap), sum(sq) / sum(n)]) AS value
+    FROM (SELECT {keys}, bin, sum(w * n) AS n, abs(sum(w * y) / sum(w * n) - sum(w * p) / sum(w * n)) AS gap,
+                 sum(w * sq) AS sq FROM {source} GROUP BY {keys}, bin) GROUP BY {keys}"""
+_CALIBRATED_SQL = f"""
+    WITH rows_ AS (
+        SELECT l_orderkey AS unit, label, unnest(['uncalibrated', 'shrunk', 'squared']) AS method,
+               unnest([p, 0.33 + (p - 0.5) * 0.1, p * p]) AS p FROM scored),
+    cells AS (SELECT unit, method, {_EDGES} AS bin, count(*) AS n, sum(label) AS y, sum(p) AS p,
+                     sum((label - p) * (label - p)) AS sq FROM rows_ GROUP BY 1, 2, 3),
+    units AS (SELECT DISTINCT unit FROM cells), {_resampled(2000)},
+    v AS ({_BIN_SQL.format(keys='rep, method', source='times JOIN cells USING (unit)')}),
+    pt AS ({_BIN_SQL.format(keys='method', source='(SELECT *, 1 AS w FROM cells)')}),
+    d AS (SELECT a.method, a.metric, a.value - b.value AS value FROM v a JOIN v b USING (rep, metric)
+          WHERE a.method <> 'uncalibrated' AND b.method = 'uncalibrated'),
+    i AS (SELECT method, metric, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high,
+                 count(value) AS known FROM d GROUP BY 1, 2)"""
+
+
+@query("score_calibrators", "L7", sql(f"""{_CALIBRATED_SQL}
+    SELECT a.method, a.metric, {r('a.value - b.value')} AS point, {r('low')} AS ci_lower,
+           {r('high')} AS ci_upper, 2000 - known AS undefined_replicates,
+           CAST(coalesce(low > 0 OR high < 0, FALSE) AS BIGINT) AS excludes_zero
+    FROM pt a JOIN pt b USING (metric) JOIN i ON i.method = a.method AND i.metric = a.metric
+    WHERE a.method <> 'uncalibrated' AND b.method = 'uncalibrated'""", "scored"))
 def _(t: Tables):
-    _points, diffs = statistics.score_calibrators(
-        _calibrated(t), "cluster", "method", "label", "p", replicates=30)
+    _points, diffs = statistics.score_calibrators(_calibrated(t), "cluster", "method", "label", "p")
     return diffs
 
 
-
-
 @query("select_calibrator", "L8", sql("""
     WITH m AS (SELECT 'uncalibrated' AS method, label, p FROM scored UNION ALL
                SELECT 'shrunk', label, 0.33 + (p - 0.5) * 0.1 FROM scored UNION ALL
@@ -227,12 +317,25 @@ def _(t: Tables):
 
 @query("select_calibrator_intervals", "L8")
 def _(t: Tables):
-    points, diffs = statistics.score_calibrators(
-        _calibrated(t), "cluster", "method", "label", "p", replicates=30)
+    points, diffs = statistics.score_calibrators(_calibrated(t), "cluster", "method", "label", "p")
     return statistics.select_calibrator(statistics.calibrator_scores(points, diffs, "method"))
 
 
-@query("user_bootstrap", "N2")
+@query("user_bootstrap", "N2", sql(f"""
+    WITH units AS (SELECT DISTINCT commit_sha AS unit FROM scored),
+    numbered AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS u FROM units),
+    size AS (SELECT count(*) AS n FROM units),
+    every AS (SELECT rep, unnest(range(n)) AS num, n FROM range(20) r(rep), size),
+    d AS (SELECT rep, {_drawn(str(statistics._cube(42)), 'rep', 'num', 'n')} FROM every),
+    v AS (SELECT rep, unnest(['mean_p', 'rate', 'spread']) AS statistic,
+                 unnest([avg(s.p), avg(label), stddev_samp(s.p)]) AS value
+          FROM d JOIN numbered m ON m.u = d.drawn JOIN scored s ON s.commit_sha = m.unit GROUP BY rep),
+    pt AS (SELECT unnest(['mean_p', 'rate', 'spread']) AS statistic,
+                  unnest([avg(p), avg(label), stddev_samp(p)]) AS point FROM scored)
+    SELECT statistic, {r('max(point)')} AS point, {r('quantile_cont(value, 0.025)')} AS ci_lower,
+           {r('quantile_cont(value, 0.975)')} AS ci_upper, 20 - count(value) AS undefined_replicates,
+           max(n) AS n_units
+    FROM v JOIN pt USING (statistic), size GROUP BY statistic""", "scored"))
 def _(t: Tables):
     return statistics.bootstrap(
         t.scored.select("commit_sha", "p", "label"), ["commit_sha"],
