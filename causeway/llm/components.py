@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,21 @@ def components(links: DataFrame) -> DataFrame:
             F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         if edges.isEmpty():
             return labels
+
+
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect what the matrix ``near`` connects, at most one per row and column.
+
+    a numbers rows and then columns, b is the first row of a's component.
+    """
+    n = len(near)
+    rows = np.where(near.any(1), np.arange(n), n)
+    while True:
+        columns = np.where(near, rows[:, None], n).min(0, initial=n)
+        again = np.minimum(rows, np.where(near, columns[None, :], n).min(1, initial=n))
+        if (again == rows).all():
+            break
+        rows = again
+    root = np.concatenate([rows, columns])
+    linked = np.flatnonzero(root < n)
+    return linked, root[linked]

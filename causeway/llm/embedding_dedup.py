@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, store
-from .components import components
+from .components import components, forest
 
 
 @dataclass(frozen=True)
@@ -152,17 +152,6 @@ def _blocks(cells: DataFrame, index: Index, name: str) -> DataFrame:
 def _verified(pairs: DataFrame, index: Index) -> DataFrame:
     """(node, links, other): links counted for queries, and the links of a spanning forest."""
 
-    def forest(near: np.ndarray) -> np.ndarray:
-        """For rows, then columns, the smallest row number of their component."""
-        rows = np.where(near.any(1), np.arange(len(near)), len(near))
-        while True:
-            columns = np.where(near, rows[:, None], len(near)).min(0, initial=len(near))
-            again = np.minimum(rows, np.where(near, columns[None, :], len(near)).min(
-                1, initial=len(near)))
-            if (again == rows).all():
-                return np.concatenate([rows, columns])
-            rows = again
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for r in range(part.num_rows):
@@ -173,12 +162,13 @@ def _verified(pairs: DataFrame, index: Index) -> DataFrame:
                 near = left @ right.T >= index.cosine
                 near &= names[0][:, None] != names[1][None, :]
                 count = near @ home.field("weight").to_numpy()
-                root = forest(near)
                 node = np.concatenate(names)
                 links = np.concatenate([count, np.zeros(len(right), np.int64)])
-                keep = root < len(left)
-                other = np.where(keep, names[0][np.minimum(root, len(left) - 1)], None)
-                keep |= links > 0
+                linked, root = forest(near)
+                other = np.full(len(node), None, object)
+                other[linked] = names[0][root]
+                keep = links > 0
+                keep[linked] = True
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[keep], pa.binary()), pa.array(links[keep], pa.int64()),
                      pa.array(other[keep], pa.binary())], names=["node", "links", "other"])

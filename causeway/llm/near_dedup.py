@@ -3,15 +3,15 @@
 A document's word shingles set registers to exponentially spaced, truncated minima: register i is
 floor(1 - log_base(x)) of the smallest exponential value x that any shingle has for i. Registers of
 a union are their maxima, and two documents agree in a register about as often as their sets
-overlap. Bands of registers file documents into buckets; within a bucket documents are compared
-with pivots. The joint likelihood of the registers of a pair estimates its similarity; pairs far
-below the limit go, the rest are confirmed on the full shingle sets.
-
-Equal sets are one node from the start, so thousands of exact copies cost one row each. A bucket
-emits (member, pivot) rows, not all pairs: members already connected with the pivot are not
-compared again, and pivots move on until a bucket is one component or used up, so no link between
-different texts is left out. At 28 bands of 5, a pair at the limit of 0.8 shares no bucket with
-probability 1.5e-5.
+overlap. Bands of registers file documents into buckets. The joint likelihood of the registers of a
+pair estimates its similarity; pairs far below the limit go, the rest are confirmed on the full
+shingle sets.
+
+Equal sets are one node from the start, so thousands of exact copies cost one row each. Every member
+of a bucket is first compared with the bucket's pivot alone, which settles most groups of copies
+whatever their size. What buckets still hold apart is compared in blocks inside the tasks, members
+of one component not with each other; no pairs are written out and no link is left out. At 28 bands
+of 5, a pair at the limit of 0.8 shares no bucket with probability 1.5e-5.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, Words, mix, prepare, store, unsigned, with_row
-from .components import components
+from .components import components, forest
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class Sketch:
     base: float = 1.001
     rate: float = 20.0
     margin: float = 6.0
-    pivots: int = 8
+    block_bytes: int = 1 << 20  # of texts that meet others in a task
 
     @property
     def registers(self) -> int:
@@ -210,41 +210,97 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Sketch) -> DataFrame:
     return joined.mapInArrow(run, "a binary, b binary")
 
 
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, root) after new ``links``, which are taken between roots."""
+    if labels is None:
+        return components(links)
+    left, right = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    between = links.join(left, "a", "left").join(right, "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    moved = components(between).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    known = labels.join(moved, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    fresh = moved.join(labels.select(F.col("node").alias("root")), "root", "left_anti").select(
+        F.col("root").alias("node"), F.col("above").alias("root"))
+    return store(known.unionByName(fresh))
+
+
+def _compared(blocks: DataFrame, plan: Sketch) -> DataFrame:
+    """Links (a, b) inside clusters, between texts that no link connects yet.
+
+    Blocks of a cluster meet by an equi-join. A block pair counts common shingles of all its texts
+    as a matrix product over the shingles that both sides hold, and gives a spanning forest of the
+    links it finds, so nothing of quadratic size leaves the task.
+    """
+    left, right = (blocks.select("cluster", F.col("part").alias(f"p{c}"), F.col("texts").alias(c))
+                   for c in "lr")
+    met = left.join(right, "cluster").filter("pl <= pr").select("l", "r")
+
+    def counts(first, second, rows: int, columns: int) -> np.ndarray:
+        common = np.intersect1d(first[1], second[1])
+        total = np.zeros((rows, columns), np.float32)
+        sides = []
+        for text, value in (first, second):
+            place = np.minimum(np.searchsorted(common, value), max(len(common) - 1, 0))
+            held = common[place] == value if len(common) else np.zeros(len(value), bool)
+            order = np.argsort(place[held], kind="stable")
+            sides.append((text[held][order], place[held][order]))
+        for at in range(0, len(common), 4096):
+            matrix = []
+            for (text, place), size in zip(sides, (rows, columns)):
+                some = slice(*np.searchsorted(place, [at, at + 4096]))
+                part = np.zeros((size, min(4096, len(common) - at)), np.float32)
+                part[text[some], place[some] - at] = 1
+                matrix.append(part)
+            total += matrix[0] @ matrix[1].T
+        return total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for r in range(part.num_rows):
+                sides = [part.column(c)[r].values for c in (0, 1)]
+                names, labels = ([np.array(x.field(f).to_pylist(), object) for x in sides]
+                                 for f in ("node", "root"))
+                sets = [shingle_sets(x.field("text"), plan.shingle) for x in sides]
+                size = [np.bincount(t, minlength=len(n)) for (t, _), n in zip(sets, names)]
+                both = counts(*sets, len(names[0]), len(names[1]))
+                either = size[0][:, None] + size[1][None, :] - both
+                near = (100 * both >= plan.percent * either) & (labels[0][:, None] != labels[1][None, :])
+                a, b = forest(near)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(names)[a], pa.binary()), pa.array(names[0][b], pa.binary())],
+                    names=["a", "b"])
+
+    return met.mapInArrow(run, "a binary, b binary")
+
+
 def _linked(nodes: DataFrame, rows: DataFrame, plan: Sketch) -> DataFrame | None:
     """(node, root) of every node in a component of two or more; None if there is none."""
     bands = _bands(nodes, plan)
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    member = store(bands.join(shared, "bucket"))
-    there = member.select("node").distinct()
-    texts = store(nodes.join(there, "node").select("node", "r1", "r2").join(
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("pivot"))
+    member = store(bands.join(shared.filter("c > 1").select("bucket", "pivot"), "bucket"))
+    texts = store(nodes.join(member.select("node").distinct(), "node").select("node", "r1", "r2").join(
         rows.select(*ROW, "text"), list(ROW)).dropDuplicates(["node"]).select("node", "text"))
-    tried = links = labels = None
-    pivots = 1
-    while True:
-        known = member.withColumn("root", F.col("node")) if labels is None else member.join(
-            labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = known.groupBy("bucket").agg(
-            F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        left = store(known.join(open_.select("bucket"), "bucket").select("bucket", "node", "root"))
-        if left.isEmpty():
-            return labels
-        # The first nodes of a bucket; the limit is applied before rows are exchanged.
-        order = Window.partitionBy("bucket").orderBy("node")
-        chosen = left.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pivots)
-        pivot = chosen.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"))
-        pairs = left.join(pivot, "bucket").filter("a < node AND ra <> root").select(
-            "a", F.col("node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = store(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        good = store(_confirmed(store(_promising(pairs, nodes, plan)), texts, plan))
-        if not good.isEmpty():
-            links = good if links is None else links.unionByName(good)
-            labels = components(links)
-        last = pivot.groupBy("bucket").agg(F.max("a").alias("last"))
-        member = left.join(last, "bucket").filter("node > last").select("bucket", "node")
-        pivots = plan.pivots
+    pairs = store(member.filter("node <> pivot").select(
+        F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    good = store(_confirmed(store(_promising(pairs, nodes, plan)), texts, plan))
+    labels = None if good.isEmpty() else components(good)
+    known = member.withColumn("root", F.col("node")) if labels is None else member.join(
+        labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = known.groupBy("bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    left = store(known.join(open_.select("bucket"), "bucket").select("pivot", "node", "root"))
+    if left.isEmpty():
+        return labels
+    # Members of open buckets that buckets connect; all pairs that share a bucket are in a cluster.
+    clusters = components(left.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    staged = store(clusters.select("node", F.col("root").alias("cluster")).join(
+        left.select("node", "root").distinct(), "node").join(texts, "node"))
+    sizes = staged.groupBy("cluster").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = staged.join(sizes, "cluster").withColumn("part", F.pmod(
+        F.xxhash64("node"), F.ceil(F.col("bytes") / plan.block_bytes))).groupBy("cluster", "part").agg(
+        F.collect_list(F.struct("node", "root", "text")).alias("texts"))
+    found = store(_compared(blocks, plan))
+    return labels if found.isEmpty() else _relabelled(labels, found)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",

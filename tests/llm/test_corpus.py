@@ -70,7 +70,8 @@ def test_words_of_colliding_hashes_are_told_apart(monkeypatch):
 @pytest.mark.parametrize("shingle", [2, 5])
 def test_near_dedup_matches_all_pairs(spark, shingle):
     rows = corpus()
-    found = near_dedup.near_duplicates(frame(spark, rows), plan=near_dedup.Sketch(shingle=shingle))
+    plan = near_dedup.Sketch(shingle=shingle, block_bytes=5000)
+    found = near_dedup.near_duplicates(frame(spark, rows), plan=plan)
     got = found.select("doc_id", "n_shingles", "component_id", "kept").collect()
     wanted = near(rows, shingle)
     assert sorted(map(tuple, got)) == sorted(wanted)
@@ -85,7 +86,7 @@ def test_near_dedup_keeps_chains_that_no_pivot_spans(spark):
         rows.append((i, " ".join(body)))
         for k in range(4):
             body[(4 * i + k) % 120] = f"z{i}-{k}"
-    plan = near_dedup.Sketch(shingle=2, pivots=2)
+    plan = near_dedup.Sketch(shingle=2, block_bytes=3000)
     found = near_dedup.near_duplicates(frame(spark, rows), plan=plan)
     assert {r.component_id for r in found.collect()} == {0}
 
