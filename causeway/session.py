@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _PARTITIONS = "spark.sql.shuffle.partitions"
@@ -67,10 +68,19 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         )
 
 
+def _remove_scratch(context: SparkContext, folder: str) -> None:
+    if context._jsc is None:
+        return  # stopped; nothing can reach the file system any more
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name below the shared checkpoint folder."""
+    """A new folder name below the shared checkpoint folder, removed when the program ends."""
     _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+    atexit.register(_remove_scratch, spark.sparkContext, folder)
+    return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
