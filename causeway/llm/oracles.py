@@ -107,3 +107,54 @@ SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links,
        min(other) AS component_id, e.vec_id = min(other) AS kept
 FROM embeddings e JOIN reach USING (vec_id) GROUP BY e.vec_id
 """
+
+
+def _covered(n: int, first_too: bool) -> str:
+    """Word places inside ``n``-word windows found before (or, ``first_too``, found twice)."""
+    test = "times > 1" if first_too else "turn > 1"
+    return f"""
+    SELECT DISTINCT doc_id, unnest(range(pos, pos + {n})) AS pos FROM (
+        SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS times,
+               row_number() OVER (PARTITION BY doc_id, gram ORDER BY pos) AS turn
+        FROM (SELECT doc_id, pos, array_to_string(w[pos: pos + {n - 1}], ' ') AS gram
+              FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS pos FROM docs)))
+    WHERE {test}"""
+
+
+def _share(n: int) -> str:
+    return f"""
+    SELECT doc_id, sum(length(w[pos])) AS chars
+    FROM ({_covered(n, False)}) JOIN docs USING (doc_id) GROUP BY doc_id"""
+
+
+TEXTS["op5_quality_rules"] = rf"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+split_lines AS (
+    SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM docs)),
+turns AS (
+    SELECT doc_id, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+           row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS turn
+    FROM split_lines WHERE regexp_matches(line, {_WORD})),
+dup AS (SELECT doc_id, count(*) AS n, sum(chars) AS chars FROM turns WHERE turn > 1 GROUP BY doc_id),
+twice AS (SELECT doc_id, count(*) AS n FROM ({_covered(5, True)}) GROUP BY doc_id),
+g5 AS ({_share(5)}), g7 AS ({_share(7)}), g10 AS ({_share(10)}),
+measured AS (
+    SELECT d.doc_id, len(w) AS n_words,
+           CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+           len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+           coalesce(dup.n, 0) AS n_dup_lines, coalesce(twice.n, 0) AS n_repeat_words,
+           coalesce(dup.chars, 0) AS cl, coalesce(g5.chars, 0) AS c5, coalesce(g7.chars, 0) AS c7,
+           coalesce(g10.chars, 0) AS c10
+    FROM docs d LEFT JOIN dup USING (doc_id) LEFT JOIN twice USING (doc_id) LEFT JOIN g5 USING (doc_id)
+    LEFT JOIN g7 USING (doc_id) LEFT JOIN g10 USING (doc_id)),
+judged AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+           CAST(greatest(word_chars, 1) AS DOUBLE) AS total FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND cl / total <= 0.30 AND 100 * n_symbols <= 25 * n_words
+           AND c5 / total <= 0.30 AND c7 / total <= 0.25 AND c10 / total <= 0.20 AS kept
+FROM judged
+"""
