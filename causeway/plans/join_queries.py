@@ -10,7 +10,7 @@ from .feature_queries import PATH_PAIRS, dirs_sql, overlap_sql, tokens_sql
 
 _PAIR_INPUT = """SELECT c.c_nationkey AS repo, o_orderkey AS commit_sha FROM orders
     JOIN customer c ON o_custkey = c_custkey"""
-_PAIR_TESTS = "SELECT l_suppkey % 25 AS repo, l_partkey AS test_id FROM lineitem WHERE l_suppkey < 50"
+_PAIR_TESTS = "SELECT l_suppkey % 25 AS repo, l_partkey AS test_id FROM lineitem"
 _PAIR_RUNS = """SELECT l_orderkey AS commit_sha, l_partkey AS test_id,
     CASE l_returnflag WHEN 'R' THEN 'FAILED' WHEN 'N' THEN 'ERROR' ELSE 'PASSED' END AS status
     FROM lineitem"""
@@ -149,8 +149,7 @@ def _(t: Tables):
 @query("nearest_source", "C10", f"""
     WITH o AS (SELECT DISTINCT l_orderkey, test_path, changed FROM ({PATH_PAIRS.replace(
         "'Module.py') AS changed", "'Module.py') AS changed0").replace(
-        "AS fn", "AS fn, concat('src/core/', lower(p_type), '/', p_brand, 'X', replace(p_name, ' ', '_'), '.py') AS changed").replace(
-        "SELECT l_orderkey, l_linenumber", "SELECT l_orderkey % 800 AS l_orderkey, l_linenumber")}) x),
+        "AS fn", "AS fn, concat('src/core/', lower(p_type), '/', p_brand, 'X', replace(p_name, ' ', '_'), '.py') AS changed")}) x),
     s AS (SELECT *, {tokens_sql('changed')} AS tc, {tokens_sql('test_path')} AS tt,
           {dirs_sql('changed')} AS dc, {dirs_sql('test_path')} AS dt FROM o),
     q AS (SELECT l_orderkey, test_path, changed, CASE WHEN len(tc) > 0 AND len(tt) > 0
@@ -164,8 +163,7 @@ def _(t: Tables):
     changed = ("concat('src/core/', lower(p_type), '/', p_brand, 'X', replace(p_name, ' ', '_'), "
                "'.py') AS changed2")
     rows = t.select(PATH_PAIRS.replace("AS fn", f"AS fn, {changed}"), "lineitem", "part").select(
-        (F.col("l_orderkey") % 800).alias("l_orderkey"), "test_path",
-        F.col("changed2").alias("changed"))
+        "l_orderkey", "test_path", F.col("changed2").alias("changed"))
     return joins.nearest_source(rows, ["l_orderkey"], "test_path", "changed")
 
 
@@ -221,10 +219,9 @@ def _(t: Tables):
 
 _DOCUMENTED = """SELECT DISTINCT CASE WHEN p_size % 9 = 0 THEN concat(p_brand, '/', p_type, '.py')
         ELSE concat(p_brand, '/', p_type, '.py::', replace(p_name, ' ', '_')) END AS doc
-    FROM part WHERE p_size % 3 = 0"""
+    FROM part"""
 _MEASURED = """SELECT DISTINCT concat(p_brand, '/', p_type, '::K', CAST(p_size % 4 AS STRING), '::',
-        replace(p_name, ' ', '_'), '[', CAST(p_size AS STRING), ']') AS item FROM part
-    WHERE p_size % 2 = 0"""
+        replace(p_name, ' ', '_'), '[', CAST(p_size AS STRING), ']') AS item FROM part"""
 
 
 @query("match_documented", "C14", f"""
@@ -245,7 +242,7 @@ _FILES = """SELECT DISTINCT CASE WHEN p_size % 4 = 0 THEN concat(p_brand, '/', p
         WHEN p_size % 4 = 1 THEN concat(p_type, '/', replace(p_name, ' ', '_'), '.py')
         WHEN p_size % 4 = 2 THEN concat(replace(p_name, ' ', '_'), '.py')
         ELSE concat('root/', p_brand, '/', p_type, '/', replace(p_name, ' ', '_'), '.py') END AS path
-    FROM part WHERE p_retailprice > 1000"""
+    FROM part"""
 
 
 @query("resolve_ids", "C15", f"""
@@ -270,7 +267,7 @@ _IMPORTS = """SELECT p_partkey % 97 AS test, CASE p_size % 4
         ELSE 'os' END AS module FROM part"""
 _MODULES = """SELECT DISTINCT concat('src/', lower(p_type), '/', CASE WHEN p_size % 2 = 0
         THEN replace(p_name, ' ', '_') ELSE split_part(p_name, ' ', 1) END, '.py') AS path
-    FROM part WHERE p_size > 20"""
+    FROM part"""
 
 
 @query("direct_import", "C17", f"""
@@ -287,12 +284,12 @@ def _(t: Tables):
 @query("union_corpora", "H1", """
     SELECT repo, count(*) AS n, count(DISTINCT grp) AS groups_, count(tax) AS with_tax FROM (
       SELECT 'a' AS repo, concat('a::', CAST(l_orderkey AS STRING)) AS grp, NULL AS tax FROM lineitem
-      WHERE l_linenumber = 1 UNION ALL
+      WHERE l_linenumber % 2 = 1 UNION ALL
       SELECT 'b', concat('b::', CAST(l_orderkey AS STRING)), l_tax FROM lineitem
-      WHERE l_linenumber = 2) x GROUP BY repo""")
+      WHERE l_linenumber % 2 = 0) x GROUP BY repo""")
 def _(t: Tables):
-    first = t.lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("grp"))
-    second = t.lineitem.filter("l_linenumber = 2").select(
+    first = t.lineitem.filter("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("grp"))
+    second = t.lineitem.filter("l_linenumber % 2 = 0").select(
         F.col("l_orderkey").alias("grp"), F.col("l_tax").alias("tax"))
     out = joins.union_corpora({"a": first, "b": second}, "grp")
     return out.groupBy("repo").agg(
@@ -323,14 +320,14 @@ _OVERLAY = """SELECT l_orderkey AS bug, l_linenumber, l_suppkey,
 
 @query("overlay_paths", "H4", f"""
     WITH o AS ({_OVERLAY})
-    SELECT bug, path FROM o WHERE l_linenumber = 1 UNION
-    SELECT bug, path FROM o WHERE l_linenumber = 2 AND path LIKE 'tests/%' EXCEPT
-    SELECT bug, path FROM o WHERE l_linenumber = 3""")
+    SELECT bug, path FROM o WHERE l_linenumber % 3 = 1 UNION
+    SELECT bug, path FROM o WHERE l_linenumber % 3 = 2 AND path LIKE 'tests/%' EXCEPT
+    SELECT bug, path FROM o WHERE l_linenumber % 3 = 0""")
 def _(t: Tables):
     rows = t.select(_OVERLAY, "lineitem", "part")
     return joins.overlay_paths(
-        rows.filter("l_linenumber = 1"), rows.filter("l_linenumber = 2"),
-        rows.filter("l_linenumber = 3"), "bug", "path", ["tests/"])
+        rows.filter("l_linenumber % 3 = 1"), rows.filter("l_linenumber % 3 = 2"),
+        rows.filter("l_linenumber % 3 = 0"), "bug", "path", ["tests/"])
 
 
 _GRAPH_FILES = """SELECT concat('src/m', CAST(s_suppkey % 20 AS STRING), '/f', CAST(s_suppkey AS STRING),
@@ -340,7 +337,7 @@ _GRAPH_IMPORTS = """SELECT concat('src/m', CAST(l_suppkey % 20 AS STRING), '/f',
     CASE l_linenumber % 3 WHEN 0 THEN concat('src.m', CAST(l_partkey % 20 AS STRING), '.f',
         CAST(l_partkey % 100 AS STRING)) WHEN 1 THEN concat('f', CAST(l_partkey % 200 AS STRING), '.helper')
     ELSE concat('f', CAST(l_partkey % 150 AS STRING)) END AS module
-    FROM lineitem WHERE l_quantity < 3"""
+    FROM lineitem"""
 
 
 @query("import_edges", "D1", f"""
@@ -356,14 +353,15 @@ def _(t: Tables):
                               t.select(_GRAPH_IMPORTS, "lineitem"), "path", "module")
 
 
-# A sparser graph than all suppliers and parts would give, so that distances vary.
-_EDGES = """SELECT DISTINCT concat('n', CAST(l_partkey % 300 AS STRING)) AS src,
-        concat('n', CAST((l_partkey % 300) * 7 % 300 + l_suppkey % 2 AS STRING)) AS dst FROM lineitem
-    WHERE (l_partkey % 300) <> (l_partkey % 300) * 7 % 300 + l_suppkey % 2"""
-_G_PAIRS = """SELECT DISTINCT l_suppkey AS commit_sha, concat('n', CAST(l_partkey % 300 AS STRING)) AS test
-    FROM lineitem WHERE l_linenumber = 7"""
-_G_CHANGED = """SELECT DISTINCT l_suppkey AS commit_sha, concat('n', CAST(l_orderkey % 310 AS STRING)) AS path
-    FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1"""
+# Every part imports one or two parts with a third of its number: a graph that grows and deepens
+# with the data, with cycles only at its root.
+_EDGES = """SELECT src, dst FROM (SELECT DISTINCT concat('n', CAST(l_partkey AS STRING)) AS src,
+        concat('n', CAST(CAST((l_partkey - l_partkey % 3) / 3 + l_suppkey % 2 AS BIGINT) AS STRING)) AS dst
+    FROM lineitem) q WHERE src <> dst"""
+_G_PAIRS = """SELECT DISTINCT l_suppkey AS commit_sha, concat('n', CAST(l_partkey AS STRING)) AS test
+    FROM lineitem"""
+_G_CHANGED = """SELECT DISTINCT commit_sha, concat('n', CAST(part AS STRING)) AS path FROM (
+        SELECT max(l_suppkey) AS commit_sha, min(l_partkey) AS part FROM lineitem GROUP BY l_orderkey) q"""
 
 
 @query("dependency_features", "D2", f"""
@@ -393,13 +391,13 @@ def _(t: Tables):
         t.select(_EDGES, "lineitem"), "commit_sha", "test", "path")
 
 
-_OVERLAP_ROWS = """SELECT l_orderkey % 3000 AS k, concat('tests/', lower(p_type), '/test_',
-        CAST(l_orderkey % 3000 AS STRING), '.py') AS test,
+_OVERLAP_ROWS = """SELECT l_orderkey AS k, concat('tests/', lower(p_type), '/test_',
+        CAST(l_orderkey AS STRING), '.py') AS test,
     concat('src/', CASE l_suppkey % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' ELSE 'promo' END, '/',
         split_part(p_name, ' ', 2), '.py') AS changed,
     CASE l_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'os' WHEN 2 THEN concat('lib.', 'ring')
          ELSE 'src.large.bolt' END AS module
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber < 3"""
+    FROM lineitem JOIN part ON l_partkey = p_partkey"""
 _GENERIC = "['src', 'tests', 'test', 'lib', 'app', 'core', 'pkg']"
 
 
@@ -424,8 +422,7 @@ def _(t: Tables):
 
 _DEP_FEATURES = """SELECT l_suppkey % 20 AS repo, l_tax AS a, l_discount AS b,
     CASE WHEN l_suppkey % 20 < 5 THEN 0.0 ELSE l_linenumber * 1.0 END AS c,
-    CASE WHEN l_suppkey % 20 < 9 THEN 1.0 ELSE l_quantity END AS d, 1.0 AS e FROM lineitem
-    WHERE l_suppkey % 20 > 2"""
+    CASE WHEN l_suppkey % 20 < 9 THEN 1.0 ELSE l_quantity END AS d, 1.0 AS e FROM lineitem"""
 
 
 @query("dependency_variance", "D4", f"""

@@ -66,12 +66,12 @@ def _(t: Tables):
 
 @query("replay_buffer", "M2", sql("""
     WITH u AS (SELECT event_id, ts, 0 AS late FROM runs WHERE event_id % 2 = 0 UNION ALL
-               SELECT event_id, ts, 1 FROM runs WHERE event_id % 2 = 1 AND event_id % 7 = 0)
+               SELECT event_id, ts, 1 FROM runs WHERE event_id % 2 = 1)
     SELECT event_id FROM u ORDER BY late DESC, ts DESC, event_id DESC LIMIT 1000""", "runs"))
 def _(t: Tables):
     rows = t.runs.select("event_id", "ts")
     return drift.replay_buffer(
-        rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1 AND event_id % 7 = 0"),
+        rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"),
         ["ts", "event_id"], 1000).select("event_id")
 
 
