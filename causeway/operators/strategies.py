@@ -55,47 +55,33 @@ def random_share(
     return _top_share(drawn, commit, order, budget).drop("__draw")
 
 
-def item_stem(path: Column) -> Column:
-    """Module a test file is presumed to cover: its name without the test affix."""
-    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
-    name = F.regexp_replace(name, r"\.py$", "")
-    name = F.element_at(F.split(name, "::"), 1)
-    return F.regexp_replace(F.regexp_replace(name, "^test_", ""), "_test$", "")
-
-
 def changed_stem(path: Column) -> Column:
     """Bare lowercase module name of a changed file."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     return F.lower(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
 
 
+STEM_BLOCK = 256  # changed stems of a commit that one row carries
+
+
 def name_correspondence(
     tests: DataFrame, changed: DataFrame, commit: str, test_path: str, changed_path: str
 ) -> DataFrame:
-    """Tests whose stem equals a changed stem of their commit, or whose path contains one.
+    """Tests whose path contains the stem of a file that their commit changed.
 
-    Containment becomes an equi-join: every distinct test path is expanded into its substrings
-    of the lengths that occur among the stems, and matched against the distinct stems once.
-    The work is linear in distinct paths; no (test, file) pair is formed that does not match.
+    The distinct stems of a commit travel as lists, split by hash so that a large commit spreads
+    over rows; each distinct test path of the commit is tested against a list at once.  A stem
+    equal to the test's own is contained in its path as well.
     """
     stems = changed.select(commit, changed_stem(F.col(changed_path)).alias("__stem"))
     stems = stems.filter("length(__stem) > 0").distinct()
-    bounds = stems.agg(F.min(F.length("__stem")).alias("lo"),
-                       F.max(F.length("__stem")).alias("hi")).first()
-    if bounds["lo"] is None:
-        return tests.withColumn("matched", F.lit(False))
-    paths = tests.select(test_path).distinct()
+    sizes = stems.groupBy(commit).agg(F.count(F.lit(1)).alias("__n"))
+    lists = stems.join(sizes, commit).groupBy(commit, F.pmod(
+        F.xxhash64("__stem"), F.ceil(F.col("__n") / STEM_BLOCK)).alias("__block")).agg(
+        F.collect_list("__stem").alias("__stems"))
     low = F.lower(F.col(test_path))
-    sizes = F.sequence(F.lit(int(bounds["lo"])), F.lit(int(bounds["hi"])))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    pieces = F.flatten(F.transform(starts, lambda s: F.transform(
-        F.filter(sizes, lambda n: s + n - 1 <= F.length(low)),
-        lambda n: F.substr(low, s, n))))
-    expanded = paths.select(test_path, F.explode(F.array_distinct(F.array_append(
-        pieces, item_stem(low)))).alias("__stem"))
-    hits = expanded.join(stems.select("__stem").distinct(), "__stem", "left_semi")
-    keyed = tests.select(commit, test_path).distinct().join(hits, test_path)
-    matches = keyed.join(stems, [commit, "__stem"], "left_semi").select(
+    matches = tests.select(commit, test_path).distinct().join(lists, commit).filter(
+        F.exists("__stems", lambda stem: F.contains(low, stem))).select(
         commit, test_path).distinct().withColumn("matched", F.lit(True))
     joined = tests.join(matches, [commit, test_path], "left")
     return joined.withColumn("matched", F.coalesce("matched", F.lit(False)))

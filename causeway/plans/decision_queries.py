@@ -272,7 +272,7 @@ _CORRESPONDENCE = """SELECT l_suppkey AS commit_sha, l_partkey AS test_id, l_ord
     FROM lineitem JOIN part ON l_partkey = p_partkey"""
 _CHANGED = f"""SELECT DISTINCT commit_sha, concat('src/', p_brand, '/', CASE WHEN test_id % 3 = 0
         THEN element_at(split(p_name, ' '), 2) ELSE replace(p_name, ' ', '_') END, '.py') AS path
-    FROM ({_CORRESPONDENCE}) c WHERE l_linenumber = 1 AND l_quantity <= 2"""
+    FROM ({_CORRESPONDENCE}) c"""
 _CHANGED_DUCK = _CHANGED.replace("element_at(split(p_name, ' '), 2)", "split_part(p_name, ' ', 2)")
 _MATCH = f"""
     WITH rows_ AS ({_CORRESPONDENCE}),
