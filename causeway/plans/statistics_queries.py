@@ -240,7 +240,30 @@ def _(t: Tables):
     return diffs
 
 
-@query("interval_table", "L5")
+def _cell(point: str, low: str, high: str) -> str:
+    """DuckDB text of ``format_interval`` with one digit and a percent sign."""
+    fixed = lambda x: (f"printf('%.1f', CASE WHEN {x} < 0 THEN -round_even(-{x}, 1) "
+                       f"ELSE round_even({x}, 1) END)")
+    return (f"CASE WHEN {point} IS NULL THEN 'n/a' WHEN {low} IS NULL OR {high} IS NULL "
+            f"THEN {fixed(point)} || '% [no interval]' "
+            f"ELSE {fixed(point)} || '% [' || {fixed(low)} || ', ' || {fixed(high)} || ']' END")
+
+
+@query("interval_table", "L5", sql(f"""{_STRATEGY_SQL}
+    i AS (SELECT strategy, metric, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high
+          FROM v GROUP BY 1, 2),
+    c AS (SELECT strategy, metric, {_cell('value', 'low', 'high')} AS cell FROM pt JOIN i USING (strategy, metric)),
+    d AS (SELECT a.strategy, quantile_cont(a.value - b.value, 0.025) AS low,
+                 quantile_cont(a.value - b.value, 0.975) AS high FROM v a JOIN v b USING (rep, metric)
+          WHERE a.strategy <> 'loose' AND b.strategy = 'loose' AND metric = 'fr' GROUP BY 1),
+    e AS (SELECT a.strategy, a.value - b.value AS value, low, high FROM pt a JOIN d USING (strategy), pt b
+          WHERE a.metric = 'fr' AND b.metric = 'fr' AND b.strategy = 'loose')
+    SELECT c.strategy, """ + ", ".join(
+        f"max(CASE WHEN metric = '{m}' THEN cell END) AS {m}" for m in statistics.METRICS) + f""",
+           coalesce(max(CASE WHEN e.strategy IS NOT NULL THEN {_cell('e.value', 'e.low', 'e.high')}
+           || CASE WHEN e.low > 0 OR e.high < 0 THEN ' *' ELSE '' END END),
+                    'reference') AS fr_vs_reference
+    FROM c LEFT JOIN e ON c.strategy = e.strategy GROUP BY c.strategy""", "scored"))
 def _(t: Tables):
     table, diffs = statistics.cluster_bootstrap(_strategy_stats(t), reference="loose")
     return statistics.interval_table(table, diffs)
@@ -315,7 +338,26 @@ def _(t: Tables):
     return statistics.select_calibrator(statistics.calibrator_scores(points, None, "method"))
 
 
-@query("select_calibrator_intervals", "L8")
+_THREE = ("ece", "mce", "brier")
+
+
+@query("select_calibrator_intervals", "L8", sql(f"""{_CALIBRATED_SQL},
+    w AS (SELECT method, """ + ", ".join(
+        f"max(CASE WHEN metric = '{m}' THEN value END) AS {m}" for m in _THREE) + """ FROM pt GROUP BY method),
+    x AS (SELECT a.method, a.metric, a.value - b.value AS gap,
+                 CAST(coalesce(low > 0 OR high < 0, FALSE) AS BIGINT) AS clear
+          FROM pt a JOIN pt b USING (metric) JOIN i ON i.method = a.method AND i.metric = a.metric
+          WHERE b.method = 'uncalibrated'),
+    g AS (SELECT method, """ + ", ".join(
+        f"max(CASE WHEN metric = '{m}' THEN gap END) AS {m}_gap, max(CASE WHEN metric = '{m}' THEN clear END) AS {m}_clear"
+        for m in _THREE) + """ FROM x GROUP BY method),
+    j AS (SELECT w.*, g.* EXCLUDE (method), CASE WHEN w.method = 'uncalibrated' THEN 'baseline'
+          WHEN mce_gap > 0 AND mce_clear = 1 THEN 'mce_worse' WHEN brier_gap > 0 AND brier_clear = 1 THEN 'brier_worse'
+          WHEN NOT coalesce(ece_gap < 0 AND ece_clear = 1, FALSE) THEN 'no_ece_gain' ELSE 'eligible' END AS verdict
+          FROM w LEFT JOIN g ON w.method = g.method)
+    SELECT method, """ + ", ".join(f"{r(m)} AS {m}, {r(m + '_gap')} AS {m}_gap, {m}_clear" for m in _THREE) + """, verdict,
+           CAST(method = coalesce((SELECT method FROM j WHERE verdict = 'eligible'
+               ORDER BY ece, mce, brier, method LIMIT 1), 'uncalibrated') AS BIGINT) AS chosen FROM j""", "scored"))
 def _(t: Tables):
     points, diffs = statistics.score_calibrators(_calibrated(t), "cluster", "method", "label", "p")
     return statistics.select_calibrator(statistics.calibrator_scores(points, diffs, "method"))
