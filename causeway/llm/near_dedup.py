@@ -335,14 +335,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return found
 
 
-def with_classes(docs: DataFrame, found: DataFrame, key: str = "doc_id",
-                 text: str = "text") -> DataFrame:
-    """``docs`` with n_shingles, component_id and kept added; columns of these names are replaced."""
+def with_classes(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text",
+                 once: bool = False) -> DataFrame:
+    """``docs`` with n_shingles, component_id and kept added; columns of these names are replaced.
+
+    ``once`` keeps one of several rows that are equal in key and text.
+    """
     new = ("n_shingles", "component_id", "kept")
     old = [c for c in docs.columns if c not in new]
     base = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in old]).alias("_row"),
         F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("r1"),
         F.xxhash64(F.lit("row"), F.col(f"`{text}`"), F.lit(7), F.col(f"`{key}`")).alias("r2"))
-    return base.join(found.dropDuplicates(list(ROW)), list(ROW)).select(
-        *[F.col("_row")[c].alias(c) for c in old], *new)
+    joined = base.join(found.dropDuplicates(list(ROW)), list(ROW))
+    if once:  # rows of one identity are together after the join
+        joined = joined.dropDuplicates(list(ROW))
+    return joined.select(*[F.col("_row")[c].alias(c) for c in old], *new)

@@ -39,7 +39,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of smallest id, of each group of near-duplicates (5 words, 0.8)."""
     found = near_dedup.near_duplicates(docs)
-    return near_dedup.with_classes(docs, found).filter("kept").select(*COLUMNS)
+    return near_dedup.with_classes(docs, found, once=True).filter("kept").select(*COLUMNS)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

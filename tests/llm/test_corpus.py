@@ -98,6 +98,8 @@ def test_near_dedup_classes_return_to_rows(spark):
     assert whole.count() == docs.count()
     assert set(whole.columns) == {"doc_id", "text", "r1", "n", "kept", "n_shingles", "component_id"}
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+    twice = docs.unionByName(docs)
+    assert near_dedup.with_classes(twice, near_dedup.near_duplicates(twice), once=True).count() == docs.count()
 
 
 def test_sketch_estimate_is_close():
