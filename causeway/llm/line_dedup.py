@@ -102,10 +102,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     prepare(docs.sparkSession)
     found = store(leaves(with_row(docs, key, text), tree))
-    recurring = found.groupBy("leaf").agg(
+    # Stored, so that both sides of the join are exchanged and Spark can split a hot template.
+    recurring = store(found.groupBy("leaf").agg(
         F.count("*").alias("docs"), F.min(F.struct("key", "r1", "r2")).alias("first")).filter(
         F.col("docs") >= tree.min_docs).select("leaf", "first.r1", "first.r2").toDF(
-        "leaf", "f1", "f2")
+        "leaf", "f1", "f2"))
     dropped = found.join(recurring, "leaf").filter(
         (F.col("r1") != F.col("f1")) | (F.col("r2") != F.col("f2")))
     per_doc = dropped.groupBy(*ROW).agg(F.collect_set("leaf").alias("_leaves"))
