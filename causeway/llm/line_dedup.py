@@ -4,7 +4,9 @@ A line's path in the tree is its token count and then its leading tokens, where
 digit counts as a variable field. A leaf is a template: the leading tokens stay fixed, the fields
 and the tokens behind the tree's depth vary. A line of more than twice the depth is its own leaf by
 all its tokens, so at least half of a template's tokens are always fixed. Templates that recur in
-``min_docs`` documents are dropped everywhere but in the first of them.
+``min_docs`` documents are dropped everywhere but in the first of them. With ``exact_docs`` every
+line is a leaf of its own bytes as well, however short or variable, and exactly equal lines are
+dropped from that many documents on.
 
 Leaves are counted by a map-side combined aggregate over 64-bit path hashes; a template shared by a
 third of all lines is one row per task there, and the join that brings the decision back is an
@@ -21,21 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Words, mix, prepare, store, unsigned, with_row
+from .common import ROW, Words, mix, prepare, span_hashes, store, unsigned, with_row
 
 
 @dataclass(frozen=True)
 class Tree:
+    """``min_tokens`` and ``min_docs`` hold for templates, of whose tokens half must be fixed;
+    ``exact_docs`` for exactly equal lines of any words, which without it are left alone."""
+
     depth: int = 8
     min_tokens: int = 5
     min_docs: int = 5
+    exact_docs: int | None = None
 
 
 _WILD = np.uint64(0x5851F42D4C957F2D)
+_EXACT = np.uint64(1)  # the lowest bit of a leaf tells equal lines from templates
 
 
 class Lines:
-    """Lines of a batch of texts: leaf hash, whether it can be a template, text and place there."""
+    """Lines of a batch of texts: leaf hash, whether it can be a template, text and place there;
+    with ``exact_docs`` also the hash of the line itself and whether it has words."""
 
     def __init__(self, texts: pa.Array, tree: Tree) -> None:
         words = Words(texts)
@@ -68,6 +76,17 @@ class Lines:
         self.leaf = mix((total[last] - total[first]) ^ mix(tokens.astype(np.uint64)))
         fixed = constant[last] - constant[first]
         self.usable = (tokens >= tree.min_tokens) & (2 * fixed >= tokens)
+        self.kinds = [(self.leaf & ~_EXACT, self.usable)]
+        if tree.exact_docs is not None:
+            end = np.empty(edges[-1], np.int64)
+            end[edges[1:] - 1] = offsets[1:]
+            inner = np.ones(edges[-1], bool)
+            inner[edges[1:] - 1] = False
+            end[inner] = breaks
+            worded = tokens > 0
+            whole = np.zeros(len(begin), np.uint64)
+            whole[worded] = span_hashes(data, begin[worded], end[worded])
+            self.kinds.append((whole | _EXACT, worded))
 
 
 def leaves(rows: DataFrame, tree: Tree) -> DataFrame:
@@ -76,7 +95,8 @@ def leaves(rows: DataFrame, tree: Tree) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             lines = Lines(part.column(3), tree)
-            text, leaf = lines.text[lines.usable], lines.leaf[lines.usable]
+            text = np.concatenate([lines.text[some] for _, some in lines.kinds])
+            leaf = np.concatenate([value[some] for value, some in lines.kinds])
             order = np.lexsort((leaf, text))
             text, leaf = text[order], leaf[order]
             new = np.ones(len(text), bool)
@@ -96,16 +116,18 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Lines are what a split at line feeds gives. The first document of a template, which keeps it,
     is the one of smallest key (nulls first), then row hash; rows equal in key and text count as
-    several documents and are treated alike. Lines inside one document are not compared with each
+    several documents and are treated alike. The same holds for equal lines; a line goes if either
+    rule drops it, and a line without words always stays. Lines inside one document are not compared with each
     other. A null text stays null with no lines, an empty one has one empty line; neither loses
     any. Other columns pass through, but for n_lines and n_dropped, which are replaced.
     """
     prepare(docs.sparkSession)
     found = store(leaves(with_row(docs, key, text), tree))
+    least = F.when(F.col("leaf").bitwiseAND(1) == 1, tree.exact_docs).otherwise(tree.min_docs)
     # Stored, so that both sides of the join are exchanged and Spark can split a hot template.
     recurring = store(found.groupBy("leaf").agg(
         F.count("*").alias("docs"), F.min(F.struct("key", "r1", "r2")).alias("first")).filter(
-        F.col("docs") >= tree.min_docs).select("leaf", "first.r1", "first.r2").toDF(
+        F.col("docs") >= least).select("leaf", "first.r1", "first.r2").toDF(
         "leaf", "f1", "f2"))
     dropped = found.join(recurring, "leaf").filter(
         (F.col("r1") != F.col("f1")) | (F.col("r2") != F.col("f2")))
@@ -117,8 +139,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
         owner = np.repeat(np.arange(len(sizes)), sizes)
         chosen = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         wanted = np.unique(mix(chosen + mix(owner.astype(np.uint64))))
-        here = mix(lines.leaf + mix(lines.text.astype(np.uint64)))
-        gone = np.isin(here, wanted) & lines.usable
+        own = mix(lines.text.astype(np.uint64))
+        gone = np.zeros(len(own), bool)
+        for value, some in lines.kinds:
+            gone |= np.isin(mix(value + own), wanted) & some
         lost = np.bincount(lines.text[gone], minlength=len(texts))
         edges = np.concatenate([[0], np.cumsum(lines.counts)])
         out = texts.to_pylist()

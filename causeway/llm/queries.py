@@ -58,6 +58,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op7_line_dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.dedup_lines(docs, tree=line_dedup.Tree(exact_docs=2))
+    return left.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("secrets.base", lambda k, n=n: k == n)).cast("long").alias(f"n_{kind}")
@@ -81,7 +87,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_formatting, op2_substring_dedup, op3_packing, op4_near_dedup,
-        op5_quality_rules, op6_byte_bpe, op7_line_dedup, op8_secret_scan,
+        op5_quality_rules, op6_byte_bpe, op7_line_dedup, op7_line_dedup_exact, op8_secret_scan,
         op9_embedding_dedup, op10_toxicity)}
 
 
