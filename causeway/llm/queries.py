@@ -69,7 +69,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("secrets.base", lambda k, n=n: k == n)).cast("long").alias(f"n_{kind}")
               for n, kind in enumerate(secret_scan.KINDS)]
     return found.select("doc_id", *counts, F.sha2("secrets.base_text", 256).alias("base_sha256"),
-                        F.col("secrets.spans_text").alias("spans"))
+                        F.col("secrets.spans_text").alias("spans"),
+                        F.col("secrets.refused").alias("refused"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ Each text is a first layer. Percent escapes, Unicode escapes, base64 runs and co
 found in a layer are unwrapped into further layers, until nothing new appears; a layer seen before
 is not entered again. Every layer is scanned with the same patterns, and each of its characters
 carries the span of the whole text it came from, so findings map back to code points of the text.
+The patterns are ASCII, so decoded bytes that are not UTF-8 are scanned one character a byte.
 One pass over the rows, no shuffle.
 """
 
@@ -16,8 +17,9 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,36 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_B = "[A-Za-z0-9+/_-]"
+_BREAK = r"\r?\n[ \t>]*"
+# A run of 16 and what is wrapped around it: the end of a line before, and the lines behind.
+_BASE64 = re.compile(rf"(?:(?<!{_B}){_B}{{1,15}}+{_BREAK})?{_B}{{16,}}+(?:{_BREAK}{_B}++)*+={{0,2}}")
+_RUN = re.compile(rf"{_B}+={{0,2}}")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """``layer_bytes`` guards against decompression bombs: a payload that unpacks to more is left
-    packed and counted in ``refused``, so the guard never goes unnoticed."""
+    """``layer_bytes`` is unpacked and held at a time: a larger payload is scanned in pieces, each
+    beginning with the last ``overlap_bytes`` of the one before, or with the base64 run that
+    crosses its end. ``total_bytes`` guards each text against decompression bombs. A payload with
+    more than that, or with a run of over half a layer, is counted in ``refused``."""
 
     layer_bytes: int = 64 << 20
+    overlap_bytes: int = 64 << 10
+    total_bytes: int = 4 << 30
+
+
+@dataclass
+class Guard:
+    """Bytes unpacked for a text so far, and the spans of payloads not scanned in full."""
+
+    limits: Limits
+    taken: int = 0
+    refused: list[tuple[int, int]] = field(default_factory=list)
+
+    def take(self, size: int) -> bool:
+        self.taken += size
+        return self.taken <= self.limits.total_bytes
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -56,32 +79,111 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _readable(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 without control characters."""
+def _characters(data: bytes) -> str:
+    """The bytes as UTF-8, or else one character a byte."""
     try:
-        text = data.decode()
+        return data.decode()
     except UnicodeDecodeError:
-        return None
-    return text if text and all(c >= " " or c in "\t\n\r" for c in text) else None
-
-
-def _inflate(data: bytes, limits: Limits) -> tuple[bytes | None, bool]:
-    """Unpacked bytes of a gzip, zlib, bzip2 or xz payload; whether the guard refused it."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-        engine = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
-        engine = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        engine = lzma.LZMADecompressor()
-    else:
-        return None, False
+        return data.decode("latin-1")
+
+
+def _engine(head: bytes):
+    """An unpacker for gzip, zlib, bzip2 or xz by the first bytes; None for others."""
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] == 0x78 and (head[0] << 8 | head[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _slices(data: bytes) -> Iterator[bytes]:
+    """Short parts, so that little is lost before a damaged place."""
+    return (data[at: at + 1024] for at in range(0, len(data), 1024))
+
+
+def _inflated(source: Iterator[bytes], size: int) -> Iterator[bytes]:
+    """Parts of at most ``size`` bytes of the packed members in ``source``, as far as they are sound."""
+    engine, rest = None, b""
     try:
-        out = engine.decompress(data, limits.layer_bytes + 1)
+        for data in source:
+            data, rest = rest + data, b""
+            while True:
+                if engine is None and (engine := _engine(data)) is None:
+                    if len(data) >= 6:
+                        return
+                    rest = data
+                    break
+                out = engine.decompress(data, size)
+                if out:
+                    yield out
+                if engine.eof:
+                    data, engine = engine.unused_data, None
+                    continue
+                data = getattr(engine, "unconsumed_tail", b"")
+                if not data and getattr(engine, "needs_input", True):
+                    break
+        if hasattr(engine, "flush"):
+            yield engine.flush()
     except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None, False
-    if len(out) > limits.layer_bytes:
-        return None, True
-    return out, False
+        return
+
+
+_ALPHABET = np.zeros(256, bool)
+_ALPHABET[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n")] = True
+
+
+def _overlapping(stream: Iterator[bytes], guard: Guard, span: tuple[int, int]) -> Iterator[bytes]:
+    """The stream in pieces of about ``layer_bytes``; a base64 run at a piece's end is carried over."""
+    limits, held, whole = guard.limits, bytearray(), True
+    for part in stream:
+        if not guard.take(len(part)):
+            whole = False
+            break
+        held += part
+        if len(held) >= limits.layer_bytes:
+            yield bytes(held)
+            keep = min(limits.overlap_bytes, limits.layer_bytes // 4)
+            outside = np.flatnonzero(~_ALPHABET[np.frombuffer(bytes(held[:-keep]), np.uint8)])
+            begin = int(outside[-1]) + 1 if len(outside) else 0
+            if len(held) - begin > limits.layer_bytes // 2:
+                whole, begin = False, len(held) - keep
+            held = held[begin:]
+    if held:
+        yield bytes(held)
+    if not whole:
+        guard.refused.append(span)
+
+
+def _unpacked(data: bytes, guard: Guard, span: tuple[int, int]) -> Iterator[bytes]:
+    """``data`` and all that is packed in it, layer by layer, in pieces."""
+    limits, seen = guard.limits, set()
+    size = min(1 << 20, limits.layer_bytes)
+    opened: Callable[[], Iterator[bytes]] = lambda: _slices(data)
+    while True:
+        stream, made, length = opened(), [], 0
+        for part in stream:
+            made.append(part)
+            length += len(part)
+            if length > limits.layer_bytes:
+                break
+        if length > limits.layer_bytes:
+            yield from _overlapping(chain(made, stream), guard, span)
+            if guard.taken > limits.total_bytes:
+                return
+            opened = lambda below=opened: _inflated(below(), size)
+            continue
+        layer = b"".join(made)
+        mark = hashlib.sha256(layer).digest()
+        if not layer or mark in seen:
+            return
+        if not guard.take(length):
+            guard.refused.append(span)
+            return
+        seen.add(mark)
+        yield layer
+        opened = lambda layer=layer: _inflated(_slices(layer), size)
 
 
 class Layer:
@@ -95,6 +197,11 @@ class Layer:
         places = np.arange(len(text) + 1)
         return cls(text, places[:-1], places[1:])
 
+    @classmethod
+    def behind(cls, text: str, start: int, end: int) -> Layer:
+        """A text that lies as a whole behind one span."""
+        return cls(text, *(np.broadcast_to(np.int64(x), len(text)) for x in (start, end)))
+
     def part(self, start: int, end: int) -> Layer:
         return Layer(self.text[start:end], self.starts[start:end], self.ends[start:end])
 
@@ -128,10 +235,12 @@ def _substituted(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(text), np.concatenate(starts), np.concatenate(ends))
 
 
-def _percent(run: str) -> list[tuple[str, int]] | None:
+def _percent(run: str) -> list[tuple[str, int]]:
     raw = bytes.fromhex(run.replace("%", ""))
-    text = _readable(raw)
-    return None if text is None else [(c, 3 * len(c.encode())) for c in text]
+    text = _characters(raw)
+    if len(text) == len(raw):  # one character a byte
+        return [(c, 3) for c in text]
+    return [(c, 3 * len(c.encode())) for c in text]
 
 
 def _unicode(mark: str) -> list[tuple[str, int]] | None:
@@ -146,9 +255,27 @@ def _unicode(mark: str) -> list[tuple[str, int]] | None:
 _ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u\{?[0-9A-Fa-f]|\\x[0-9A-Fa-f]{2}|&#[0-9xX]")
 
 
-def _unwrapped(layer: Layer, limits: Limits) -> tuple[list[Layer], int]:
-    """The layers directly below ``layer``, and how many payloads the guard refused."""
-    below, refused = [], 0
+def _wrapped(widths: list[int]) -> set[tuple[int, int]]:
+    """First and last line of what may be one payload, among adjoining lines of these widths.
+
+    Every line alone, all together, and lines of one width with a shorter one behind them, with and
+    without it and the line before, on which a payload can begin.
+    """
+    found = {(i, i) for i, width in enumerate(widths) if width >= 16} | {(0, len(widths) - 1)}
+    at = 0
+    while at < len(widths):
+        same = at
+        while same + 1 < len(widths) and widths[same + 1] == widths[at]:
+            same += 1
+        if widths[at] >= 16:
+            last = same + (same + 1 < len(widths) and widths[same + 1] < widths[at])
+            found |= {(at, same), (at, last), (max(at - 1, 0), last)}
+        at = same + 1
+    return found
+
+
+def _unwrapped(layer: Layer, guard: Guard) -> Iterator[Layer]:
+    """The layers directly below ``layer``."""
     if "%" in layer.text or "\\" in layer.text or "&#" in layer.text:
         at = 0
         # The whole line is kept around an escape: a finding may begin before it and end after it.
@@ -158,47 +285,47 @@ def _unwrapped(layer: Layer, limits: Limits) -> tuple[list[Layer], int]:
                 for pattern, decode in ((_PERCENT, _percent), (_UNICODE, _unicode)):
                     made = _substituted(part, pattern, decode)
                     if made is not None:
-                        below.append(made)
+                        yield made
             at += len(line) + 1
     for match in _BASE64.finditer(layer.text):
-        body = match[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
+        lines = [m.span() for m in _RUN.finditer(layer.text, *match.span())]
+        bodies = [layer.text[a:b].rstrip("=").replace("-", "+").replace("_", "/") for a, b in lines]
+        for first, last in sorted(_wrapped([len(body) for body in bodies])):
+            body = "".join(bodies[first: last + 1])
+            body = body[: len(body) - (len(body) % 4 == 1)]  # a lone last character holds no byte
+            try:
+                data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+            except (binascii.Error, ValueError):
+                continue
+            span = layer.origin(lines[first][0], lines[last][1])
+            for piece in _unpacked(data, guard, span):
+                yield Layer.behind(_characters(piece), *span)
+
+
+def search(text: str, limits: Limits = Limits()) -> tuple[list, list, list]:
+    """Spans of the base scan and all spans, as (start, end, kind), and spans of refused payloads."""
+    base = sorted(scan(text))
+    spans, seen, guard = set(base), {text}, Guard(limits)
+    work = [_unwrapped(Layer.whole(text), guard)]
+    while work:  # depth first, so that one piece of a large payload is held at a time
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
             continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        mark = inner.text if len(inner.text) < 64 else hashlib.sha256(inner.text.encode()).digest()
+        mark = (mark, int(inner.starts[0]), int(inner.ends[-1]))
+        if mark in seen:
             continue
-        start, end = layer.origin(*match.span())
-        while True:  # compressed layers inside one another
-            made, stopped = _inflate(data, limits)
-            refused += stopped
-            if made is None or made == data:
-                break
-            data = made
-        text = _readable(data)
-        if text is not None:
-            below.append(Layer(text, np.full(len(text), start), np.full(len(text), end)))
-    return below, refused
+        seen.add(mark)
+        spans.update((*inner.origin(s, e), kind) for s, e, kind in scan(inner.text))
+        work.append(_unwrapped(inner, guard))
+    return base, sorted(spans), guard.refused
 
 
 def find_secrets(text: str, limits: Limits = Limits()) -> tuple[list, list, int]:
     """Spans of the base scan, all spans, and refused payloads; spans are (start, end, kind)."""
-    base = sorted(scan(text))
-    spans, seen, refused = set(base), {text}, 0
-    work = deque([Layer.whole(text)])
-    while work:
-        layer = work.popleft()
-        below, stopped = _unwrapped(layer, limits)
-        refused += stopped
-        for inner in below:
-            mark = inner.text if len(inner.text) < 64 else hashlib.sha256(inner.text.encode()).digest()
-            mark = (mark, int(inner.starts[0]), int(inner.ends[-1]))
-            if mark in seen:
-                continue
-            seen.add(mark)
-            spans.update((*inner.origin(s, e), kind) for s, e, kind in scan(inner.text))
-            work.append(inner)
-    return base, sorted(spans), refused
+    base, spans, refused = search(text, limits)
+    return base, spans, len(refused)
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -230,21 +357,34 @@ def scan_secrets(docs: DataFrame, text: str = "text", limits: Limits = Limits())
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]",
-           limits: Limits = Limits()) -> DataFrame:
-    """Replace every found span (overlapping ones together) by ``mark``; nulls stay null."""
+           limits: Limits = Limits(), unscanned: str = "[UNSCANNED]") -> DataFrame:
+    """Replace every found span (overlapping ones together) by ``mark``; nulls stay null.
+
+    Payloads that were not scanned in full are replaced too, by ``unscanned`` where nothing was found
+    at their start, and counted in ``refused``, which is added (replaced if there).
+    """
 
     def run(column: pa.Array) -> pa.Array:
-        out = []
+        out, counts = [], []
         for value in column.to_pylist():
-            spans = find_secrets(value, limits)[1] if value else []
+            _, spans, refused = search(value, limits) if value else ([], [], [])
+            marked = sorted([(*s[:2], 0) for s in spans] + [(*s, 1) for s in set(refused)])
             parts, at = [], 0
-            for start, end, _ in spans:
+            for start, end, kind in marked:
                 if end <= at:
                     continue
                 if start >= at:
-                    parts += [value[at:start], mark]
+                    parts += [value[at:start], unscanned if kind else mark]
                 at = end
-            out.append(value if not spans else "".join(parts) + value[at:])
-        return pa.array(out, pa.string())
-
-    return docs.withColumn(text, F.arrow_udf(run, "string")(F.col(f"`{text}`")))
+            out.append(value if not marked else "".join(parts) + value[at:])
+            counts.append(len(refused))
+        return pa.StructArray.from_arrays(
+            [pa.array(out, pa.string()), pa.array(counts, pa.int64())], names=["text", "refused"])
+
+    made = F.arrow_udf(run, "text string, refused long")
+    kept = [c for c in docs.columns if c != "refused"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"),
+                       made(F.col(f"`{text}`")).alias("_new"))
+    return rows.select(
+        *[F.col("_new.text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in kept],
+        "_new.refused")

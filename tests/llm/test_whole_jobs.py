@@ -2,7 +2,77 @@
 
 from __future__ import annotations
 
-from causeway.llm import line_dedup
+import base64
+import gzip
+import io
+import random
+import tarfile
+
+import pytest
+
+from causeway.llm import line_dedup, secret_scan
+
+SECRET = b"password=abcdefghijklmnop1"
+
+
+def _wrapped(data: bytes, width: int, first: int | None = None) -> str:
+    text = base64.b64encode(data).decode()
+    first = width if first is None else first
+    return "\n".join([text[:first], *[text[i: i + width] for i in range(first, len(text), width)]])
+
+
+def _tar() -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as archive:
+        info = tarfile.TarInfo("a.env")
+        info.size = len(SECRET)
+        archive.addfile(info, io.BytesIO(SECRET))
+    return out.getvalue()
+
+
+def _payloads():
+    noise = random.Random(1).randbytes(300)
+    plain = b"".join(b"line %d of a text; " % i for i in range(40))
+    one = lambda b: base64.b64encode(b).decode()
+    return {
+        "gzip of tar": one(_tar()), "with a NUL": one(b"a\0" + SECRET), "Latin-1": one(b"\xe9 " + SECRET),
+        "percent %E9": "%E9" + "".join(f"%{b:02X}" for b in SECRET),
+        "percent %00": "%00" + "".join(f"%{b:02X}" for b in SECRET),
+        "wrapped at 76": _wrapped(plain[:45] + SECRET + plain, 76),
+        "wrapped at 64, packed": _wrapped(gzip.compress(noise + plain + SECRET), 64),
+        "begins on a line": _wrapped(gzip.compress(noise + SECRET), 76, 10),
+        "indented": _wrapped(gzip.compress(noise + SECRET), 64).replace("\n", "\r\n    "),
+        "PEM": "-----BEGIN X-----\n" + _wrapped(noise[:40] + SECRET + noise, 64) + "\n-----END X-----",
+        "two members": one(gzip.compress(b"first") + gzip.compress(SECRET)),
+    }
+
+
+@pytest.mark.parametrize("name", _payloads())
+def test_secret_in_any_bytes_and_wrapping_is_found(name):
+    inner = _payloads()[name]
+    spans = secret_scan.find_secrets(f"see {inner} end")
+    assert any(kind == 0 and start < 4 + len(inner) and end > 4 for start, end, kind in spans[1])
+    assert not spans[0] and spans[2] == 0
+
+
+@pytest.mark.parametrize("at", [0, 900, 990, 1000, 1990, 20_000])
+def test_large_payload_is_scanned_in_pieces(at):
+    body = (b". " * 15_000)[:at] + SECRET + b". " * 15_000
+    for packed in (gzip.compress(body), gzip.compress(gzip.compress(body))):
+        text = base64.b64encode(packed).decode()
+        assert secret_scan.find_secrets(text, secret_scan.Limits(layer_bytes=1000))[1:] == (
+            [(0, len(text), 0)], 0)
+
+
+def test_refused_payloads_are_reported_and_replaced(spark):
+    from causeway.llm import queries
+
+    bomb = base64.b64encode(gzip.compress(b". " * 50_000)).decode()
+    docs = spark.createDataFrame([(1, f"a {bomb} b"), (2, "c"), (3, None)], "doc_id long, text string")
+    found = secret_scan.redact(docs, limits=secret_scan.Limits(total_bytes=5000)).collect()
+    assert {r.doc_id: (r.text, r.refused) for r in found} == {
+        1: ("a [UNSCANNED] b", 1), 2: ("c", 0), 3: (None, 0)}
+    assert "refused" in queries.op8_secret_scan(spark, "/root/testdata/sf0.001").columns
 
 
 def test_equal_lines_go_from_two_documents_on(spark):
