@@ -238,6 +238,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "
     """Learn from rows whose crc32 of the key is not divisible by 5 and whose target is set.
 
     The sample is those labelled keys of smallest hash, which no property of a text can influence.
+    A key that several rows share gives one row, that of its smallest text (a null is smallest).
     Without both classes in it the model scores every text alike, by the share of toxic ones.
     """
     prepare(docs.sparkSession)
@@ -246,7 +247,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), key: str = "
     chosen = open_.groupBy("key").agg(F.max("toxic").alias("toxic")).orderBy(
         F.xxhash64("key"), "key").limit(fit.sample)  # at most ``sample`` rows of two numbers
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(
-        F.broadcast(chosen), "key").select("text", F.col("toxic").cast("int").alias("toxic"))
+        F.broadcast(chosen), "key").groupBy("key", "toxic").agg(
+        F.min(F.struct("text")).getField("text").alias("text")).select(
+        "text", F.col("toxic").cast("int").alias("toxic"))
     rows = rows.persist()  # read four times below
     try:
         sizes = {bool(r.toxic): r["count"] for r in rows.groupBy("toxic").count().collect()}

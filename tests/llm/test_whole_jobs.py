@@ -10,7 +10,7 @@ import tarfile
 
 import pytest
 
-from causeway.llm import line_dedup, secret_scan
+from causeway.llm import line_dedup, secret_scan, toxicity
 
 SECRET = b"password=abcdefghijklmnop1"
 
@@ -84,3 +84,14 @@ def test_equal_lines_go_from_two_documents_on(spark):
     assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in found.collect()} == {
         1: (texts[1], 4, 0), 2: ("one\n\nthis very line is in two documents", 4, 1),
         3: ("All rights reserved. \n\ntwo", 5, 2)}
+
+
+def test_a_repeated_id_gives_one_row_to_the_fit(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, f"word{i} idiot" if i % 2 else f"word{i}") for i in range(40)]
+        + [(1, f"word1 zzz{i}") for i in range(500)] + [(3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen, fitted = [], toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y: seen.append(len(y)) or fitted(x, y))
+    toxicity.fit_model(docs, labels, toxicity.Fit(sample=20))
+    assert seen == [20]
