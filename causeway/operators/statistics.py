@@ -319,6 +319,38 @@ def bootstrap(
     return intervals(long, points, ["statistic"], replicates, ci).withColumn("n_units", F.lit(n))
 
 
+def bootstrap_moments(
+    df: DataFrame, unit: Sequence[str], means: Mapping[str, str], spreads: Mapping[str, str],
+    replicates: int = 2000, seed: int = 42, ci: float = 0.95,
+) -> DataFrame:
+    """``bootstrap`` of means and sample standard deviations (name -> column), from resampled sums.
+
+    Counts, sums and sums of squares are taken around the mean of all rows, so a spread that is
+    small beside its mean keeps its digits. NULLs are left out, as the aggregates do.
+    """
+    used = sorted({*means.values(), *spreads.values()})
+    at = df.agg(*[F.avg(c).cast("double").alias(s) for s, c in means.items()],
+                *[F.stddev_samp(c).cast("double").alias(s) for s, c in spreads.items()])
+    middle = df.agg(*[F.avg(c).cast("double").alias(f"m{i}") for i, c in enumerate(used)]).first()
+    sums = {}
+    for i, c in enumerate(used):
+        away = F.col(c).cast("double") - F.lit(middle[i] or 0.0)
+        sums |= {f"__n{i}": F.col(c).isNotNull().cast("double"), f"__s{i}": away, f"__q{i}": away * away}
+    folded, n = resampled_sums(df.select(*unit, *[v.alias(k) for k, v in sums.items()]),
+                               unit, [], list(sums), replicates, seed)
+    count, total, square = ([F.col(f"__{k}{i}") for i in range(len(used))] for k in "nsq")
+    values = [(F.lit(middle[i] or 0.0) + ratio(total[i], count[i])).alias(s)
+              for s, i in ((s, used.index(c)) for s, c in means.items())]
+    values += [F.when(count[i] > 1, F.sqrt(F.greatest(
+        square[i] - total[i] * total[i] / count[i], F.lit(0.0)) / (count[i] - 1))).alias(s)
+        for s, i in ((s, used.index(c)) for s, c in spreads.items())]
+    names = [*means, *spreads]
+    long = materialise(folded.select("rep", *values).unpivot(["rep"], names, "statistic", "value"))
+    points = at.withColumn("__one", F.lit(1)).unpivot(
+        ["__one"], names, "statistic", "point").drop("__one")
+    return intervals(long, points, ["statistic"], replicates, ci).withColumn("n_units", F.lit(n))
+
+
 def bootstrap_ci(
     df: DataFrame, identity: Sequence[str], value: str, replicates: int = 1000, seed: int = 42,
     ci: float = 0.95,

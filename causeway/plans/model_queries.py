@@ -116,7 +116,7 @@ def _(t: Tables):
     rows = t.scored.select("l_orderkey", "label", "p")
     table, _chosen = models.calibration_job(
         rows.filter("l_orderkey % 2 = 0"), rows.filter("l_orderkey % 2 = 1"), "l_orderkey",
-        "label", "p", replicates=20)
+        "label", "p")
     return table
 
 

@@ -383,3 +383,23 @@ def _(t: Tables):
         t.scored.select("commit_sha", "p", "label"), ["commit_sha"],
         {"mean_p": F.avg("p"), "rate": F.avg("label"), "spread": F.stddev_samp("p")},
         replicates=20)
+
+
+@query("user_bootstrap_moments", "N2", sql(f"""
+    WITH units AS (SELECT DISTINCT commit_sha AS unit FROM scored), {_resampled(2000)},
+    cells AS (SELECT commit_sha AS unit, count(*) AS c, sum(p) AS sp, sum(p * p) AS qp, sum(label) AS sl
+              FROM scored GROUP BY 1),
+    sums AS (SELECT rep, sum(w * c) AS c, sum(w * sp) AS sp, sum(w * qp) AS qp, sum(w * sl) AS sl
+             FROM times JOIN cells USING (unit) GROUP BY rep),
+    v AS (SELECT unnest(['mean_p', 'rate', 'spread']) AS statistic,
+                 unnest([sp / c, sl / c, sqrt((qp - sp * sp / c) / (c - 1))]) AS value FROM sums),
+    pt AS (SELECT unnest(['mean_p', 'rate', 'spread']) AS statistic,
+                  unnest([avg(p), avg(label), stddev_samp(p)]) AS point FROM scored)
+    SELECT statistic, {r('max(point)')} AS point, {r('quantile_cont(value, 0.025)')} AS ci_lower,
+           {r('quantile_cont(value, 0.975)')} AS ci_upper, 2000 - count(value) AS undefined_replicates,
+           max(n) AS n_units
+    FROM v JOIN pt USING (statistic), size GROUP BY statistic""", "scored"))
+def _(t: Tables):
+    return statistics.bootstrap_moments(
+        t.scored.select("commit_sha", "p", "label"), ["commit_sha"],
+        {"mean_p": "p", "rate": "label"}, {"spread": "p"})
