@@ -305,33 +305,36 @@ def _linked(nodes: DataFrame, rows: DataFrame, plan: Sketch) -> DataFrame | None
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     plan: Sketch = Sketch()) -> DataFrame:
-    """One row per document: key, r1, r2 (its identity), n_shingles, component_id and kept.
+    """One row per document: key, r1, r2 (its identity), n_shingles, component_id, kept and first.
 
     component_id is the smallest key (nulls first) that links reach; a text without words is linked
     with nothing. Equal sets are always linked, so repeated rows share a component and, having the
-    same key, are kept or not together. Other columns are ignored here; ``with_classes`` attaches
+    same key, are kept or not together; ``first`` marks one identity of each component, that of
+    smallest key, then r1 and r2, where several rows have the smallest key. Other columns are ignored here; ``with_classes`` attaches
     the result to whole rows. An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     rows = with_row(docs, key, text)
     drawn = store(sketches(rows, plan))
     filled = drawn.filter("n > 0")
-    smallest = lambda c: F.min(F.struct(c)).getField(c)  # noqa: E731  a null is smallest
+    smallest = F.min(F.struct("key", *ROW)).alias("row")  # a null is smallest
     nodes = store(filled.groupBy("node").agg(
-        smallest("key").alias("key"), F.first("n").alias("n"),
-        F.min(F.struct("r1", "r2")).alias("row"), F.first("registers").alias("registers")).select(
-        "node", "key", "n", "row.r1", "row.r2", "registers"))
+        smallest, F.first("n").alias("n"), F.first("registers").alias("registers")).select(
+        "node", "row.key", "n", "row.r1", "row.r2", "registers"))
     labels = _linked(nodes, rows, plan)
-    roots = nodes.select("node", "key", F.col("node").alias("root")) if labels is None else (
+    roots = nodes.select("node", "key", *ROW, F.col("node").alias("root")) if labels is None else (
         nodes.join(labels, "node", "left").select(
-            "node", "key", F.coalesce("root", "node").alias("root")))
-    lowest = roots.groupBy("root").agg(smallest("key").alias("component"))
-    classes = store(roots.join(lowest, "root").select("node", "component"))
+            "node", "key", *ROW, F.coalesce("root", "node").alias("root")))
+    lowest = roots.groupBy("root").agg(smallest).select(
+        "root", F.col("row.key").alias("component"), F.col("row.r1").alias("f1"), F.col("row.r2").alias("f2"))
+    classes = store(roots.join(lowest, "root").select("node", "component", "f1", "f2"))
     found = drawn.join(classes, "node", "left").select(
         F.col("key").alias(key), *ROW, F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("key").eqNullSafe(F.col("component"))).otherwise(True).alias(
-            "kept"))
+            "kept"),
+        F.when(F.col("n") > 0, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2"))).otherwise(
+            True).alias("first"))
     return found
 
 
@@ -339,7 +342,8 @@ def with_classes(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: s
                  once: bool = False) -> DataFrame:
     """``docs`` with n_shingles, component_id and kept added; columns of these names are replaced.
 
-    ``once`` keeps one of several rows that are equal in key and text.
+    ``once`` keeps one of several rows that are equal in key and text, and ``kept`` is then true for
+    one row of each component, whatever keys its rows share.
     """
     new = ("n_shingles", "component_id", "kept")
     old = [c for c in docs.columns if c not in new]
@@ -349,5 +353,5 @@ def with_classes(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: s
         F.xxhash64(F.lit("row"), F.col(f"`{text}`"), F.lit(7), F.col(f"`{key}`")).alias("r2"))
     joined = base.join(found.dropDuplicates(list(ROW)), list(ROW))
     if once:  # rows of one identity are together after the join
-        joined = joined.dropDuplicates(list(ROW))
+        joined = joined.dropDuplicates(list(ROW)).withColumn("kept", F.col("first"))
     return joined.select(*[F.col("_row")[c].alias(c) for c in old], *new)

@@ -95,3 +95,17 @@ def test_a_repeated_id_gives_one_row_to_the_fit(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_logistic", lambda x, y: seen.append(len(y)) or fitted(x, y))
     toxicity.fit_model(docs, labels, toxicity.Fit(sample=20))
     assert seen == [20]
+
+
+def test_pipeline_keeps_one_row_of_a_group_that_shares_its_id(spark):
+    import corpus_pipeline
+
+    body = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    texts = [(7, body), (7, body + " a"), (7, body + " b"), (9, body + " c"), (7, body),
+             (None, other), (None, other + " a"), (None, "alone " * 3), (7, "no copy of anything here"), (2, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_copies(spark, docs.repartition(3), "").collect()
+    groups = sorted((str(r.doc_id), r.text.split(" ")[0]) for r in kept)
+    assert groups == [("2", ""), ("7", "no"), ("7", "w0"), ("None", "alone"), ("None", "v0")]
