@@ -106,6 +106,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), dim)
 
 
+def _one_cell(dim: int) -> list[np.ndarray]:
+    """A codebook for a length that the sample does not hold."""
+    return [np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))]
+
+
 def _cells(nodes: DataFrame, books: dict, index: Index, home: bool) -> DataFrame:
     """(label, dim, i, j, node, weight, vector): the home cell, or every visited cell."""
     shared = nodes.sparkSession.sparkContext.broadcast(books)  # codes x dimensions per dimension
@@ -119,7 +124,7 @@ def _cells(nodes: DataFrame, books: dict, index: Index, home: bool) -> DataFrame
             for dim in np.unique(dims).tolist():
                 rows = pa.Table.from_batches([part]).filter(pa.array(dims == dim)).combine_chunks()
                 unit = units(_matrix(rows["vector"].combine_chunks(), dim))
-                codes = shared.value[dim]
+                codes = shared.value.get(dim) or _one_cell(dim)
                 halves = [bounds(u, c) for u, c in zip((unit[:, : dim // 2], unit[:, dim // 2:]), codes)]
                 if home:
                     query, left, right = np.arange(len(unit)), halves[0][0], halves[1][0]
@@ -203,9 +208,8 @@ def near_embeddings(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     # Node ids are hashes, so the smallest are a sample; its size is a parameter.
     sample = nodes.orderBy("node").limit(index.sample).select("dim", "vector").toPandas()
     books = {}
-    for dim in [r.dim for r in nodes.select("dim").distinct().limit(1000).collect()]:
-        some = [v for d, v in zip(sample["dim"], sample["vector"]) if d == dim]
-        unit = units(np.array(some)) if some else np.zeros((1, dim))
+    for dim, some in sample.groupby("dim")["vector"]:  # other lengths have one cell
+        unit = units(np.array(some.tolist()))
         books[dim] = [fit_codes(unit[:, : dim // 2], index) if dim > 1 else np.zeros((1, 0)),
                       fit_codes(unit[:, dim // 2:], index)]
     homes = _blocks(_cells(nodes, books, index, home=True), index, "homes")

@@ -10,7 +10,7 @@ import tarfile
 
 import pytest
 
-from causeway.llm import line_dedup, secret_scan, toxicity
+from causeway.llm import embedding_dedup, line_dedup, secret_scan, toxicity
 
 SECRET = b"password=abcdefghijklmnop1"
 
@@ -109,3 +109,12 @@ def test_pipeline_keeps_one_row_of_a_group_that_shares_its_id(spark):
     kept = corpus_pipeline.drop_copies(spark, docs.repartition(3), "").collect()
     groups = sorted((str(r.doc_id), r.text.split(" ")[0]) for r in kept)
     assert groups == [("2", ""), ("7", "no"), ("7", "w0"), ("None", "alone"), ("None", "v0")]
+
+
+@pytest.mark.parametrize("home", [True, False])
+def test_vector_lengths_without_a_codebook_have_one_cell(spark, home):
+    nodes = spark.createDataFrame(
+        [(0, len(v), bytes([i]), 1, v) for i, v in enumerate([[1.0], [2.0, 1.0], [3.0, 1.0, 2.0], [1.0, 0.0, 0.0]])],
+        "label int, dim long, node binary, weight long, vector array<float>")
+    found = embedding_dedup._cells(nodes, {}, embedding_dedup.Index(), home).collect()
+    assert sorted((r.dim, r.i, r.j) for r in found) == [(1, 0, 0), (2, 0, 0), (3, 0, 0), (3, 0, 0)]
