@@ -190,3 +190,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
            AND c5 / total <= 0.30 AND c7 / total <= 0.25 AND c10 / total <= 0.20 AS kept
 FROM judged
 """
+_TERMS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+TEXTS["op12_lexical_search"] = rf"""
+WITH docs AS (
+    SELECT doc_id, {_TERMS} AS t FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n FROM docs WHERE len(t) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sizes),
+asked AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+held AS (
+    SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM docs)
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM held, total GROUP BY term, nn),
+norms AS (SELECT doc_id, 75 + (25 * n * nn) // ll AS m FROM sizes, total),
+scored AS (
+    SELECT item_id, doc_id,
+           CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN norms USING (doc_id)
+    GROUP BY item_id, doc_id),
+ranked AS (
+    SELECT item_id, doc_id, score, CAST(row_number() OVER (
+        PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_bpe, chat_format, embedding_dedup, line_dedup, near_dedup, oracles, packing, quality_rules,
+    byte_bpe, chat_format, embedding_dedup, lexical_search, line_dedup, near_dedup, oracles, packing, quality_rules,
     secret_scan, substring_dedup, toxicity,
 )
 from .common import table
@@ -85,11 +85,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_formatting, op2_substring_dedup, op3_packing, op4_near_dedup,
         op5_quality_rules, op6_byte_bpe, op7_line_dedup, op7_line_dedup_exact, op8_secret_scan,
-        op9_embedding_dedup, op10_toxicity)}
+        op9_embedding_dedup, op10_toxicity, op12_lexical_search)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
