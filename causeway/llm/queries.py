@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     byte_bpe, chat_format, embedding_dedup, lexical_search, line_dedup, near_dedup, oracles, packing, quality_rules,
-    secret_scan, substring_dedup, toxicity,
+    secret_scan, spelling, substring_dedup, toxicity,
 )
 from .common import table
 
@@ -90,11 +90,17 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.group_variants(spelling.count_words(docs, noise=31))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_formatting, op2_substring_dedup, op3_packing, op4_near_dedup,
         op5_quality_rules, op6_byte_bpe, op7_line_dedup, op7_line_dedup_exact, op8_secret_scan,
-        op9_embedding_dedup, op10_toxicity, op12_lexical_search)}
+        op9_embedding_dedup, op10_toxicity, op12_lexical_search,
+        op13_spelling_variants)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
