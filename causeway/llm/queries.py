@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_bpe, chat_format, embedding_dedup, lexical_search, line_dedup, near_dedup, oracles, packing, quality_rules,
-    secret_scan, spelling, substring_dedup, toxicity,
+    byte_bpe, chat_format, embedding_dedup, lexical_search, line_dedup, near_dedup, oracles, packing,
+    personal_data, quality_rules, secret_scan, spelling, substring_dedup, toxicity,
 )
 from .common import table
 
@@ -85,6 +85,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.spans(personal_data.extract(docs))
+    counts = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind}")
+              for n, kind in enumerate(personal_data.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(personal_data.span_text("base"), 256).alias("base_sha256"),
+                        personal_data.span_text("spans").alias("spans"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = lexical_search.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lexical_search.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -99,8 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_formatting, op2_substring_dedup, op3_packing, op4_near_dedup,
         op5_quality_rules, op6_byte_bpe, op7_line_dedup, op7_line_dedup_exact, op8_secret_scan,
-        op9_embedding_dedup, op10_toxicity, op12_lexical_search,
-        op13_spelling_variants)}
+        op9_embedding_dedup, op10_toxicity, op11_personal_data,
+        op12_lexical_search, op13_spelling_variants)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
