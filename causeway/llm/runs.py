@@ -6,6 +6,14 @@ import numpy as np
 import pyarrow as pa
 
 
+def strings(buffer: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of the given sizes, one after the other in ``buffer``."""
+    places = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=places[1:])
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(buffer))])
+
+
 class RunStrings:
     """Maximal runs of bytes flagged ``inside``; no run goes beyond its text.
 
@@ -28,6 +36,5 @@ class RunStrings:
         places = np.zeros(len(self.starts) + 1, np.int64)
         np.cumsum(self.ends - self.starts, out=places[1:])
         self.places = places
-        self.buffer = np.ascontiguousarray(data[inside])
-        self.strings = pa.Array.from_buffers(
-            pa.large_binary(), len(self.starts), [None, pa.py_buffer(places), pa.py_buffer(self.buffer)])
+        self.buffer = data[inside]
+        self.strings = strings(self.buffer, self.ends - self.starts)
