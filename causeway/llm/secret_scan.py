@@ -304,7 +304,8 @@ def _unwrapped(layer: Layer, guard: Guard) -> Iterator[Layer]:
 
 def search(text: str, limits: Limits = Limits()) -> tuple[list, list, list]:
     """Spans of the base scan and all spans, as (start, end, kind), and spans of refused payloads."""
-    base = sorted(scan(text))
+    order = lambda span: (span[0], span[2], span[1])  # noqa: E731  by start, then kind
+    base = sorted(scan(text), key=order)
     spans, seen, guard = set(base), {text}, Guard(limits)
     work = [_unwrapped(Layer.whole(text), guard)]
     while work:  # depth first, so that one piece of a large payload is held at a time
@@ -319,7 +320,7 @@ def search(text: str, limits: Limits = Limits()) -> tuple[list, list, list]:
         seen.add(mark)
         spans.update((*inner.origin(s, e), kind) for s, e, kind in scan(inner.text))
         work.append(_unwrapped(inner, guard))
-    return base, sorted(spans), guard.refused
+    return base, sorted(spans, key=order), guard.refused
 
 
 def find_secrets(text: str, limits: Limits = Limits()) -> tuple[list, list, int]:
