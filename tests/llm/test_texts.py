@@ -74,8 +74,10 @@ def test_perfect_hash_finds_its_keys_and_no_others():
 def test_packing_pieces_rebuild_every_document(spark):
     path = P.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = odd_texts() + ["same text"] * 3
+    texts = odd_texts() + ["same text"] * 3 + [
+        "hello <|endoftext|> there<|endoftext|>x", "<|ENDOFTEXT|> a", "a<|startoftext|><|endoftext|>",
+        "漢字" * 400 + "。", "x" * 5000 + " " + "y" * 300 + "! " + "y" * 300, "H\u0331 İstanbul À-Ö Ø×Þ ßÝ µª"]
+    texts += ["長" * 3000 + str(i) for i in range(30)]  # many long texts without spaces
     pieces = packing.pack(documents(spark, texts), path)
     rows = pieces.collect()
     by_doc, by_sequence = {}, {}
