@@ -132,7 +132,7 @@ def conformal_threshold(
             raise ValueError(f"group {tuple(lacking[0])} holds no positive to take a quantile over")
     ranked = conformal_ranks(sizes, "n", coverage, confidence)
     counts = scores.groupBy(*by, "__s").agg(F.count(F.lit(1)).alias("__c"))
-    placed = ordering.running(counts, by, [F.col("__s").asc()], sums={"__below": F.col("__c")})
+    placed = ordering.running(counts, by, [F.col("__s")], sums={"__below": F.col("__c")})
     if by:
         renamed = ranked.withColumnsRenamed({k: f"__r_{k}" for k in by})
         condition = F.lit(True)

@@ -1,73 +1,281 @@
 """Causal history features: a row never sees itself or anything later.
 
 Every operator takes ``keys`` (what a history belongs to), ``ts`` and ``ties`` (columns that
-make the order total).  Ordinary keys use one window shuffle; keys above the size limit go
-through prefix scans (see ``ordering``) and give the same values.
+make the order total).  A key's history is cut into buckets of fixed length in time
+(``spark.causeway.bucketDays``, 28 by default), so that no task needs a whole key.  Inside a bucket
+plain windows do the work; what earlier buckets add comes in two ways: totals per (key, bucket)
+whose running totals are joined back, and, for trailing times, narrow copies of the rows that a
+window can reach from a later bucket.  Frames that begin at the start of the bucket keep every
+window linear in its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import MICROS_PER_DAY, micros, ratio
-from ..session import materialise
 from . import ordering
 
 
 def _order(ts: str, ties: Sequence[str]) -> list[Column]:
-    return [F.col(ts).asc(), *[F.col(t).asc() for t in ties]]
+    return [F.col(ts), *[F.col(t) for t in ties]]
 
 
 def _or_zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
+BUCKET_DAYS_SETTING = "spark.causeway.bucketDays"
+_EARLIEST = -(1 << 40)  # the bucket of rows without a time
+
+
+def _width(df: DataFrame) -> int:
+    days = float(df.sparkSession.conf.get(BUCKET_DAYS_SETTING, "28"))
+    return max(1, int(days * MICROS_PER_DAY))
+
+
+@dataclass(frozen=True)
+class _History:
+    """Rows cut into (group, bucket) with the windows that the features below share."""
+
+    df: DataFrame
+    keys: Sequence[str]
+    ts: str
+    ties: Sequence[str]
+
+    @property
+    def order(self) -> list[Column]:
+        return [F.col("__us").asc(), *[F.col(f"__tie{i}").asc() for i in range(len(self.ties))]]
+
+    @property
+    def bucket(self) -> WindowSpec:
+        return Window.partitionBy("__g", "__b")
+
+    @property
+    def before(self) -> WindowSpec:
+        return self.bucket.orderBy(*self.order).rowsBetween(Window.unboundedPreceding, -1)
+
+    @property
+    def earlier(self) -> WindowSpec:
+        return Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def rows(self, values: Mapping[str, Column], whole: bool) -> DataFrame:
+        """The values with their place; ``whole`` keeps the original row in ``__row`` as well."""
+        width = F.lit(_width(self.df))
+        placed = self.df.withColumn("__us", micros(self.ts))
+        bucket = F.coalesce((F.col("__us") - F.pmod(F.col("__us"), width)) / width, F.lit(_EARLIEST))
+        payload = [F.struct(*[F.col(f"`{c}`") for c in self.df.columns]).alias("__row")] if whole else []
+        return placed.select(
+            F.struct(*[F.col(k) for k in self.keys]).alias("__g"), bucket.cast("long").alias("__b"),
+            "__us", *[F.col(t).alias(f"__tie{i}") for i, t in enumerate(self.ties)],
+            *[c.alias(n) for n, c in values.items()], F.lit(True).alias("__own"), *payload)
+
+    def with_context(self, rows: DataFrame, label: str, days: int) -> DataFrame:
+        """Add narrow copies of rows to the later buckets from which ``days`` reach back to them."""
+        width, reach = F.lit(_width(self.df)), days * MICROS_PER_DAY
+        last = (F.col("__us") + F.lit(reach - 1) - F.pmod(F.col("__us") + F.lit(reach - 1), width)) / width
+        kept = {"__g", "__us", label}
+        empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name not in kept}
+        later = F.explode(F.sequence(F.col("__b") + 1, last.cast("long"))).alias("__b")
+        copies = rows.filter(last > F.col("__b")).select("__g", "__us", label, later).select(*[
+            F.lit(False).alias("__own") if c == "__own" else F.col(c) if c in kept or c == "__b" else empty[c]
+            for c in rows.columns])
+        return rows.unionByName(copies)
+
+    def totals(self, values: Mapping[str, Column], aggregates: Sequence[Column]) -> DataFrame:
+        return self.rows(values, False).groupBy("__g", "__b").agg(*aggregates)
+
+
+def _finished(rows: DataFrame, df: DataFrame, features: Mapping[str, Column]) -> DataFrame:
+    kept = [F.col("__row")[c].alias(c) for c in df.columns if c not in features]
+    return rows.filter("__own").select(*kept, *[c.alias(n) for n, c in features.items()])
+
+
+def _counts(h: _History) -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:
+    """Aggregates per bucket, carries and features of F1."""
+    own = F.col("__own")
+    local = {
+        "__n": F.count(F.when(own, 1)).over(h.before),
+        "__f": F.coalesce(F.sum(F.when(own, F.col("__label"))).over(h.before), F.lit(0)),
+    }
+    return (
+        {"__n": F.count(F.lit(1)), "__f": F.sum("__label")},
+        {n: F.coalesce(F.sum(n).over(h.earlier), F.lit(0)) for n in ("__n", "__f")}, local)
+
+
+def _durations(h: _History) -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:
+    """Counts, means and squared deviations; earlier buckets are merged around the mean of the
+    key's first one, so that large values keep their digits."""
+    value = F.when(F.col("__own"), F.col("__secs"))
+    aggregates = {"__dn": F.count("__secs"), "__dm": F.avg("__secs"),
+                  "__dq": F.coalesce(F.var_pop("__secs") * F.count("__secs"), F.lit(0.0))}
+    first = F.first("__dm", True).over(Window.partitionBy("__g").orderBy("__b").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing))
+    off = F.coalesce(F.col("__dm") - F.col("__shift"), F.lit(0.0))
+    n, s = (F.sum(c).over(h.earlier) for c in (F.col("__dn"), F.col("__dn") * off))
+    q = F.sum(F.col("__dq") + F.col("__dn") * off * off).over(h.earlier)
+    carries = {
+        "__shift": first, "__dn": n, "__dm": F.col("__shift") + ratio(s, n),
+        "__dq": F.greatest(q - s * ratio(s, n), F.lit(0.0))}
+    local = {"__dn": F.count(value).over(h.before), "__dm": F.avg(value).over(h.before),
+             "__dq": F.var_pop(value).over(h.before) * F.count(value).over(h.before)}
+    return aggregates, carries, local
+
+
+def _merged_durations(local, carry) -> dict[str, Column]:
+    a, b = local("__dn"), F.coalesce(carry("__dn"), F.lit(0))
+    gap = carry("__dm") - local("__dm")
+    n = a + b
+    mean = F.when(b == 0, local("__dm")).when(a == 0, carry("__dm")).otherwise(
+        local("__dm") + gap * ratio(b, n))
+    spread = F.when(b == 0, local("__dq")).when(a == 0, carry("__dq")).otherwise(
+        local("__dq") + carry("__dq") + gap * gap * ratio(a * b, n))
+    return {"duration_mean": mean, "duration_std": F.sqrt(ratio(spread, n - 1))}
+
+
+def _trailing(h: _History, days: Sequence[int]) -> dict[str, Column]:
+    """Running totals up to the row less those up to ``d`` days ago, inside the bucket with its
+    copies of earlier rows."""
+    by_time = h.bucket.orderBy("__us")
+    found = {}
+    for d in days:
+        old = by_time.rangeBetween(Window.unboundedPreceding, -d * MICROS_PER_DAY)
+        zero = F.lit(0)
+        runs = F.count(F.lit(1)).over(h.before) - F.count(F.lit(1)).over(old)
+        failures = F.coalesce(F.sum("__label").over(h.before), zero) - F.coalesce(
+            F.sum("__label").over(old), zero)
+        found[f"failure_rate_{d}d"] = _or_zero(ratio(failures, runs))
+    return found
+
+
+def _tails(h: _History, label: Column, k: int) -> DataFrame:
+    """Per (group, bucket): what its rows before it end with.
+
+    ``__fails``, ``__flips`` and ``__steps`` hold, at place j, failures, outcome flips and defined
+    steps among the last j earlier rows (j up to k), ``__prev`` the last outcome, ``__since`` the
+    rows since the last failure. A bucket sends its last k + 1 outcomes; k + 1 buckets back hold
+    all that count.
+    """
+    placed = h.rows({"__label": label}, False)
+    by_row = h.bucket.orderBy(*h.order)
+    numbered = placed.select("__g", "__b", "__label", F.row_number().over(by_row).alias("__i"),
+                             F.count(F.lit(1)).over(h.bucket).alias("__size"))
+    tail = F.collect_list(F.when(F.col("__i") >= F.col("__size") - k, F.struct(
+        F.col("__i").alias("i"), F.col("__label").alias("l"))))
+    parts = numbered.groupBy("__g", "__b").agg(
+        F.max("__size").alias("__size"), F.max(F.when(F.col("__label") > 0, F.col("__i"))).alias("__hit"),
+        F.transform(F.sort_array(tail), lambda x: x["l"]).alias("__tail"))
+    back = Window.partitionBy("__g").orderBy("__b").rowsBetween(-(k + 1), -1)
+    placed = parts.select("__g", "__b", "__hit", F.flatten(F.collect_list("__tail").over(back)).alias("__all"),
+                          F.coalesce(F.sum("__size").over(h.earlier), F.lit(0)).alias("__start"))
+    last_hit = F.max(F.col("__start") + F.col("__hit")).over(h.earlier)
+    held = F.slice(F.col("__all"), F.greatest(F.size("__all") - k, F.lit(1)), k + 1)
+    placed = placed.select("__g", "__b", held.alias("__held"),
+                           (F.col("__start") - F.coalesce(last_hit, F.lit(0))).alias("__since"))
+    newest = F.reverse("__held")
+    step = F.transform(newest, lambda x, i: F.abs(x - F.get(newest, i + 1)))
+
+    def sums(values: Column) -> Column:
+        """Sums of the first j values, for every j up to k."""
+        return F.transform(F.sequence(F.lit(0), F.lit(k)), lambda j: F.aggregate(
+            F.slice(values, F.lit(1), j), F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0))))
+
+    return placed.select(
+        "__g", "__b", "__since", F.get(newest, F.lit(0)).alias("__prev"), sums(newest).alias("__fails"),
+        sums(step).alias("__flips"), sums(F.transform(step, lambda x: x.isNotNull().cast("int"))).alias("__steps"))
+
+
+def _features(
+    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], wanted: frozenset[str],
+    label: str | None = None, duration: str | None = None, days: Sequence[int] = (), k: int = 10,
+) -> DataFrame:
+    """The ``wanted`` families over one exchange of the rows by (group, bucket)."""
+    h = _History(df, keys, ts, ties)
+    values = {}
+    if label:
+        values["__label"] = F.col(label)
+    if duration:
+        values["__secs"] = F.col(duration)
+    rows = h.rows(values, True)
+    if "trailing" in wanted and days:
+        rows = h.with_context(rows, "__label", max(days))
+    sides = [_counts(h)] if "counts" in wanted else []
+    sides += [_durations(h)] if "durations" in wanted else []
+    local: dict[str, Column] = {n: c for *_, some in sides for n, c in some.items()}
+    if "tail" in wanted:
+        local |= _counts(h)[2]
+    if "trailing" in wanted:
+        local |= _trailing(h, days)
+    by_row = h.bucket.orderBy(*h.order)
+    if "tail" in wanted:
+        last_k = by_row.rowsBetween(-k, -1)
+        own_label = F.when(F.col("__own"), F.col("__label"))
+        local |= {"__k_fails": F.coalesce(F.sum(own_label).over(last_k), F.lit(0)),
+                  "__lag": F.lag(F.when(F.col("__own"), F.struct(F.col("__label").alias("v")))).over(by_row)}
+    rows = rows.select("*", *[c.alias(f"__l{n}") for n, c in local.items()])
+    if "tail" in wanted:
+        hit = F.when(F.col("__own") & (F.col("__label") > 0), F.col("__l__n") + 1)
+        rows = rows.withColumn("__l__hit", F.max(hit).over(h.before))
+    if sides:
+        aggregates = [c.alias(n) for some, *_ in sides for n, c in some.items()]
+        parts = h.totals(values, aggregates)
+        if "durations" in wanted:
+            parts = parts.withColumn("__shift", _durations(h)[1]["__shift"])
+        carries = parts.select("__g", "__b", *[
+            c.alias(f"__c{n}") for _, some, _ in sides for n, c in some.items() if n != "__shift"])
+        rows = rows.join(carries, ["__g", "__b"], "left")  # a bucket may hold nothing but copies
+
+    def at(name: str) -> Column:
+        return F.col(f"__l{name}") + F.coalesce(F.col(f"__c{name}"), F.lit(0))
+
+    features: dict[str, Column] = {}
+    if "counts" in wanted:
+        features |= {"execution_count": at("__n"), "prior_failures": at("__f"),
+                     "failure_rate_lifetime": _or_zero(ratio(at("__f"), at("__n")))}
+    if "durations" in wanted:
+        features |= _merged_durations(lambda n: F.col(f"__l{n}"), lambda n: F.col(f"__c{n}"))
+    if "trailing" in wanted:
+        features |= {n: F.col(f"__l{n}") for n in _trailing(h, days)}
+    if "tail" in wanted:
+        rows = rows.join(_tails(h, F.col(label), k), ["__g", "__b"], "left")
+        before = F.coalesce(F.col("__l__lag"), F.when(F.col("__l__n") == 0, F.struct(F.col("__prev").alias("v"))))
+        rows = rows.withColumn("__flip", F.when(F.col("__own"), F.abs(F.col("__label") - before["v"])))
+        last_k = by_row.rowsBetween(-k, -1)
+        rows = rows.withColumns({"__k_flips": F.coalesce(F.sum("__flip").over(last_k), F.lit(0)),
+                                 "__k_steps": F.count("__flip").over(last_k)})
+        need = F.greatest(k - F.col("__l__n"), F.lit(0)).cast("int")
+
+        def recent(local: str, tail: str) -> Column:
+            return F.col(local) + F.coalesce(F.get(F.col(tail), need), F.lit(0.0))
+
+        hit = F.col("__l__hit")
+        features |= {
+            "recent_failures": recent("__l__k_fails", "__fails").cast(
+                T.LongType() if isinstance(df.schema[label].dataType, T.IntegralType) else T.DoubleType()),
+            "runs_since_last_failure": F.when(hit.isNotNull(), F.col("__l__n") - hit).otherwise(
+                F.col("__l__n") + F.coalesce("__since", F.lit(0))).cast("long"),
+            "flakiness_score": _or_zero(ratio(recent("__k_flips", "__flips"), recent("__k_steps", "__steps"))),
+        }
+    return _finished(rows, df, features)
+
+
 def prior_count_and_rate(
     df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], label: str
 ) -> DataFrame:
     """Prior runs, and prior failures over prior runs (0 when there are none)."""
-    scanned = ordering.running(
-        df, keys, _order(ts, ties),
-        sums={"execution_count": F.lit(1), "prior_failures": F.col(label)},
-    )
-    return scanned.withColumn(
-        "failure_rate_lifetime", _or_zero(ratio(F.col("prior_failures"), F.col("execution_count")))
-    )
+    return _features(df, keys, ts, ties, frozenset({"counts"}), label)
 
 
 def prior_duration_stats(
     df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], duration: str
 ) -> DataFrame:
     """Mean and sample deviation of earlier durations; NULL while undefined."""
-    order = _order(ts, ties)
-
-    def plain(part: DataFrame) -> DataFrame:
-        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        return part.withColumns({
-            "duration_mean": F.avg(duration).over(before),
-            "duration_std": F.stddev_samp(duration).over(before),
-        })
-
-    def split(part: DataFrame) -> DataFrame:
-        # Squares of offsets from the key's mean keep their digits however large the values are.
-        centred = ordering.with_totals(part, keys, __mid=F.avg(duration))
-        value = F.col(duration) - F.col("__mid")
-        scanned = ordering.prefix_scan(centred, keys, order, sums={
-            "__n": F.when(value.isNotNull(), 1).otherwise(0), "__s": value, "__q": value * value,
-        })
-        mean = ratio(F.col("__s"), F.col("__n"))
-        spread = F.greatest(F.col("__q") - F.col("__s") * mean, F.lit(0.0))
-        return scanned.withColumns({
-            "duration_mean": mean + F.col("__mid"),
-            "duration_std": F.sqrt(ratio(spread, F.col("__n") - 1)),
-        }).drop("__n", "__s", "__q", "__mid")
-
-    return ordering.by_group_size(df, keys, plain, split)
+    return _features(df, keys, ts, ties, frozenset({"durations"}), duration=duration)
 
 
 def trailing_rate(
@@ -78,156 +286,40 @@ def trailing_rate(
 
     A row at exactly ``t - d`` is outside, and so are rows that share ``t`` but come later.
     """
-    timed = df.withColumn("__us", micros(ts))
-
-    def plain(part: DataFrame) -> DataFrame:
-        by_time = Window.partitionBy(*keys).orderBy("__us")
-        later_peers = (
-            Window.partitionBy(*keys, "__us").orderBy(*[F.col(t) for t in ties])
-            .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        )
-        columns = {}
-        for d in days:
-            frame = by_time.rangeBetween(-(d * MICROS_PER_DAY - 1), 0)
-            failures = F.sum(label).over(frame) - F.sum(label).over(later_peers)
-            runs = F.count(F.lit(1)).over(frame) - F.count(F.lit(1)).over(later_peers)
-            columns[f"failure_rate_{d}d"] = _or_zero(ratio(failures, runs))
-        return part.withColumns(columns).drop("__us")
-
-    def split(part: DataFrame) -> DataFrame:
-        # Each row also sends one probe per window to time t - d, placed after the rows that
-        # share that time; the difference of the two running totals is the trailing window.
-        # Rows may agree in key, time and ties; the number keeps them apart.
-        part = materialise(part.withColumn("__id", F.monotonically_increasing_id()))
-        payload = F.struct(*[F.col(c) for c in df.columns])
-        moments = F.array(
-            F.struct(F.col("__us").alias("at"), F.lit(0).alias("probe")),
-            *[F.struct((F.col("__us") - d * MICROS_PER_DAY).alias("at"), F.lit(d).alias("probe"))
-              for d in days],
-        )
-        rows = part.select(*keys, *ties, "__us", "__id", payload.alias("__row"),
-                           F.explode(moments).alias("m"))
-        rows = rows.select(*keys, *ties, "__us", "__id", "__row", "m.at", "m.probe")
-        own = F.col("probe") == 0
-        scanned = ordering.prefix_scan(
-            rows, keys,
-            [F.col("at").asc(), F.col("probe").asc(), F.col("__us").asc(),
-             *[F.col(t).asc() for t in ties], F.col("__id").asc()],
-            sums={"__n": F.when(own, 1).otherwise(0),
-                  "__f": F.when(own, F.col("__row")[label]).otherwise(0)},
-        )
-        picks = [F.any_value(F.when(own, F.col("__row")), True).alias("__row")]
-        for d in [0, *days]:
-            at = F.col("probe") == d
-            picks += [F.max(F.when(at, F.col("__n"))).alias(f"__n{d}"),
-                      F.max(F.when(at, F.col("__f"))).alias(f"__f{d}")]
-        joined = scanned.groupBy("__id").agg(*picks)
-        rates = [
-            _or_zero(ratio(F.col("__f0") - F.col(f"__f{d}"), F.col("__n0") - F.col(f"__n{d}")))
-            .alias(f"failure_rate_{d}d") for d in days
-        ]
-        return joined.select(*[F.col("__row")[c].alias(c) for c in df.columns], *rates)
-
-    return ordering.by_group_size(timed, keys, plain, split)
+    return _features(df, keys, ts, ties, frozenset({"trailing"}), label, days=days)
 
 
 def recent_failures(
     df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], label: str, k: int = 10
 ) -> DataFrame:
     """Failures among the last ``k`` earlier runs."""
-    order = _order(ts, ties)
-
-    def plain(part: DataFrame) -> DataFrame:
-        last_k = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-k, -1)
-        return part.withColumn("recent_failures", F.coalesce(F.sum(label).over(last_k), F.lit(0)))
-
-    def split(part: DataFrame) -> DataFrame:
-        scanned = ordering.prefix_scan(part, keys, order, sums={
-            "__pos": F.lit(1), "__fail": F.col(label)})
-        earlier = ordering.shifted(scanned, keys, "__pos", k, {"__old": "__fail"})
-        recent = F.col("__fail") - F.coalesce(F.col("__old"), F.lit(0))
-        return earlier.withColumn("recent_failures", recent).drop("__pos", "__fail", "__old")
-
-    return ordering.by_group_size(df, keys, plain, split)
+    found = _features(df, keys, ts, ties, frozenset({"tail"}), label, k=k)
+    return found.drop("runs_since_last_failure", "flakiness_score")
 
 
 def runs_since_last_failure(
     df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], label: str
 ) -> DataFrame:
     """Earlier runs since the last earlier failure; all earlier runs if it never failed."""
-    order = _order(ts, ties)
-    failed_at = F.when(F.col(label) > 0, F.col("__pos"))
-    since = (F.col("__pos") - 1 - F.coalesce(F.col("__last"), F.lit(0))).cast("long")
-
-    def plain(part: DataFrame) -> DataFrame:
-        by_time = Window.partitionBy(*keys).orderBy(*order)
-        before = by_time.rowsBetween(Window.unboundedPreceding, -1)
-        placed = part.withColumn("__pos", F.row_number().over(by_time))
-        placed = placed.withColumn("__last", F.max(failed_at).over(before))
-        return placed.withColumn("runs_since_last_failure", since).drop("__pos", "__last")
-
-    def split(part: DataFrame) -> DataFrame:
-        placed = ordering.prefix_scan(part, keys, order, sums={"__pos": F.lit(1)})
-        placed = placed.withColumn("__pos", F.col("__pos") + 1)
-        placed = ordering.prefix_scan(placed, keys, order, maxes={"__last": failed_at})
-        return placed.withColumn("runs_since_last_failure", since).drop("__pos", "__last")
-
-    return ordering.by_group_size(df, keys, plain, split)
+    found = _features(df, keys, ts, ties, frozenset({"tail"}), label, k=1)
+    return found.drop("recent_failures", "flakiness_score")
 
 
 def flip_rate(
     df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], label: str, k: int = 10
 ) -> DataFrame:
     """Share of outcome flips among the last ``k`` earlier runs (0 while undefined)."""
-    order = _order(ts, ties)
-
-    def plain(part: DataFrame) -> DataFrame:
-        by_time = Window.partitionBy(*keys).orderBy(*order)
-        flipped = part.withColumn("__flip", F.abs(F.col(label) - F.lag(label).over(by_time)))
-        rate = F.avg("__flip").over(by_time.rowsBetween(-k, -1))
-        return flipped.withColumn("flakiness_score", _or_zero(rate)).drop("__flip")
-
-    def split(part: DataFrame) -> DataFrame:
-        placed = ordering.prefix_scan(part, keys, order, sums={"__pos": F.lit(1)})
-        placed = ordering.shifted(placed, keys, "__pos", 1, {"__before": label})
-        flip = F.abs(F.col(label) - F.col("__before"))
-        placed = ordering.prefix_scan(placed, keys, order, sums={
-            "__flips": F.coalesce(flip, F.lit(0)),
-            "__defined": F.when(flip.isNotNull(), 1).otherwise(0)})
-        placed = ordering.shifted(placed, keys, "__pos", k,
-                                  {"__old_flips": "__flips", "__old_defined": "__defined"})
-        flips = F.col("__flips") - F.coalesce(F.col("__old_flips"), F.lit(0))
-        runs = F.col("__defined") - F.coalesce(F.col("__old_defined"), F.lit(0))
-        return placed.withColumn("flakiness_score", _or_zero(ratio(flips, runs))).drop(
-            "__pos", "__before", "__flips", "__defined", "__old_flips", "__old_defined")
-
-    return ordering.by_group_size(df, keys, plain, split)
+    found = _features(df, keys, ts, ties, frozenset({"tail"}), label, k=k)
+    return found.drop("recent_failures", "runs_since_last_failure")
 
 
 def causal_history(
     df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], label: str,
     duration: str, days: Sequence[int] = (7, 14, 28), k: int = 10,
 ) -> DataFrame:
-    """All per-item history features together.
-
-    The windows share their partitioning, so ordinary keys cost one shuffle for the whole
-    family.
-    """
-    def all_features(part: DataFrame) -> DataFrame:
-        part = prior_count_and_rate(part, keys, ts, ties, label)
-        part = prior_duration_stats(part, keys, ts, ties, duration)
-        part = trailing_rate(part, keys, ts, ties, label, days)
-        part = recent_failures(part, keys, ts, ties, label, k)
-        part = runs_since_last_failure(part, keys, ts, ties, label)
-        return flip_rate(part, keys, ts, ties, label, k)
-
-    def sized(size: str, part: DataFrame) -> DataFrame:
-        with ordering.known_groups(size):
-            return all_features(part)
-
-    cold, hot = ordering.split_hot(df, keys)
-    result = sized("ordinary", cold)
-    return result if hot is None else result.unionByName(sized("hot", hot))
+    """All per-item history features together, over one exchange of the rows."""
+    wanted = frozenset({"counts", "durations", "trailing", "tail"})
+    return _features(df, keys, ts, ties, wanted, label, duration, days, k)
 
 
 def co_change_rate(
@@ -269,7 +361,7 @@ def strictly_before(
     totals.update({n: F.coalesce(F.col(f"__v_{n}"), F.lit(0)) for n in sums})
     scanned = ordering.running(
         left.unionByName(right), keys,
-        [F.col("__at").asc(), F.col("__event").asc(), F.col("__tie").asc()], sums=totals,
+        [F.col("__at"), F.col("__event"), F.col("__tie")], sums=totals,
     )
     answered = scanned.filter("__event = 0").select(
         *keys, F.col("__at").alias(time), "__pos", *sums,
@@ -324,7 +416,7 @@ def prior_modifications(touches: DataFrame, commit: str, path: str, time: str) -
     and not over touches.
     """
     moments = touches.groupBy(path, time).agg(F.count(F.lit(1)).alias("__n"))
-    before = ordering.running(moments, [path], [F.col(time).asc()],
+    before = ordering.running(moments, [path], [F.col(time)],
                               sums={"__before": F.col("__n")})
     own = touches.select(commit, path, time).distinct()
     return own.join(before.drop("__n"), [path, time]).groupBy(commit).agg(
@@ -342,7 +434,7 @@ def group_causal_history(
     """
     rows = df.groupBy(repo, item, commit, time, changed).agg(F.max(label).alias(label))
     commits = df.select(repo, commit, time, changed).distinct()
-    order = [F.col(time).asc(), F.col(commit).asc()]
+    order = [F.col(time), F.col(commit)]
     commits = ordering.running(commits, [repo], order, sums={"prior_runs": F.lit(1)})
     commits = ordering.running(commits, [repo, changed], order,
                                sums={"prior_file_touches": F.lit(1)})

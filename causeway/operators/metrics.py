@@ -142,7 +142,7 @@ def roc_auc(
 ) -> DataFrame:
     """Tie-aware area under the ROC curve; ``undefined`` is reported for a single class."""
     counts = _score_counts(df, label, score, by)
-    placed = ordering.running(counts, by, [F.col(score).asc()], sums={"__below": F.col("__neg")})
+    placed = ordering.running(counts, by, [F.col(score)], sums={"__below": F.col("__neg")})
     wins = F.sum(F.col("__pos") * (F.col("__below") + F.col("__neg") / 2))
     pairs = F.sum("__pos").cast("double") * F.sum("__neg")
     return placed.groupBy(*by).agg(
@@ -155,7 +155,7 @@ def average_precision(
 ) -> DataFrame:
     """Step-wise area under the precision-recall curve over distinct thresholds."""
     counts = _score_counts(df, label, score, by)
-    placed = ordering.running(counts, by, [F.col(score).desc()], sums={
+    placed = ordering.running(counts, by, [ordering.desc(score)], sums={
         "__tp": F.col("__pos"), "__seen": F.col("__pos") + F.col("__neg")})
     tp = F.col("__tp") + F.col("__pos")
     seen = F.col("__seen") + F.col("__pos") + F.col("__neg")
@@ -417,9 +417,8 @@ def time_decayed_rate(
 
     Tests of ``universe`` without runs get the neutral defaults 0.05, 1.0 and 0.
     """
-    order = [F.col(ts), *[F.col(t) for t in ties]]
     aged = runs.withColumn("__weight", F.exp(-decay * age_days))
-    aged = ordering.lagged(aged, [test], order, failed, "__before")
+    aged = ordering.lagged(aged, [test], [ts, *ties], failed, "__before")
     flips = F.count_if(F.col(failed) != F.col("__before"))
     n = F.count(F.lit(1))
     rates = aged.groupBy(test).agg(

@@ -1,185 +1,170 @@
 """Ordered computations that never put one whole group into one task.
 
-A plain ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to a single task.
-That is right for ordinary keys and wrong for a key that holds a large share of the table.
-The helpers here measure group sizes first: ordinary groups use the plain window, hot groups
-are range-partitioned on (key, order) and joined up again with per-partition carries.  Both
-ways give the same rows.
+A plain ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to a single task. Here a
+group is cut along its order into buckets, and work goes in two levels: a window inside
+(key, bucket), and totals per (key, bucket), whose running totals over the buckets of a key come
+back as carries. The rows are exchanged once, by (key, bucket), which is also how the carries are
+joined. Buckets are equal shares of the range between the smallest and the largest value of the
+leading order column, so they need no group sizes; everything stays one lazy plan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
-from contextvars import ContextVar
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import materialise
+BUCKETS_SETTING = "spark.causeway.orderBuckets"
 
-MAX_GROUP_ROWS_SETTING = "spark.causeway.maxGroupRows"
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
-_PART = "__part"
-_WHOLE = "__whole"
-# What is already known about the groups of the rows at hand: "ordinary", "hot" or nothing.
-_known: ContextVar[str] = ContextVar("known_group_size", default="")
+@dataclass(frozen=True)
+class Key:
+    """One column of an order. Nulls go first when ascending and last when descending, unless told."""
 
+    column: Column
+    descending: bool = False
+    nulls_last: bool | None = None
 
-@contextmanager
-def known_groups(size: str) -> Iterator[None]:
-    """Skip the size check inside the block, for rows whose groups were measured already."""
-    token = _known.set(size)
-    try:
-        yield
-    finally:
-        _known.reset(token)
+    @property
+    def last(self) -> bool:
+        return self.descending if self.nulls_last is None else self.nulls_last
 
+    def sort(self) -> Column:
+        if self.descending:
+            return self.column.desc_nulls_last() if self.last else self.column.desc_nulls_first()
+        return self.column.asc_nulls_last() if self.last else self.column.asc_nulls_first()
 
-def max_group_rows(df: DataFrame) -> int:
-    """Rows a single task may hold for one group; larger groups are split."""
-    return int(df.sparkSession.conf.get(MAX_GROUP_ROWS_SETTING, str(DEFAULT_MAX_GROUP_ROWS)))
 
+Order = Sequence["Column | str | Key"]
 
-def _scan_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
+def asc(column: Column | str, nulls_last: bool | None = None) -> Key:
+    return Key(F.col(column) if isinstance(column, str) else column, False, nulls_last)
 
-def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of groups above the size limit (None if there are none).
 
-    The list of hot keys has at most ``rows / limit`` entries, which is what makes
-    broadcasting it safe.
-    """
-    if _known.get() == "ordinary":
-        return df, None
-    limit = max_group_rows(df)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit)
-    hot = hot.select(*[F.col(k).alias(f"__hot_{k}") for k in keys])
-    if hot.isEmpty():
-        return df, None
-    hot = F.broadcast(materialise(hot))
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & df[k].eqNullSafe(hot[f"__hot_{k}"])
-    return df.join(hot, condition, "left_anti"), df.join(hot, condition, "left_semi")
+def desc(column: Column | str) -> Key:
+    return Key(F.col(column) if isinstance(column, str) else column, True)
 
 
-def prefix_scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    sums: Mapping[str, Column] | None = None,
-    maxes: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """Exclusive running sums and maxima per key in ``order``, at any group size.
+def order_keys(order: Order) -> list[Key]:
+    """Columns and names as ascending keys. A Column can't be asked for its direction, so one made
+    by ``Column.desc()`` is refused."""
+    found = []
+    for c in order:
+        if isinstance(c, Column) and str(c).endswith((" DESC NULLS LAST'>", " DESC NULLS FIRST'>")):
+            raise TypeError("use ordering.desc(column) instead of column.desc()")
+        found.append(c if isinstance(c, Key) else asc(c))
+    return found
 
-    ``order`` must be total within a key.  Rows are range-partitioned on (key, order) so a hot
-    key spreads over many partitions; the layout is materialised once so that its boundaries
-    cannot move.  Only a key that continues from an earlier partition needs a carry, and each
-    partition has at most one such key, so the broadcast carry table has at most one row per
-    partition.
-    """
-    sums, maxes = dict(sums or {}), dict(maxes or {})
-    names = [*sums, *maxes]
-    prepared = df.withColumns({f"__in_{n}": c for n, c in {**sums, **maxes}.items()})
-    key_columns = [F.col(k) for k in keys]
-    ranged = prepared.repartitionByRange(_scan_partitions(df), *key_columns, *order)
-    staged = materialise(ranged.withColumn(_PART, F.spark_partition_id()))
 
-    def fold(name: str) -> Column:
-        return F.sum(f"__in_{name}") if name in sums else F.max(f"__in_{name}")
-
-    totals = staged.groupBy(_PART, *keys).agg(*[fold(n).alias(f"__tot_{n}") for n in names])
-    across = Window.partitionBy(*keys).orderBy(_PART)
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-
-    def carried(name: str) -> Column:
-        total = f"__tot_{name}"
-        return (F.sum(total) if name in sums else F.max(total)).over(before)
-
-    carry = (
-        totals.select(
-            _PART, *keys,
-            F.lag(_PART).over(across).alias("__previous"),
-            *[carried(n).alias(f"__carry_{n}") for n in names],
-        )
-        .filter(F.col("__previous").isNotNull())
-        .drop("__previous")
-    )
-    within = (
-        Window.partitionBy(_PART, *keys).orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = staged.withColumns({f"__loc_{n}": fold(n).over(within) for n in names})
-    carry = carry.withColumnsRenamed({k: f"__c_{k}" for k in [_PART, *keys]})
-    condition = F.lit(True)
-    for k in [_PART, *keys]:
-        condition = condition & local[k].eqNullSafe(carry[f"__c_{k}"])
-    joined = local.join(F.broadcast(carry), condition, "left")
-    result = {}
-    for n in names:
-        if n in sums:
-            result[n] = F.coalesce(F.col(f"__loc_{n}"), F.lit(0)) + F.coalesce(
-                F.col(f"__carry_{n}"), F.lit(0)
-            )
-        else:
-            result[n] = F.greatest(F.col(f"__loc_{n}"), F.col(f"__carry_{n}"))
-    kept = [F.col(c) for c in df.columns if c not in names]
-    return joined.select(*kept, *[c.alias(n) for n, c in result.items()])
+def sort_columns(order: Order) -> list[Column]:
+    return [k.sort() for k in order_keys(order)]
+
+
+def order_buckets(df: DataFrame) -> int:
+    """Shares of an order's range: as many as the session has shuffle partitions, unless set."""
+    conf = df.sparkSession.conf
+    return int(conf.get(BUCKETS_SETTING, conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def _number(column: Column, kind: T.DataType) -> Column:
+    """A number that never decreases with the value; the first bytes of a string."""
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(column.cast("timestamp")).cast("double")
+    if isinstance(kind, T.NumericType):
+        return column.cast("double")
+    return F.when(column.isNotNull(), F.lit(0.0))
+
+
+def _bucketed(df: DataFrame, order: Sequence[Key]) -> DataFrame:
+    """``df`` with ``__b``, a bucket number that never decreases along the order.
+
+    Leading flags count whole (the rest of the order cuts each of them); then the first other
+    column is cut into equal shares of its range. That range is one row, worked out in the plan.
+    """
+    buckets = order_buckets(df)
+    kinds = df.select(*[k.column.alias(f"c{i}") for i, k in enumerate(order)]).schema
+    flags = [k for k, f in zip(order, kinds) if isinstance(f.dataType, T.BooleanType)]
+    lead = next((i for i, f in enumerate(kinds) if not isinstance(f.dataType, T.BooleanType)), None)
+    flags = flags[:lead]
+    place = F.lit(0).cast("long")
+    for k in flags:
+        level = F.coalesce(k.column.cast("int"), F.lit(2 if k.last != k.descending else -1))
+        place = place * 4 + (-level if k.descending else level)
+    if lead is None or buckets < 2:
+        return df.withColumn("__b", place if flags else F.lit(0).cast("long"))
+    key = order[lead]
+    coded = df.withColumn("__code", _number(key.column, kinds[lead].dataType))
+    ends = coded.select(F.nanvl("__code", F.lit(None).cast("double")).alias("c")).agg(
+        F.min("c").alias("__low"), F.max("c").alias("__high"))
+    code, low, high = F.col("__code"), F.col("__low"), F.col("__high")
+    share = F.nanvl((code - low) / (high - low) * buckets, F.lit(0.0))
+    share = F.when(F.isnan(code), buckets).when(code >= high, buckets - 1).otherwise(
+        F.least(F.floor(share), F.lit(buckets - 1)))
+    null = buckets + 1 if key.last != key.descending else -1
+    level = F.coalesce(share, F.lit(null)).cast("long")
+    joined = coded.join(F.broadcast(ends))  # one row
+    return joined.withColumn("__b", place * (2 * buckets + 8) + (-level if key.descending else level)).drop(
+        "__code", "__low", "__high")
 
 
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Order,
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Exclusive running sums and maxima per key; plain window unless a group is hot.
+    """Exclusive running sums and maxima per key, and sums over the whole group (``totals``).
 
-    Without keys the whole table is one group, measured like any other.
+    Without keys the whole table is one group. ``order`` should be total within a key.
     """
-    sums, maxes = dict(sums or {}), dict(maxes or {})
-    if not keys:
-        whole = df.withColumn(_WHOLE, F.lit(0))
-        return running(whole, [_WHOLE], order, sums, maxes).drop(_WHOLE)
-    if _known.get() == "hot":
-        return prefix_scan(df, keys, order, sums, maxes)
-    cold, hot = split_hot(df, keys)
-    before = (
-        Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    kept = [F.col(c) for c in df.columns if c not in {*sums, *maxes}]
-    plain = cold.select(
-        *kept,
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()],
-        *[F.max(c).over(before).alias(n) for n, c in maxes.items()],
-    )
-    if hot is None:
-        return plain
-    return plain.unionByName(prefix_scan(hot, keys, order, sums, maxes))
+    sums, maxes, totals = dict(sums or {}), dict(maxes or {}), dict(totals or {})
+    order = order_keys(order)
+    inputs = {f"__in_{n}": c for n, c in {**sums, **maxes, **totals}.items()}
+    # A struct is never null, so that groups with a null key join like any other.
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    rows = _bucketed(df.withColumns({**inputs, "__g": group}), order)
+
+    def fold(name: str) -> Column:
+        return F.max(f"__in_{name}") if name in maxes else F.sum(f"__in_{name}")
+
+    parts = rows.groupBy("__g", "__b").agg(*[fold(n).alias(n) for n in (*sums, *maxes, *totals)])
+    across = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("__g")
+    carries = parts.select(
+        "__g", "__b", *[F.sum(n).over(across).alias(f"__carry_{n}") for n in sums],
+        *[F.max(n).over(across).alias(f"__carry_{n}") for n in maxes],
+        *[F.sum(n).over(whole).alias(f"__whole_{n}") for n in totals])
+    within = Window.partitionBy("__g", "__b").orderBy(*[k.sort() for k in order]).rowsBetween(
+        Window.unboundedPreceding, -1)
+    kept = [F.col(c) for c in df.columns if c not in {*sums, *maxes, *totals}]
+    local = rows.select(*kept, "__g", "__b", *[
+        fold(n).over(within).alias(f"__local_{n}") for n in (*sums, *maxes)])
+    zero = F.lit(0)
+    results = [(F.coalesce(F.col(f"__local_{n}"), zero) + F.coalesce(F.col(f"__carry_{n}"), zero)).alias(n)
+               for n in sums]
+    results += [F.greatest(F.col(f"__local_{n}"), F.col(f"__carry_{n}")).alias(n) for n in maxes]
+    results += [F.col(f"__whole_{n}").alias(n) for n in totals]
+    return local.join(carries, ["__g", "__b"]).select(*kept, *results)
 
 
 def row_rank(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank"
+    df: DataFrame, keys: Sequence[str], order: Order, name: str = "rank",
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """1-based position of each row inside its group under a total ``order``."""
-    if not keys:
-        whole = df.withColumn(_WHOLE, F.lit(0))
-        return row_rank(whole, [_WHOLE], order, name).drop(_WHOLE)
-    if _known.get() == "hot":
-        scanned = prefix_scan(df, keys, order, sums={name: F.lit(1)})
-        return scanned.withColumn(name, F.col(name) + 1)
-    cold, hot = split_hot(df, keys)
-    ranked = cold.withColumn(
-        name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
-    )
-    if hot is None:
-        return ranked
-    scanned = prefix_scan(hot, keys, order, sums={name: F.lit(1)})
-    return ranked.unionByName(scanned.withColumn(name, F.col(name) + 1))
+    """1-based position of each row inside its group under a total ``order``, and group totals."""
+    ranked = running(df, keys, order, sums={name: F.lit(1)}, totals=totals)
+    return ranked.withColumn(name, F.col(name) + 1)
 
 
 def with_totals(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
@@ -205,17 +190,16 @@ def quantiles(
     is ever held in one aggregation buffer.
     """
     present = df.filter(F.col(value).isNotNull())
-    # Read for sizes, for running totals and for the picks, so worked out once.
-    counts = materialise(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")))
-    placed = running(counts, keys, [F.col(value).asc()], sums={"__below": F.col("__c")})
-    sized = _with_size(placed, counts, keys)
+    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    placed = running(counts, keys, [F.col(value)], sums={"__below": F.col("__c")},
+                     totals={"__size": F.col("__c")})
     picks = []
     for name, level in levels.items():
         position = F.lit(float(level)) * (F.col("__size") - 1)
         for side, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             holds = (F.col("__below") <= index) & (index < F.col("__below") + F.col("__c"))
             picks.append(F.max(F.when(holds, F.col(value))).alias(f"__{side}_{name}"))
-    picked = sized.groupBy(*keys).agg(F.max("__size").alias("__size"), *picks)
+    picked = placed.groupBy(*keys).agg(F.max("__size").alias("__size"), *picks)
     outputs = []
     for name, level in levels.items():
         position = F.lit(float(level)) * (F.col("__size") - 1)
@@ -224,17 +208,6 @@ def quantiles(
     return picked.select(*keys, *outputs)
 
 
-def _with_size(placed: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__size"))
-    if not keys:
-        return placed.join(F.broadcast(sizes))  # one row
-    renamed = sizes.withColumnsRenamed({k: f"__t_{k}" for k in keys})
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & placed[k].eqNullSafe(renamed[f"__t_{k}"])
-    return placed.join(renamed, condition).drop(*[f"__t_{k}" for k in keys])
-
-
 def shifted(
     df: DataFrame, keys: Sequence[str], position: str, by: int, columns: Mapping[str, str]
 ) -> DataFrame:
@@ -254,29 +227,17 @@ def shifted(
 
 
 def lagged(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], column: str, name: str
-) -> DataFrame:
-    """The value of ``column`` one row earlier in the same group."""
-    def plain(part: DataFrame) -> DataFrame:
-        return part.withColumn(
-            name, F.lag(column).over(Window.partitionBy(*keys).orderBy(*order)))
-
-    def split(part: DataFrame) -> DataFrame:
-        placed = prefix_scan(part, keys, order, sums={"__pos": F.lit(1)})
-        return shifted(placed, keys, "__pos", 1, {name: column}).drop("__pos")
-
-    return by_group_size(df, keys, plain, split)
-
-
-def by_group_size(
-    df: DataFrame,
-    keys: Sequence[str],
-    plain: Callable[[DataFrame], DataFrame],
-    split: Callable[[DataFrame], DataFrame],
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str
 ) -> DataFrame:
-    """Run ``plain`` on ordinary groups and ``split`` on hot ones, and union the results."""
-    if _known.get() == "hot":
-        return split(df)
-    cold, hot = split_hot(df, keys)
-    result = plain(cold)
-    return result if hot is None else result.unionByName(split(hot))
+    """The value of ``column`` one row earlier in the same group; ``order`` names columns, ascending."""
+    group = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    rows = _bucketed(df.withColumn("__g", group), order_keys(order))
+    last = F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order))
+    across = Window.partitionBy("__g").orderBy("__b")
+    carries = rows.groupBy("__g", "__b").agg(last.alias("__last")).select(
+        "__g", "__b", F.lag("__last").over(across).alias("__carried"))
+    within = Window.partitionBy("__g", "__b").orderBy(*sort_columns(order))
+    local = rows.withColumns({"__own": F.lag(F.struct(F.col(column).alias("v"))).over(within)})
+    joined = local.join(carries, ["__g", "__b"])
+    return joined.withColumn(name, F.coalesce("__own", "__carried")["v"]).drop(
+        "__g", "__b", "__own", "__carried")

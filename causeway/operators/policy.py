@@ -33,7 +33,7 @@ def commit_policy_stats(
 ) -> DataFrame:
     """Everything a threshold pair needs, once per commit: one scan however large the grid."""
     flagged = selection.topk_per_group(
-        df, [commit], [F.col(confidence).desc(), F.col(item), *[F.col(t) for t in ties]],
+        df, [commit], [ordering.desc(confidence), F.col(item), *[F.col(t) for t in ties]],
         budget, "floor")
     failed = F.col(label) == 1
     return flagged.groupBy(commit).agg(

@@ -231,7 +231,7 @@ def assemble_evidence(
     """
     block = F.concat(F.lit("--- "), F.col(name), F.lit(" ---\n"), F.col(context))
     blocks = df.filter(F.trim(context) != "").select(run, name, block.alias("__block"))
-    placed = ordering.running(blocks, [run], [F.col(name).asc()],
+    placed = ordering.running(blocks, [run], [F.col(name)],
                               sums={"__before": F.length("__block") + 2})
     reached = placed.filter(F.col("__before") < max_chars)
     joined = reached.groupBy(run).agg(F.array_join(F.transform(

@@ -32,8 +32,7 @@ def topk_per_group(
     k_rule: str = "floor",
 ) -> DataFrame:
     """Flag the best-ranked budget share of every group (``selected``, ``rank``)."""
-    ranked = ordering.row_rank(df, keys, order, "rank")
-    sized = ordering.with_totals(ranked, keys, group_size=F.count(F.lit(1)))
+    sized = ordering.row_rank(df, keys, order, "rank", totals={"group_size": F.lit(1)})
     return sized.withColumn("selected", F.col("rank") <= budget_size(
         F.col("group_size"), budget, k_rule))
 
@@ -107,10 +106,9 @@ def apply_budget(
     if max_items is not None and max_items < min_items:
         raise ValueError("max_items must not be below min_items")
     chosen = F.col(selected).cast("boolean")
-    ranked = ordering.row_rank(
-        df, keys, [chosen.desc(), F.col(p).desc(), *[F.col(t) for t in ties]], "__rank")
-    sized = ordering.with_totals(
-        ranked, keys, __size=F.count(F.lit(1)), __chosen=F.count_if(chosen))
+    sized = ordering.row_rank(
+        df, keys, [ordering.desc(chosen), ordering.desc(p), *[F.col(t) for t in ties]], "__rank",
+        totals={"__size": F.lit(1), "__chosen": F.coalesce(chosen.cast("int"), F.lit(0))})
     wanted = F.greatest(F.col("__chosen"), F.least(F.lit(min_items), F.col("__size")))
     kept = wanted if max_items is None else F.least(wanted, F.lit(max_items))
     return sized.withColumns({
@@ -129,7 +127,7 @@ def flag_top(
     if k <= 0:
         return df.withColumn(name, F.lit(False))
     column = F.col(score)
-    direction = column.desc_nulls_last() if descending else column.asc_nulls_last()
+    direction = ordering.desc(column) if descending else ordering.asc(column, nulls_last=True)
     counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("__c"))
     placed = ordering.running(counts, [], [direction], sums={"__before": F.col("__c")})
     at = placed.filter((F.col("__before") < k) & (F.col("__before") + F.col("__c") >= k)).first()
@@ -151,7 +149,7 @@ def risk_coverage(
     """Mean absolute error and largest kept uncertainty of the most certain share of rows."""
     n = df.count()
     ranked = ordering.row_rank(
-        df, [], [F.col(uncertainty).asc(), *[F.col(t) for t in ties]], "__rank")
+        df, [], [F.col(uncertainty), *[F.col(t) for t in ties]], "__rank")
     error = F.abs(F.col(label) - F.col(p))
     columns = []
     for i, level in enumerate(levels):
@@ -205,7 +203,7 @@ def ranked_candidates(
 ) -> DataFrame:
     """Candidates of each commit by confidence, with rounded scores."""
     ranked = ordering.row_rank(
-        df, [commit], [F.col(confidence).desc(), F.col(item)], "position")
+        df, [commit], [ordering.desc(confidence), F.col(item)], "position")
     return ranked.select(
         commit, item, "position", F.round(confidence, 4).alias("confidence"),
         F.round(uncertainty, 4).alias("uncertainty"), F.col(selected).alias("selected"))

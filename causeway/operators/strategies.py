@@ -95,7 +95,7 @@ def changed_file(
     matched = name_correspondence(tests, changed, commit, test_path, changed_path)
     if budget is None:
         return _never_abstain(matched.withColumnRenamed("matched", "selected"))
-    order = [F.col("matched").desc(), *[F.col(c) for c in identity]]
+    order = [ordering.desc("matched"), *[F.col(c) for c in identity]]
     share = _top_share(matched, commit, order, budget)
     return share.withColumn("selected", F.col("selected") & F.col("matched")).drop("matched")
 
@@ -105,7 +105,7 @@ def dependency(
     unreachable: float = 10.0,
 ) -> DataFrame:
     """Reachable tests by ascending depth up to the budget, else the nearest ones."""
-    share = _top_share(df, commit, [F.col(depth).asc(), *[F.col(c) for c in identity]], budget)
+    share = _top_share(df, commit, [F.col(depth), *[F.col(c) for c in identity]], budget)
     reachable = F.col(depth) < unreachable
     known = ordering.with_totals(share, [commit], __any=F.max(reachable.cast("int")))
     return known.withColumn(
@@ -117,7 +117,7 @@ def history(
 ) -> DataFrame:
     """Lifetime failure rate plus a tenth of the prior failures, highest first."""
     score = F.col(rate) + F.col(failures) * 0.1
-    return _top_share(df, commit, [score.desc(), *[F.col(c) for c in identity]], budget)
+    return _top_share(df, commit, [ordering.desc(score), *[F.col(c) for c in identity]], budget)
 
 
 def scored(
@@ -127,7 +127,7 @@ def scored(
     checked = df.withColumn(score, F.coalesce(
         F.col(score), F.raise_error(F.lit("a row carries no model score"))))
     return _top_share(
-        checked, commit, [F.col(score).desc(), *[F.col(c) for c in identity]], budget)
+        checked, commit, [ordering.desc(score), *[F.col(c) for c in identity]], budget)
 
 
 def with_scorer(
@@ -147,7 +147,7 @@ def selective(
         raise ValueError("the selective strategy needs tuned thresholds")
     identity = [item, *ties]
     share = _top_share(
-        df, commit, [F.col(confidence).desc(), *[F.col(c) for c in identity]], thresholds.budget)
+        df, commit, [ordering.desc(confidence), *[F.col(c) for c in identity]], thresholds.budget)
     stats = policy.commit_policy_stats(
         df, commit, item, label, confidence, uncertainty, ties, thresholds.budget)
     verdict = policy.selective_policy(stats, thresholds).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import micros
-from ..operators import history, selection
+from ..operators import history, ordering, selection
 from .catalog import Tables, query, r, sql
 
 _KEY, _TIES = ["test_id"], ["event_id"]
@@ -208,7 +208,7 @@ def _(t: Tables):
     rows = t.runs.select("event_id", "test_id", "commit_sha", "ts", "label_failed", "duration")
     scored = history.prior_count_and_rate(rows, _KEY, "ts", _TIES, "label_failed")
     chosen = selection.topk_per_group(
-        scored, ["commit_sha"], [F.col("failure_rate_lifetime").desc(), F.col("event_id")],
+        scored, ["commit_sha"], [ordering.desc("failure_rate_lifetime"), F.col("event_id")],
         budget=0.25, k_rule="floor")
     stats = selection.strategy_commit_stats(
         chosen.withColumn("strategy", F.lit("history")).withColumn("abstained", F.lit(False)),

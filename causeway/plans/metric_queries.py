@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, selection
+from ..operators import metrics, ordering, selection
 from .catalog import Tables, query, r, sql
 
 _RATIO = "CASE WHEN ({1}) > 0 THEN ({0}) / CAST(({1}) AS DOUBLE) END"
@@ -591,7 +591,7 @@ _SCORED_ORDER = "p DESC, test_id, l_orderkey, l_linenumber"
 
 
 def _order():
-    return [F.col("p").desc(), *[F.col(c) for c in _SCORED_TIES]]
+    return [ordering.desc("p"), *[F.col(c) for c in _SCORED_TIES]]
 
 
 def _topk_sql(size: str) -> str:
@@ -684,7 +684,7 @@ def _(t: Tables):
     ORDER BY p DESC, commit_sha, test_id, l_orderkey, l_linenumber LIMIT 100""", "scored"))
 def _(t: Tables):
     rows = t.scored.select("p", "commit_sha", *_SCORED_TIES)
-    order = [F.col("p").desc(), F.col("commit_sha"), *[F.col(c) for c in _SCORED_TIES]]
+    order = [ordering.desc("p"), F.col("commit_sha"), *[F.col(c) for c in _SCORED_TIES]]
     return selection.global_topk(rows, order, 100).drop("p")
 
 

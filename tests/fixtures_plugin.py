@@ -19,10 +19,12 @@ def spark():
 
 @pytest.fixture
 def hot(spark):
-    """Every group counts as hot inside the test, so the split paths run."""
-    spark.conf.set("spark.causeway.maxGroupRows", "1")
+    """Groups are cut into many buckets inside the test, so that carries and copies count."""
+    spark.conf.set("spark.causeway.orderBuckets", "50")
+    spark.conf.set("spark.causeway.bucketDays", "3")
     yield
-    spark.conf.unset("spark.causeway.maxGroupRows")
+    spark.conf.unset("spark.causeway.orderBuckets")
+    spark.conf.unset("spark.causeway.bucketDays")
 
 
 def rows(df, *order):

@@ -25,7 +25,7 @@ def expected_ranks(data):
 
 
 def test_rank_is_the_same_for_hot_groups(values, hot):
-    ranked = ordering.row_rank(values, ["k"], [F.col("v").desc(), F.col("id")])
+    ranked = ordering.row_rank(values, ["k"], [ordering.desc("v"), F.col("id")])
     assert {r.id: r["rank"] for r in ranked.collect()} == expected_ranks(values.collect())
 
 
@@ -54,9 +54,9 @@ def test_flag_top_takes_exactly_k(values, k):
     assert flagged.count() == 600
 
 
-def test_prefix_scan_does_not_depend_on_partitioning(values):
+def test_running_sums_do_not_depend_on_partitioning(values):
     def scan(df):
-        return sorted((r.id, r.s) for r in ordering.prefix_scan(
+        return sorted((r.id, r.s) for r in ordering.running(
             df, ["k"], [F.col("v"), F.col("id")], sums={"s": F.col("v")}).collect())
 
     assert scan(values) == scan(values.repartition(11, "id"))
