@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import materialise
+from . import joins
 
 # Fixed value: the depth reported for an unreachable pair.
 UNREACHABLE_DEPTH = 10
@@ -64,31 +65,73 @@ def distances_to(edges: DataFrame, targets: DataFrame, max_depth: int | None = N
     return known
 
 
+def _useful_nodes(edges: DataFrame, tests: DataFrame) -> DataFrame:
+    """(node) that any wanted test imports, however indirectly, and the tests in the graph.
+
+    One search from all tests together; a node is stored once, whatever the number of tests.
+    """
+    known = materialise(tests.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi"))
+    frontier = known
+    while True:
+        reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"))
+        frontier = materialise(reached.distinct().join(known, "node", "left_anti"))
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
+
+
+def nearest_change(edges: DataFrame, changed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(commit, node, depth): shortest import distance from a node to a changed file of the commit.
+
+    ``edges`` (src, dst; distinct), ``changed`` (commit, node) and ``wanted`` (commit, node) with the
+    tests in question. The search runs backwards from all changed files of a commit at once. It is
+    pruned from both ends: it keeps to nodes that some wanted test imports, and a commit leaves it
+    once all its tests are settled. What is stored is bounded by commits x useful nodes; a level
+    is one job. Every wanted row that has a distance is in the result.
+    """
+    useful = materialise(_useful_nodes(edges, wanted.select("node").distinct()))
+    back = materialise(edges.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi").join(
+        useful.withColumnRenamed("node", "src"), "src", "left_semi").select(
+        F.col("dst").alias("node"), F.col("src").alias("next")))
+    tests = materialise(wanted.distinct().join(useful, "node", "left_semi").select("commit", "node"))
+    known = materialise(changed.distinct().join(useful, "node", "left_semi").select(
+        "commit", "node", F.lit(0).alias("depth")))
+    frontier, depth = known, 0
+    while True:
+        depth += 1
+        open_ = tests.join(known, ["commit", "node"], "left_anti").select("commit").distinct()
+        reached = frontier.join(open_, "commit", "left_semi").join(back, "node").select(
+            "commit", F.col("next").alias("node")).distinct()
+        frontier = materialise(reached.join(known, ["commit", "node"], "left_anti").withColumn(
+            "depth", F.lit(depth)))
+        if frontier.isEmpty():
+            return known
+        known = known.unionByName(frontier)
+
+
 def dependency_features(
     pairs: DataFrame, changed: DataFrame, edges: DataFrame, commit: str, test: str, path: str
 ) -> DataFrame:
-    """Dependency features of every (commit, test) row against the commit's changed files.
-
-    Distances are found once per distinct changed file and reduced to one row per
-    (commit, node) before they meet the tests.
-    """
+    """Dependency features of every (commit, test) row against the commit's changed files."""
+    edges = materialise(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    files = changed.select(commit, F.col(path).alias("target")).distinct()
-    in_graph = files.join(nodes.withColumnRenamed("node", "target"), "target", "left_semi")
-    reach = distances_to(edges, in_graph.select("target"))
-    nearest = in_graph.join(reach, "target").groupBy(commit, "node").agg(
-        F.min("depth").alias("__depth"), F.max((F.col("depth") == 1).cast("int")).alias("__direct"))
-    reverse = edges.groupBy(F.col("dst").alias("target")).agg(
-        F.count_distinct("src").alias("__in"))
-    most = in_graph.join(reverse, "target", "left").groupBy(commit).agg(
+    files = changed.select(F.col(commit).alias("commit"), F.col(path).alias("node")).distinct()
+    in_graph = materialise(files.join(nodes, "node", "left_semi").select("commit", "node"))
+    wanted = pairs.select(F.col(commit).alias("commit"), F.col(test).alias("node"))
+    nearest = nearest_change(edges, in_graph, wanted).select(
+        F.col("commit").alias(commit), F.col("node").alias(test), F.col("depth").alias("__depth"))
+    direct = edges.filter("src <> dst").select(F.col("src").alias(test), F.col("dst").alias("node")).join(
+        in_graph, "node").select(F.col("commit").alias(commit), test).distinct().withColumn(
+        "__direct", F.lit(1))
+    reverse = edges.groupBy(F.col("dst").alias("node")).agg(F.count("src").alias("__in"))
+    most = in_graph.join(reverse, "node", "left").groupBy(F.col("commit").alias(commit)).agg(
         F.max(F.coalesce("__in", F.lit(0))).alias("__reverse"))
-    out = edges.groupBy(F.col("src").alias(test)).agg(F.count_distinct("dst").alias("__out"))
-
+    out = edges.groupBy(F.col("src").alias(test)).agg(F.count("dst").alias("__out"))
+    coupled = _name_coupled(pairs, files, commit, test)
+    both = [commit, test]
     joined = (
-        pairs.join(nearest.withColumnRenamed("node", test), [commit, test], "left")
+        pairs.join(nearest, both, "left").join(direct, both, "left").join(coupled, both, "left")
         .join(most, commit, "left").join(out, test, "left"))
-    coupled = _name_coupled(pairs, files, commit, test)
-    joined = joined.join(coupled, [commit, test], "left")
     return joined.select(
         *pairs.columns,
         F.coalesce("__direct", F.lit(0)).alias("dep_is_direct_import"),
@@ -100,24 +143,14 @@ def dependency_features(
 
 
 def _name_coupled(pairs: DataFrame, files: DataFrame, commit: str, test: str) -> DataFrame:
-    """(commit, test) rows whose bare stem is contained in a changed stem of the commit.
-
-    The substrings of each distinct changed stem turn containment into an equi-join.
-    """
-    stem = text.file_stem(F.col("target").cast("string"))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("__s"), F.lit(1)))
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(0), F.length("__s") - i + 1), lambda n: F.substr(F.col("__s"), i, n))))
-    stems = files.select(commit, stem.alias("__s")).distinct()
-    offered = stems.select("__s").distinct().select(
-        "__s", F.explode(F.array_distinct(pieces)).alias("__bare"))
-    tests = pairs.select(commit, test).distinct().withColumn("__bare", F.regexp_replace(
-        F.regexp_replace(text.file_stem(F.col(test).cast("string")), "test_", ""), "_test", ""))
-    used = tests.select("__bare").distinct()
-    hits = offered.join(used, "__bare", "left_semi")
-    by_commit = stems.join(hits, "__s").select(commit, "__bare").distinct()
-    matched = tests.join(by_commit, [commit, "__bare"], "left_semi")
-    return matched.select(commit, test).withColumn("__coupled", F.lit(1))
+    """(commit, test) rows whose bare stem is contained in a changed stem of the commit."""
+    stems = files.select("commit", text.file_stem(F.col("node").cast("string")).alias("stem"))
+    bare = F.regexp_replace(F.regexp_replace(
+        text.file_stem(F.col(test).cast("string")), "test_", ""), "_test", "")
+    tests = pairs.select(F.col(commit).alias("commit"), test, bare.alias("bare")).distinct()
+    found = joins.containments(tests, stems, ["commit"], "bare", "stem").select("commit", "bare").distinct()
+    return tests.join(found, ["commit", "bare"], "left_semi").select(
+        F.col("commit").alias(commit), test).distinct().withColumn("__coupled", F.lit(1))
 
 
 # Path components too common to carry a dependency.

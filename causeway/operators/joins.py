@@ -238,35 +238,78 @@ def resolve_ids(ids: DataFrame, files: DataFrame, test_id: str, path: str) -> Da
         F.col("b.function").alias("test_function"))
 
 
+_GRAM = 3
+
+
+def _grams(column: str) -> Column:
+    return F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(column) - (_GRAM - 1)), lambda i: F.substr(F.col(column), i, F.lit(_GRAM))))
+
+
+def containments(
+    needles: DataFrame, hays: DataFrame, keys: Sequence[str], needle: str, hay: str
+) -> DataFrame:
+    """Distinct (keys, needle, hay) with equal keys where the hay contains the needle.
+
+    A needle is looked up by one of its 3-grams, the one that the fewest distinct hays hold; a hay
+    offers those of its 3-grams that some needle is looked up by. Keys and gram make an
+    equi-join, which adaptive execution splits where a key is hot; what it finds is verified.
+    Needles of fewer characters are few by nature (at most the pairs of letters) and go to the
+    hays of their keys as a list; an empty one is contained in every hay. Nulls match nothing.
+    """
+    needles = needles.select(*keys, needle).filter(F.col(needle).isNotNull()).distinct()
+    hays = hays.select(*keys, hay).filter(F.col(hay).isNotNull()).distinct()
+    long, roomy = needles.filter(F.length(needle) >= _GRAM), hays.filter(F.length(hay) >= _GRAM)
+    held = roomy.select(hay).distinct().select(F.explode(_grams(hay)).alias("__gram")).groupBy(
+        "__gram").agg(F.count(F.lit(1)).alias("__c"))
+    asked = long.select(needle).distinct().select(needle, F.explode(_grams(needle)).alias("__gram"))
+    lookup = asked.join(held, "__gram").groupBy(needle).agg(
+        F.min_by("__gram", F.struct("__c", "__gram")).alias("__gram"))
+    offered = roomy.select(*keys, hay, F.explode(_grams(hay)).alias("__gram")).join(
+        lookup.select("__gram").distinct(), "__gram", "left_semi")
+    found = long.join(lookup, needle).join(offered, [*keys, "__gram"]).filter(
+        F.contains(F.col(hay), F.col(needle))).select(*keys, needle, hay)
+    lists = needles.filter(F.length(needle) < _GRAM).groupBy(*keys).agg(
+        F.collect_set(needle).alias("__short"))
+    short = hays.join(lists, list(keys)).select(
+        *keys, F.explode(F.filter("__short", lambda n: F.contains(F.col(hay), n))).alias(needle), hay)
+    return found.unionByName(short)
+
+
 def _suffixes(column: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(column)), lambda i: F.substr(column, i))
 
 
 def direct_import(
-    imports: DataFrame, changed: DataFrame, test: str, module: str, path: str
+    imports: DataFrame, changed: DataFrame, test: str, module: str, path: str,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """(test, changed file) rows where an import of the test refers to the changed module.
+    """(keys, test, changed file) rows where an import of the test refers to the changed module.
 
     An import refers to a module when the module stem is one of its dotted tokens, or one
     dotted name is a suffix of the other.  All three rules are one equi-join on derived keys
-    over the distinct modules and files.
+    over the distinct modules and files. ``keys``, the commit as a rule, are columns of both
+    tables: a test then meets the files of its own commit only, so a stem that is common in the
+    corpus costs no more than its commits hold.
     """
+    keys = list(keys)
+
     def keyed(tag: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(tag).alias("tag"), v.alias("key")))
 
-    names = imports.select(module).distinct().filter(F.length(module) > 0)
-    wanted = names.select(module, F.explode(F.array_distinct(F.concat(
+    names = imports.select(*keys, module).distinct().filter(F.length(module) > 0)
+    wanted = names.select(*keys, module, F.explode(F.array_distinct(F.concat(
         keyed("token", F.split(module, r"\.")), keyed("within", F.array(module)),
         keyed("ends", _suffixes(F.col(module)))))).alias("k"))
-    files = changed.select(path).distinct()
+    files = changed.select(*keys, path).distinct()
     stem = text.file_stem(F.col(path))
     dotted = F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "/", ".")
-    offered = files.select(path, F.explode(F.array_distinct(F.concat(
+    offered = files.select(*keys, path, F.explode(F.array_distinct(F.concat(
         keyed("token", F.array(stem)), keyed("within", _suffixes(dotted)),
         keyed("ends", F.array(dotted))))).alias("k"))
-    matches = wanted.join(offered, "k").select(module, path).distinct()
-    return imports.select(test, module).distinct().join(matches, module).select(
-        test, path).distinct()
+    matches = wanted.join(offered, [*keys, "k"]).select(*keys, module, path).distinct()
+    return imports.select(*keys, test, module).distinct().join(matches, [*keys, module]).select(
+        *keys, test, path).distinct()
 
 
 def union_corpora(frames: Mapping[str, DataFrame], group: str) -> DataFrame:

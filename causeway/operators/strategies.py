@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ordering, policy, selection
+from . import joins, ordering, policy, selection
 
 Strategy = Callable[[DataFrame], DataFrame]
 _REGISTRY: dict[str, Strategy] = {}
@@ -61,28 +61,19 @@ def changed_stem(path: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
 
 
-STEM_BLOCK = 256  # changed stems of a commit that one row carries
-
-
 def name_correspondence(
     tests: DataFrame, changed: DataFrame, commit: str, test_path: str, changed_path: str
 ) -> DataFrame:
     """Tests whose path contains the stem of a file that their commit changed.
 
-    The distinct stems of a commit travel as lists, split by hash so that a large commit spreads
-    over rows; each distinct test path of the commit is tested against a list at once.  A stem
-    equal to the test's own is contained in its path as well.
+    A stem equal to the test's own is contained in its path as well.
     """
-    stems = changed.select(commit, changed_stem(F.col(changed_path)).alias("__stem"))
-    stems = stems.filter("length(__stem) > 0").distinct()
-    sizes = stems.groupBy(commit).agg(F.count(F.lit(1)).alias("__n"))
-    lists = stems.join(sizes, commit).groupBy(commit, F.pmod(
-        F.xxhash64("__stem"), F.ceil(F.col("__n") / STEM_BLOCK)).alias("__block")).agg(
-        F.collect_list("__stem").alias("__stems"))
-    low = F.lower(F.col(test_path))
-    matches = tests.select(commit, test_path).distinct().join(lists, commit).filter(
-        F.exists("__stems", lambda stem: F.contains(low, stem))).select(
-        commit, test_path).distinct().withColumn("matched", F.lit(True))
+    stems = changed.select(commit, changed_stem(F.col(changed_path)).alias("__stem")).filter(
+        "length(__stem) > 0")
+    paths = tests.select(commit, test_path, F.lower(F.col(test_path)).alias("__low")).distinct()
+    found = joins.containments(stems, paths, [commit], "__stem", "__low").select(commit, "__low").distinct()
+    matches = paths.join(found, [commit, "__low"], "left_semi").select(
+        commit, test_path).withColumn("matched", F.lit(True))
     joined = tests.join(matches, [commit, test_path], "left")
     return joined.withColumn("matched", F.coalesce("matched", F.lit(False)))
 

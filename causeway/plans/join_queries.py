@@ -281,6 +281,27 @@ def _(t: Tables):
                                "module", "path")
 
 
+_OWN_IMPORTS = """SELECT l_orderkey AS commit_sha, concat('tests/t', CAST(l_partkey AS STRING), '.py') AS test,
+        concat(CASE l_linenumber % 2 WHEN 0 THEN 'lib.' ELSE '' END, split_part(p_name, ' ', 1), '.',
+               CASE l_suppkey % 3 WHEN 0 THEN 'utils' ELSE split_part(p_name, ' ', 2) END) AS module
+    FROM lineitem JOIN part ON l_partkey = p_partkey"""
+_OWN_CHANGES = """SELECT l_orderkey AS commit_sha, concat('src/', split_part(p_name, ' ', 1), '/',
+        CASE l_linenumber % 3 WHEN 0 THEN 'utils' ELSE split_part(p_name, ' ', 2) END, '.py') AS path
+    FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+@query("direct_import_by_commit", "C17", f"""
+    WITH i AS (SELECT DISTINCT * FROM ({_OWN_IMPORTS}) x), f AS (SELECT DISTINCT * FROM ({_OWN_CHANGES}) y),
+    g AS (SELECT commit_sha, path, regexp_extract(path, '([^/]*)\\.py$', 1) AS stem,
+          replace(regexp_replace(path, '\\.py$', ''), '/', '.') AS dotted FROM f)
+    SELECT DISTINCT i.commit_sha, test, path FROM i JOIN g ON i.commit_sha = g.commit_sha AND (
+        list_contains(string_split(module, '.'), stem) OR ends_with(module, dotted) OR ends_with(dotted, module))""")
+def _(t: Tables):
+    return joins.direct_import(
+        t.select(_OWN_IMPORTS, "lineitem", "part"), t.select(_OWN_CHANGES, "lineitem", "part"),
+        "test", "module", "path", ["commit_sha"])
+
+
 @query("union_corpora", "H1", """
     SELECT repo, count(*) AS n, count(DISTINCT grp) AS groups_, count(tax) AS with_tax FROM (
       SELECT 'a' AS repo, concat('a::', CAST(l_orderkey AS STRING)) AS grp, NULL AS tax FROM lineitem

@@ -84,9 +84,11 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
-    Reliable (replicated) storage, so losing an executor costs nothing but a re-read.
+    Lineage ends at the table: losing an executor costs nothing but a re-read, and later steps
+    prune columns. The table is removed when the program ends.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
