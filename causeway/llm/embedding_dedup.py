@@ -7,13 +7,16 @@ the search radius. As the bound holds for every vector, the recall of the defaul
 ``reach`` below 1 stops sooner. Candidates are verified by cosine in double precision.
 
 Codebooks come from a bounded sample, the index holds every vector. Identical vectors are one node
-with a count. Cells are split into blocks by hash so that no task gets a whole hot cell; blocks meet
-by an equi-join on the cell and are verified as matrix products. Links are counted, never written
-out: a block pair gives one count per query and a spanning forest of its links.
+with a count. The vectors of a cell are dealt by hash into blocks of bounded size. A block walks the
+grid for all its vectors and names the cells they visit, nothing else; cells that hold nothing drop
+out in a join with the occupied ones. Block pairs are keys at first; vectors are fetched per pair and
+verified as one matrix product that serves both directions. Links are counted, never written out: a
+block pair gives one count per vector and a spanning forest of its links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +31,15 @@ from .components import components, forest
 
 @dataclass(frozen=True)
 class Index:
-    """``codes`` per half, fitted on at most ``sample`` vectors; ``block`` vectors meet at a time."""
+    """``block`` vectors of up to 64 components meet at a time, fewer of longer ones. Codebooks are
+    fitted on at most ``sample`` vectors and grow with the table, up to ``codes`` per half, so that
+    cells hold about a block."""
 
     cosine: float = 0.98
-    codes: int = 32
+    codes: int = 256
     sample: int = 20_000
     rounds: int = 12
-    block: int = 512
+    block: int = 2048
     reach: float = 1.0
 
 
@@ -48,10 +53,10 @@ def _squares(points: np.ndarray, codes: np.ndarray) -> np.ndarray:
                       - 2 * points @ codes.T, 0)
 
 
-def fit_codes(points: np.ndarray, index: Index) -> np.ndarray:
+def fit_codes(points: np.ndarray, count: int, index: Index) -> np.ndarray:
     """Codebook of one half by Lloyd rounds, started from evenly spaced sample rows."""
     points = np.unique(points, axis=0)
-    count = min(index.codes, len(points))
+    count = min(count, len(points))
     codes = points[np.linspace(0, len(points) - 1, count).astype(int)].copy()
     for _ in range(index.rounds):
         near = _squares(points, codes).argmin(1)
@@ -61,20 +66,21 @@ def fit_codes(points: np.ndarray, index: Index) -> np.ndarray:
     return codes
 
 
-def bounds(points: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest code, and squared lower bounds on the distance to any point nearest to each code.
+def bounds(points: np.ndarray, codes: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Squared lower bounds on the distance to any point nearest to each code.
 
-    A point nearest to code c lies beyond the plane halfway between c and any other code; the
-    farthest of these planes is the bound.
+    A point nearest to code c lies beyond the plane halfway between c and any other code, and within
+    c's radius (the largest distance of an indexed point to it) of c; the farthest of these planes,
+    or the distance to that ball, is the bound.
     """
     far = _squares(points, codes)
     gap = np.sqrt(_squares(codes, codes))
     np.fill_diagonal(gap, np.inf)
     gap[gap == 0] = np.inf
-    best = np.zeros_like(far)
+    best = np.maximum(np.sqrt(far) - radii - 1e-7, 0)
     for other in range(len(codes)):
         np.maximum(best, (far - far[:, other: other + 1]) / (2 * gap[:, other][None, :]), out=best)
-    return far.argmin(1), best ** 2
+    return best ** 2
 
 
 def traverse(first: np.ndarray, second: np.ndarray, limit: float) -> tuple[np.ndarray, ...]:
@@ -111,75 +117,138 @@ def _one_cell(dim: int) -> list[np.ndarray]:
     return [np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))]
 
 
-def _cells(nodes: DataFrame, books: dict, index: Index, home: bool) -> DataFrame:
-    """(label, dim, i, j, node, weight, vector): the home cell, or every visited cell."""
+def _halves(vectors: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    unit = units(vectors)
+    return unit[:, : dim // 2], unit[:, dim // 2:]
+
+
+def _homes(nodes: DataFrame, books: dict) -> DataFrame:
+    """The nodes with their home cell (i, j) and the distances of the halves to its codes."""
     shared = nodes.sparkSession.sparkContext.broadcast(books)  # codes x dimensions per dimension
-    radius = 2 - 2 * index.cosine + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            if not part.num_rows:
-                continue
             dims = part.column(1).to_numpy()
             for dim in np.unique(dims).tolist():
-                rows = pa.Table.from_batches([part]).filter(pa.array(dims == dim)).combine_chunks()
-                unit = units(_matrix(rows["vector"].combine_chunks(), dim))
-                codes = shared.value.get(dim) or _one_cell(dim)
-                halves = [bounds(u, c) for u, c in zip((unit[:, : dim // 2], unit[:, dim // 2:]), codes)]
-                if home:
-                    query, left, right = np.arange(len(unit)), halves[0][0], halves[1][0]
-                else:
-                    query, left, right = traverse(
-                        halves[0][1], halves[1][1], radius * index.reach)
-                rows = rows.take(pa.array(query))
-                for batch in rows.add_column(2, "i", pa.array(left)).add_column(
-                        3, "j", pa.array(right)).combine_chunks().to_batches():
-                    yield batch
+                rows = pa.Table.from_batches([part]).filter(pa.array(dims == dim))
+                found = []
+                for half, codes in zip(_halves(_matrix(rows["vector"].combine_chunks(), dim), dim),
+                                       shared.value.get(dim) or _one_cell(dim)):
+                    far = _squares(half, codes)
+                    near = far.argmin(1)
+                    found.append((near, np.sqrt(far[np.arange(len(near)), near])))
+                for name, values in zip(("i", "j", "d1", "d2"),
+                                        (found[0][0], found[1][0], found[0][1], found[1][1])):
+                    rows = rows.append_column(name, pa.array(values))
+                yield from rows.combine_chunks().to_batches()
 
     kind = nodes.schema["vector"].dataType.simpleString()
     label = nodes.schema["label"].dataType.simpleString()
     return nodes.select("label", "dim", "node", "weight", "vector").mapInArrow(
-        run, f"label {label}, dim long, i long, j long, node binary, weight long, vector {kind}")
+        run, f"label {label}, dim long, node binary, weight long, vector {kind}, i long, j long, "
+             "d1 double, d2 double")
+
+
+def _radii(homes: DataFrame, books: dict) -> dict:
+    """Per dimension and half the largest distance of any vector to each code."""
+    radii = {dim: [np.zeros(len(c)) for c in codes] for dim, codes in books.items()}
+    both = homes.select("dim", F.explode(F.array(
+        F.struct(F.lit(0).alias("half"), F.col("i").alias("code"), F.col("d1").alias("d")),
+        F.struct(F.lit(1).alias("half"), F.col("j").alias("code"), F.col("d2").alias("d")))).alias("c"))
+    known = both.filter(F.col("dim").isin(list(books)))  # lengths of the sample: a bounded table
+    for r in known.groupBy("dim", "c.half", "c.code").agg(F.max("c.d").alias("d")).collect():
+        radii[r.dim][r.half][r.code] = r.d
+    return radii
 
 
 _CELL = ("label", "dim", "i", "j")
 
 
-def _blocks(cells: DataFrame, index: Index, name: str) -> DataFrame:
-    """Rows of a cell in lists of about ``block``, split by hash."""
-    sizes = cells.groupBy(*_CELL).agg(F.count("*").alias("size"))
-    split = cells.join(sizes, list(_CELL)).withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / index.block)))
+def _blocks(homes: DataFrame, index: Index) -> DataFrame:
+    """(label, dim, i, j, part, members): the vectors of every cell in lists of about ``block``."""
+    sizes = homes.groupBy(*_CELL).agg(F.count("*").alias("size"))
+    split = homes.join(sizes, list(_CELL)).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.ceil(
+            F.col("size") * F.greatest(F.col("dim") / 64, F.lit(1.0)) / index.block)))
     return split.groupBy(*_CELL, "part").agg(
-        F.collect_list(F.struct("node", "weight", "vector")).alias(name)).drop("part")
+        F.collect_list(F.struct("node", "weight", "vector")).alias("members"))
+
+
+def _visits(blocks: DataFrame, books: dict, radii: dict, index: Index) -> DataFrame:
+    """(label, dim, i, j, part, i2, j2): the cells that any vector of a block visits, keys only.
+
+    A pair of cells is named by its smaller one, since being near is mutual.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast((books, radii))
+    limit = (2 - 2 * index.cosine + 1e-9) * index.reach
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, radii = shared.value
+        for part in batches:
+            for r in range(part.num_rows):
+                dim, i, j = (part.column(c)[r].as_py() for c in (1, 2, 3))
+                codes = books.get(dim)
+                if codes is None:
+                    cells = np.zeros((1, 2), np.int64)
+                else:
+                    vectors = _matrix(part.column(5)[r].values.field("vector"), dim)
+                    near = [bounds(h, c, d) for h, c, d in zip(_halves(vectors, dim), codes, radii[dim])]
+                    _, left, right = traverse(*near, limit)
+                    seen = np.unique(left * len(codes[1]) + right)
+                    seen = seen[seen >= i * len(codes[1]) + j]
+                    cells = np.stack(np.divmod(seen, len(codes[1])), 1)
+                one = pa.Table.from_batches([part.slice(r, 1)]).select([0, 1, 2, 3, 4])
+                rows = one.take(pa.array(np.zeros(len(cells), np.int64)))
+                yield from rows.append_column("i2", pa.array(cells[:, 0])).append_column(
+                    "j2", pa.array(cells[:, 1])).combine_chunks().to_batches()
+
+    label = blocks.schema["label"].dataType.simpleString()
+    return blocks.select(*_CELL, "part", "members").mapInArrow(
+        run, f"label {label}, dim long, i long, j long, part long, i2 long, j2 long")
+
+
+def _pairs(visits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(dim, same, first, second): the members of every two blocks that have to meet."""
+    held = blocks.select("label", "dim", F.col("i").alias("i2"), F.col("j").alias("j2"),
+                         F.col("part").alias("part2"))
+    own = (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
+    keys = visits.join(held, ["label", "dim", "i2", "j2"]).filter(
+        ~own | (F.col("part") <= F.col("part2")))
+    second = blocks.select("label", "dim", F.col("i").alias("i2"), F.col("j").alias("j2"),
+                           F.col("part").alias("part2"), F.col("members").alias("second"))
+    first = blocks.withColumnRenamed("members", "first")
+    return keys.join(second, ["label", "dim", "i2", "j2", "part2"]).join(
+        first, [*_CELL, "part"]).select(
+        "dim", (own & (F.col("part") == F.col("part2"))).alias("same"), "first", "second")
 
 
 def _verified(pairs: DataFrame, index: Index) -> DataFrame:
-    """(node, links, other): links counted for queries, and the links of a spanning forest."""
+    """(node, links, other): links counted for both blocks, and the links of a spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for r in range(part.num_rows):
-                dim = part.column(0)[r].as_py()
-                query, home = (part.column(c)[r].values for c in (1, 2))
-                left, right = (units(_matrix(x.field("vector"), dim)) for x in (query, home))
-                names = [np.array(x.field("node").to_pylist(), object) for x in (query, home)]
+                dim, same = part.column(0)[r].as_py(), part.column(1)[r].as_py()
+                sides = [part.column(c)[r].values for c in (2, 3)]
+                left, right = (units(_matrix(x.field("vector"), dim)) for x in sides)
                 near = left @ right.T >= index.cosine
-                near &= names[0][:, None] != names[1][None, :]
-                count = near @ home.field("weight").to_numpy()
-                node = np.concatenate(names)
-                links = np.concatenate([count, np.zeros(len(right), np.int64)])
+                if same:
+                    np.fill_diagonal(near, False)
+                if not near.any():
+                    continue
+                node = np.concatenate([np.array(x.field("node").to_pylist(), object) for x in sides])
+                weight = [x.field("weight").to_numpy() for x in sides]
+                links = np.concatenate([near @ weight[1], weight[0] @ near * (not same)])
                 linked, root = forest(near)
                 other = np.full(len(node), None, object)
-                other[linked] = names[0][root]
+                other[linked] = node[root]
                 keep = links > 0
                 keep[linked] = True
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[keep], pa.binary()), pa.array(links[keep], pa.int64()),
                      pa.array(other[keep], pa.binary())], names=["node", "links", "other"])
 
-    return pairs.select("dim", "queries", "homes").mapInArrow(
-        run, "node binary, links long, other binary")
+    return pairs.mapInArrow(run, "node binary, links long, other binary")
 
 
 def near_embeddings(table: DataFrame, key: str = "vec_id", vector: str = "embedding",
@@ -207,14 +276,17 @@ def near_embeddings(table: DataFrame, key: str = "vec_id", vector: str = "embedd
         "dim", F.size("vector").cast("long")))
     # Node ids are hashes, so the smallest are a sample; its size is a parameter.
     sample = nodes.orderBy("node").limit(index.sample).select("dim", "vector").toPandas()
+    largest = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    count = min(index.codes, max(1, math.ceil(math.sqrt(largest / index.block))))
     books = {}
     for dim, some in sample.groupby("dim")["vector"]:  # other lengths have one cell
-        unit = units(np.array(some.tolist()))
-        books[dim] = [fit_codes(unit[:, : dim // 2], index) if dim > 1 else np.zeros((1, 0)),
-                      fit_codes(unit[:, dim // 2:], index)]
-    homes = _blocks(_cells(nodes, books, index, home=True), index, "homes")
-    queries = _blocks(_cells(nodes, books, index, home=False), index, "queries")
-    found = store(_verified(queries.join(homes, list(_CELL)), index))
+        first, second = _halves(np.array(some.tolist()), dim)
+        books[dim] = [fit_codes(first, count, index) if dim > 1 else np.zeros((1, 0)),
+                      fit_codes(second, count, index)]
+    homes = store(_homes(nodes, books))
+    blocks = store(_blocks(homes, index))
+    visits = store(_visits(blocks, books, _radii(homes, books), index))
+    found = store(_verified(_pairs(visits, blocks), index))
     counts = found.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.filter("other IS NOT NULL").select(
         F.col("node").alias("a"), F.col("other").alias("b")))

@@ -185,7 +185,10 @@ def test_embedding_dedup_matches_all_pairs(spark, block):
 def test_bounds_never_exceed_distances():
     rng = np.random.default_rng(3)
     points, codes = rng.normal(size=(200, 6)), rng.normal(size=(9, 6))
-    near, least = embedding_dedup.bounds(points, codes)
+    to_code = ((points[:, None] - codes[None]) ** 2).sum(2)
+    near = to_code.argmin(1)
+    radii = np.array([np.sqrt(to_code[near == c, c]).max(initial=0) for c in range(len(codes))])
+    least = embedding_dedup.bounds(points, codes, radii)
     far = ((points[:, None] - points[None]) ** 2).sum(2)
     assert (least[:, near] <= far + 1e-9).all()
 

@@ -9,6 +9,7 @@ import random
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from causeway.llm import embedding_dedup, line_dedup, secret_scan, toxicity
 
@@ -111,10 +112,40 @@ def test_pipeline_keeps_one_row_of_a_group_that_shares_its_id(spark):
     assert groups == [("2", ""), ("7", "no"), ("7", "w0"), ("None", "alone"), ("None", "v0")]
 
 
-@pytest.mark.parametrize("home", [True, False])
-def test_vector_lengths_without_a_codebook_have_one_cell(spark, home):
+@pytest.mark.parametrize("step", ["homes", "visits"])
+def test_vector_lengths_without_a_codebook_have_one_cell(spark, step):
     nodes = spark.createDataFrame(
         [(0, len(v), bytes([i]), 1, v) for i, v in enumerate([[1.0], [2.0, 1.0], [3.0, 1.0, 2.0], [1.0, 0.0, 0.0]])],
         "label int, dim long, node binary, weight long, vector array<float>")
-    found = embedding_dedup._cells(nodes, {}, embedding_dedup.Index(), home).collect()
+    found = embedding_dedup._homes(nodes, {})
+    if step == "visits":
+        index = embedding_dedup.Index()
+        found = embedding_dedup._visits(embedding_dedup._blocks(found, index), {}, {}, index).withColumns(
+            {"i": F.col("i2"), "j": F.col("j2")})
+    found = found.collect()
+    if step == "visits":  # one block of each length
+        assert sorted((r.dim, r.i, r.j) for r in found) == [(1, 0, 0), (2, 0, 0), (3, 0, 0)]
+        return
     assert sorted((r.dim, r.i, r.j) for r in found) == [(1, 0, 0), (2, 0, 0), (3, 0, 0), (3, 0, 0)]
+
+
+def test_a_hot_cell_meets_in_blocks_and_extra_columns_may_clash(spark):
+    """A third of the vectors in one cell: pairs of its parts, each pair once, keys only."""
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=16)
+    near = [middle + rng.normal(size=16) * 0.02 for _ in range(60)]
+    rows = [(i, [float(x) for x in v], 0, 1, "x") for i, v in enumerate(near + list(rng.normal(size=(120, 16))))]
+    table = spark.createDataFrame(
+        rows, "vec_id long, embedding array<float>, label int, weight int, node string")
+    index = embedding_dedup.Index(block=16)
+    found = {r.vec_id: r for r in embedding_dedup.near_embeddings(table, index=index).collect()}
+    unit = [np.float32(v) / np.linalg.norm(np.float32(v).astype(float)) for _, v, *_ in rows]
+    for i in range(60):
+        assert found[i].n_links == sum(float(unit[i] @ unit[j]) >= 0.98 for j in range(180) if j != i)
+    nodes = spark.createDataFrame(
+        [(0, 16, i.to_bytes(2, "big"), 1, v) for i, v, *_ in rows[:60]],
+        "label int, dim long, node binary, weight long, vector array<float>")
+    blocks = embedding_dedup._blocks(embedding_dedup._homes(nodes, {}), index)
+    parts = blocks.count()
+    pairs = embedding_dedup._pairs(embedding_dedup._visits(blocks, {}, {}, index), blocks)
+    assert parts > 2 and pairs.count() == parts * (parts + 1) // 2
