@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import conformal, metrics, models, selection
+from ..operators import artifacts, conformal, metrics, models, selection
 from ..operators.models import ModelConfig
-from ..session import materialise
-from .catalog import Tables, query, r
+from ..session import materialise, scratch_folder
+from .catalog import Tables, query, r, sql
 
 # A label that depends on two of the features, so that a model has something to find.
 _ROWS = """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_suppkey % 3 AS repo,
@@ -34,7 +34,23 @@ def _sides(t: Tables):
     return [rows.filter(F.col("split") == s) for s in ("train", "val", "test")]
 
 
-@query("fit_preprocessor", "K1")
+_SCALED = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, (coalesce({c}, md) - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS v
+        FROM x, (SELECT md, avg(coalesce({c}, md)) AS mu, stddev_pop(coalesce({c}, md)) AS sd FROM x,
+                 (SELECT quantile_cont({c}, 0.5) AS md FROM x WHERE l_suppkey % 10 < 7) m
+                 WHERE l_suppkey % 10 < 7 GROUP BY md) f""" for c in _FEATURES)
+
+
+@query("fit_preprocessor", "K1", f"""
+    WITH x AS ({_ROWS}),
+    n AS (SELECT flag, count(*) AS n FROM x WHERE l_suppkey % 10 < 7 GROUP BY flag),
+    k AS (SELECT flag, CASE WHEN n >= 0.01 * (SELECT sum(n) FROM n) THEN flag ELSE 'infrequent' END AS name FROM n),
+    levels AS (SELECT DISTINCT name FROM k),
+    hot AS (SELECT concat('flag_', l.name) AS feature, CAST(l.name IS NOT DISTINCT FROM k.name AS INT) AS v
+            FROM x LEFT JOIN k USING (flag), levels l),
+    v AS ({_SCALED} UNION ALL SELECT feature, v FROM hot)
+    SELECT feature, {r('avg(v)')} AS mean, {r('stddev_samp(v)')} AS std, {r('min(v)')} AS min, {r('max(v)')} AS max
+    FROM v GROUP BY feature""")
 def _(t: Tables):
     raw = t.select(_ROWS, "lineitem")
     fitted = models.fit_preprocessor(raw.filter("l_suppkey % 10 < 7"), _FEATURES, ["flag"])
@@ -77,13 +93,17 @@ def _(t: Tables):
     return models.ensemble_diagnostics(predictions, _ID)
 
 
+def _labelled(t: Tables):
+    return t.scored.withColumn("y", F.when(
+        (F.col("test_id") * 7 + F.col("l_orderkey") * 13) % 100 < F.col("p") * 60, 1).otherwise(0))
+
+
 def _calibrate(fit):
     def build(t: Tables):
-        rows = t.scored.withColumn("y", F.when(
-            (F.col("test_id") * 7 + F.col("l_orderkey") * 13) % 100 < F.col("p") * 60, 1).otherwise(0))
+        rows = _labelled(t)
         half = F.col("l_orderkey") % 2
         fitted = fit(rows.filter(half == 0), "y", "p")
-        held = rows.filter(half == 1).withColumn("q", fitted.apply(F.col("p")))
+        held = fitted.transform(rows.filter(half == 1), "p", "q")
         return metrics.one_row(
             metrics.calibration_error(held, "y", "p", 15).select(F.col("ece").alias("ece_before")),
             metrics.calibration_error(held, "y", "q", 15).select(F.col("ece").alias("ece_after")),
@@ -93,7 +113,30 @@ def _calibrate(fit):
 
 
 query("fit_platt", "K4")(_calibrate(models.fit_platt))
-query("fit_isotonic", "K5")(_calibrate(models.fit_isotonic))
+
+
+@query("fit_isotonic", "K5", sql(f"""
+    WITH x AS (SELECT l_orderkey, p, CASE WHEN (test_id * 7 + l_orderkey * 13) % 100 < p * 60 THEN 1 ELSE 0 END AS y
+               FROM scored),
+    u AS (SELECT p, count(*) AS w, sum(y) AS s FROM x WHERE l_orderkey % 2 = 0 GROUP BY p),
+    c AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(w) OVER (ORDER BY p) AS cw,
+                 sum(s) OVER (ORDER BY p) AS cs, w, s FROM u),
+    spans AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / CAST(b.cw - a.cw + a.w AS DOUBLE) AS mean
+              FROM c a JOIN c b ON a.i <= b.i),
+    ends AS (SELECT t.i, s.b, max(s.mean) AS top FROM c t JOIN spans s ON s.a <= t.i AND s.b >= t.i GROUP BY 1, 2),
+    fit AS (SELECT c.p, least(greatest(min(top), 0), 1) AS q FROM ends JOIN c USING (i) GROUP BY c.p)
+    SELECT {r('p')} AS p, {r('q')} AS q, count(*) AS n FROM x JOIN fit USING (p) WHERE l_orderkey % 2 = 1 GROUP BY ALL""",
+    "scored"))
+def _(t: Tables):
+    """The largest mean of stretches that begin at or before a score, made smallest over their ends."""
+    rows = _labelled(t)
+    half = F.col("l_orderkey") % 2
+    fitted = models.fit_isotonic(rows.filter(half == 0), "y", "p")
+    held = rows.filter(half == 1).join(rows.filter(half == 0).select("p").distinct(), "p", "left_semi")
+    return fitted.transform(held, "p", "q").groupBy("p", "q").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("isotonic_report", "K5")(_calibrate(models.fit_isotonic))
 query("fit_temperature", "K6")(_calibrate(models.fit_temperature))
 
 
@@ -148,28 +191,29 @@ def _(t: Tables):
     return models.reduce_embeddings(rows, "vec_id", "embedding", 4)
 
 
-def _artifacts(t: Tables):
+def _bundle(t: Tables):
+    """Fit on six tenths of the suppliers, calibrate on one, save, and load as a scoring job would."""
     raw = t.select(_ROWS, "lineitem")
-    train = raw.filter("l_suppkey % 10 < 6")
+    train, held = raw.filter("l_suppkey % 10 < 6"), raw.filter("l_suppkey % 10 = 6")
     prep = models.fit_preprocessor(train, _FEATURES, ["flag"])
-    model = models.fit_risk_model(prep.transform(train, ["label"]), None, prep.names, "label",
-                                  ModelConfig(trees=3, depth=3))
-    held = materialise(model.score(prep.transform(raw.filter("l_suppkey % 10 = 6"), ["label"])).select(
-        "label", "raw_score"))
-    platt = models.fit_platt(held, "label", "raw_score")
-    rule = conformal.conformal_threshold(
-        held.withColumn("p", platt.apply(F.col("raw_score"))), "label", "p")
+    members = models.fit_ensemble(prep.transform(train, ["label"]), None, prep.names, "label", [1, 2],
+                                  ModelConfig(trees=5, depth=3))
+    draft = artifacts.Bundle(prep, members, models.PlattCalibrator(1.0, 0.0), held)
+    raw_scores = materialise(draft.predict(held, ["label"]).select("label", "raw_score"))
+    platt = models.fit_platt(raw_scores, "label", "raw_score")
+    rule = conformal.conformal_threshold(platt.transform(raw_scores, "raw_score", "p"), "label", "p")
+    folder = scratch_folder(t.spark)
+    artifacts.save(artifacts.Bundle(prep, members, platt, rule), folder)
     requests = raw.filter("l_suppkey % 10 > 6").select(
         F.col("l_suppkey").alias("request"),
         F.concat_ws("-", *[F.col(c).cast("string") for c in _ID]).alias("item"), *_FEATURES, "flag")
-    return requests, models.Artifacts(prep, model, platt, rule)
+    return requests, artifacts.load(t.spark, folder)
 
 
-@query("score_requests", "K13")
+@query("score_requests", "K13 K3 J5")
 def _(t: Tables):
-    requests, artifacts = _artifacts(t)
-    _items, decisions = models.score_requests(
-        requests, artifacts, "request", "item", [*_FEATURES, "flag"], 5, 550)
+    requests, bundle = _bundle(t)
+    _items, decisions = artifacts.score_requests(requests, bundle, "request", "item", 5, 550)
     return decisions
 
 
