@@ -4,9 +4,9 @@ A line's path in the tree is its token count and then its leading tokens, where
 digit counts as a variable field. A leaf is a template: the leading tokens stay fixed, the fields
 and the tokens behind the tree's depth vary. A line of more than twice the depth is its own leaf by
 all its tokens, so at least half of a template's tokens are always fixed. Templates that recur in
-``min_docs`` documents are dropped everywhere but in the first of them. With ``exact_docs`` every
-line is a leaf of its own bytes as well, however short or variable, and exactly equal lines are
-dropped from that many documents on.
+``min_docs`` documents are dropped everywhere but in the first of them. Every line is a leaf of its
+own bytes as well, however short or variable, and exactly equal lines are dropped from
+``exact_docs`` documents on.
 
 Leaves are counted by a map-side combined aggregate over 64-bit path hashes; a template shared by a
 third of all lines is one row per task there, and the join that brings the decision back is an
@@ -29,12 +29,12 @@ from .common import ROW, Words, mix, prepare, span_hashes, store, unsigned, with
 @dataclass(frozen=True)
 class Tree:
     """``min_tokens`` and ``min_docs`` hold for templates, of whose tokens half must be fixed;
-    ``exact_docs`` for exactly equal lines of any words, which without it are left alone."""
+    ``exact_docs`` for exactly equal lines of any words; None leaves those to the templates."""
 
     depth: int = 8
     min_tokens: int = 5
     min_docs: int = 5
-    exact_docs: int | None = None
+    exact_docs: int | None = 2
 
 
 _WILD = np.uint64(0x5851F42D4C957F2D)

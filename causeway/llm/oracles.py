@@ -41,33 +41,6 @@ SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
 FROM docs LEFT JOIN lists USING (doc_id)
 """
 TEXTS["op7_line_dedup"] = rf"""
-WITH split_lines AS (
-    SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
-tokens AS (
-    SELECT doc_id, pos, line, [CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END
-                              FOR w IN regexp_extract_all(line, {_WORD})] AS t
-    FROM split_lines),
-paths AS (
-    SELECT doc_id, pos, line, len(t) AS n, CASE WHEN len(t) > 16 THEN t ELSE t[1:8] END AS path
-    FROM tokens),
-usable AS (
-    SELECT *, n >= 5 AND 2 * len([w FOR w IN path IF w <> '<*>']) >= n AS ok FROM paths),
-recurring AS (
-    SELECT n, path, min(doc_id) AS first FROM usable WHERE ok
-    GROUP BY n, path HAVING count(DISTINCT doc_id) >= 5),
-judged AS (
-    SELECT u.doc_id, u.pos, u.line, r.first IS NOT NULL AND r.first <> u.doc_id AS gone
-    FROM usable u LEFT JOIN recurring r ON u.ok AND u.n = r.n AND u.path = r.path),
-left_over AS (
-    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-           coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
-    FROM judged GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
-       CASE WHEN d.text IS NULL THEN NULL ELSE l.text END AS text
-FROM documents d LEFT JOIN left_over l USING (doc_id)
-"""
-TEXTS["op7_line_dedup_exact"] = rf"""
 WITH split_lines AS (
     SELECT doc_id, generate_subscripts(lines, 1) AS pos, unnest(lines) AS line
     FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),

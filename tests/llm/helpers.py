@@ -97,7 +97,7 @@ def quality(text):
     return len(w), chars, symbols, dup, len(inside), base, not base and not failed
 
 
-def line_dedup(rows, depth, min_tokens, min_docs):
+def line_dedup(rows, depth, min_tokens, min_docs, exact_docs=2):
     def leaf(line):
         t = ["<*>" if re.search("[0-9]", w) else w for w in words(line)]
         path = tuple(t) if len(t) > 2 * depth else tuple(t[:depth])
@@ -109,9 +109,14 @@ def line_dedup(rows, depth, min_tokens, min_docs):
         for found in {leaf(s) for s in (text or "").split("\n")} - {None}:
             docs[found].append(i)
     first = {f: min(rows[i][0] for i in d) for f, d in docs.items() if len(d) >= min_docs}
+    held = defaultdict(list)
+    for i, (_, text) in enumerate(rows):
+        for line in {s for s in (text or "").split("\n") if words(s)}:
+            held[line].append(i)
+    equal = {s: min(rows[i][0] for i in d) for s, d in held.items() if len(d) >= exact_docs}
     out = []
     for key, text in rows:
         lines = [] if text is None else text.split("\n")
-        kept = [s for s in lines if leaf(s) not in first or first[leaf(s)] == key]
+        kept = [s for s in lines if first.get(leaf(s), key) == key and equal.get(s, key) == key]
         out.append((key, len(lines), len(lines) - len(kept), None if text is None else "\n".join(kept)))
     return out
