@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import binary_entropy, ratio
 from . import ordering
@@ -533,16 +537,50 @@ def collection_quality(
         "total_checkpointed", F.col("commits_collected") + F.col("__known")).drop("__known")
 
 
-def sample_digest(df: DataFrame, by: Sequence[str], item: str, max_ids: int = 1_000_000) -> DataFrame:
-    """Fingerprint of a drawn sample: hash of its sorted ids.
+def sample_digest(df: DataFrame, by: Sequence[str], item: str) -> DataFrame:
+    """Fingerprint of a drawn sample: hash of its sorted ids, joined by line feeds.
 
-    A sample is bounded by construction; a group beyond ``max_ids`` is refused, not cut.
+    Groups are hash-partitioned and sorted by Spark, which spills; the hash is carried over the
+    sorted Arrow batches, so a group of any size needs constant memory in its task. Null ids are
+    left out, a group of nothing else has the digest of an empty text.
     """
-    joined = F.array_join(F.array_sort(F.collect_list(F.col(item).cast("string"))), "\n")
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    if not sizes.filter(F.col("n") > max_ids).isEmpty():
-        raise ValueError(f"a sample holds more than {max_ids} ids; digest samples, not tables")
-    return df.groupBy(*by).agg(F.substring(F.sha2(joined, 256), 1, 16).alias("digest"))
+    keys = list(by)
+    arranged = df.select(*keys, F.col(item).cast("string").alias("__id")).repartition(
+        *keys).sortWithinPartitions(*keys, "__id")
+    kinds = arranged.select(*keys).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, empty = None, None, True
+
+        def done() -> pa.RecordBatch:
+            columns = [pa.array([v], t) for v, t in zip(current, types)]
+            return pa.RecordBatch.from_arrays(
+                [*columns, pa.array([digest.hexdigest()[:16]])], names=[*keys, "digest"])
+
+        for batch in batches:
+            types = [c.type for c in batch.columns[:-1]]
+            ids = batch.column(len(keys))
+            change = np.zeros(len(batch), bool)
+            for c in batch.columns[:-1]:
+                codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                change[1:] |= codes[1:] != codes[:-1]
+            edges = [0, *np.flatnonzero(change).tolist(), len(batch)]
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                key = tuple(c[start].as_py() for c in batch.columns[:-1])
+                if key != current:
+                    if current is not None:
+                        yield done()
+                    current, digest, empty = key, hashlib.sha256(), True
+                some = ids.slice(start, end - start).drop_null().to_pylist()
+                if some:
+                    digest.update(("" if empty else "\n").encode() + "\n".join(some).encode())
+                    empty = False
+        if current is not None:
+            yield done()
+
+    return arranged.mapInArrow(run, T.StructType([*kinds.fields, T.StructField("digest", T.StringType())]))
 
 
 def rounded_stats(df: DataFrame, by: Sequence[str], value: str, digits: int = 3) -> DataFrame:

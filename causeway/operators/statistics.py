@@ -44,33 +44,51 @@ def cliffs_delta(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataF
         *by, F.round("delta", 4).alias("cliffs_delta"), magnitude.alias("magnitude"))
 
 
-def _signed_rank_p(statistic: float, n: int, ties: float) -> float:
-    if n <= 50 and ties == 0:
-        # Exact null distribution of the rank sum for a small untied sample.
-        ways = [1]
-        for rank in range(1, n + 1):
-            longer = ways + [0] * rank
-            for total, count in enumerate(ways):
-                longer[total + rank] += count
-            ways = longer
-        below = sum(ways[: int(statistic) + 1])
-        return min(1.0, 2.0 * below / 2.0 ** n)
+def exact_signed_rank_p(statistic: float, ranks: Sequence[tuple[float, int]]) -> float:
+    """Two-sided p of a rank sum under random signs, for any ranks (rank, how often), ties or not.
+
+    The null distribution is the convolution of the ranks' two-point distributions. Averaged ranks
+    are halves, so twice the ranks are whole and index an array of probabilities.
+    """
+    doubled = [(round(2 * rank), count) for rank, count in ranks]
+    total = sum(rank * count for rank, count in doubled)
+    mass = np.zeros(total + 1)
+    mass[0], reached = 1.0, 0
+    for rank, count in doubled:
+        for _ in range(count):
+            mass[rank: reached + rank + 1] += mass[: reached + 1].copy()
+            mass[: reached + rank + 1] *= 0.5
+            reached += rank
+    below = float(mass[: math.floor(2 * statistic + 1e-9) + 1].sum())
+    return min(1.0, 2.0 * below)
+
+
+def normal_signed_rank_p(statistic: float, n: int, ties: float) -> float:
+    """Tie-corrected normal approximation of the same p; its error falls with the root of n."""
     variance = n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0
+    if variance <= 0:
+        return 1.0
     z = (statistic - n * (n + 1) / 4.0) / math.sqrt(variance)
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def signed_rank_statistic(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Positive and negative rank sums with tie-averaged ranks, and the tie term."""
+def _signed_ranks(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    """One row per size of difference: its averaged rank, how often it is positive (p), negative
+    (q) and either (n)."""
     diffs = df.select(*by, (F.col(x) - F.col(y)).alias("d"))
-    sized = diffs.groupBy(*by).agg(F.count("d").alias("n_pairs"))
     counts = diffs.filter("d <> 0").groupBy(*by, F.abs("d").alias("m")).agg(
         F.count_if(F.col("d") > 0).alias("p"), F.count_if(F.col("d") < 0).alias("q"))
     placed = ordering.running(counts, by, [F.col("m")],
                               sums={"__below": F.col("p") + F.col("q")})
-    tied = (F.col("p") + F.col("q")).cast("double")
-    rank = F.col("__below") + (tied + 1) / 2
-    sums = placed.groupBy(*by).agg(
+    n = F.col("p") + F.col("q")
+    return placed.select(*by, "p", "q", n.alias("n"), (F.col("__below") + (n.cast("double") + 1) / 2).alias("rank"))
+
+
+def signed_rank_statistic(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Positive and negative rank sums with tie-averaged ranks, and the tie term."""
+    sized = df.groupBy(*by).agg(F.count(F.col(x) - F.col(y)).alias("n_pairs"))
+    tied, rank = F.col("n").cast("double"), F.col("rank")
+    sums = _signed_ranks(df, x, y, by).groupBy(*by).agg(
         F.sum(F.col("p") * rank).alias("w_plus"), F.sum(F.col("q") * rank).alias("w_minus"),
         F.sum(tied).cast("long").alias("n_nonzero"),
         F.sum(tied * tied * tied - tied).alias("ties"))
@@ -85,21 +103,37 @@ def signed_rank_statistic(df: DataFrame, x: str, y: str, by: Sequence[str] = ())
         F.coalesce("ties", F.lit(0.0)).alias("ties"))
 
 
-def wilcoxon_signed_rank(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+def wilcoxon_signed_rank(
+    df: DataFrame, x: str, y: str, by: Sequence[str] = (), method: str = "exact"
+) -> DataFrame:
     """Two-sided signed-rank test: fewer than five non-zero pairs give (0, 1, not significant).
 
-    Small untied samples use the exact distribution, others the normal approximation with
-    tie correction.
+    One rule for every size and for ties, chosen by ``method``: ``"exact"`` is the null distribution
+    itself, whose memory grows as the square of a group's pairs, ``"normal"`` the tie-corrected
+    approximation for groups of any size.
     """
-    @F.pandas_udf(T.DoubleType())
-    def p_values(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
-        return pd.Series([_signed_rank_p(*row) for row in zip(w, n.astype(int), ties)])
-
+    if method not in ("normal", "exact"):
+        raise ValueError(f"unknown method {method!r}")
     sums = signed_rank_statistic(df, x, y, by)
     w = F.least("w_plus", "w_minus")
     enough = F.col("n_nonzero") >= 5
-    tested = sums.withColumn("p_value", F.when(enough, p_values(
-        w, F.greatest("n_nonzero", F.lit(5)), F.col("ties"))).otherwise(F.lit(1.0)))
+    if method == "normal":
+        @F.pandas_udf(T.DoubleType())
+        def p_values(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+            return pd.Series([normal_signed_rank_p(*row) for row in zip(w, n.astype(int), ties)])
+
+        p = p_values(w, "n_nonzero", "ties")
+    else:
+        @F.pandas_udf(T.DoubleType())
+        def exact(w: pd.Series, ranks: pd.Series) -> pd.Series:
+            return pd.Series([exact_signed_rank_p(a, [] if r is None else [(c["rank"], c["n"]) for c in r])
+                              for a, r in zip(w, ranks)])
+
+        ranked = _signed_ranks(df, x, y, by).groupBy(*by).agg(
+            F.collect_list(F.struct("rank", "n")).alias("__ranks"))
+        sums = sums.join(ranked, list(by), "left") if by else metrics.one_row(sums, ranked)
+        p = exact(w, "__ranks")
+    tested = sums.withColumn("p_value", F.when(enough, p).otherwise(F.lit(1.0)))
     return tested.select(
         *by, "n_pairs", F.when(enough, F.round(w, 4)).otherwise(F.lit(0.0)).alias("w_statistic"),
         F.round("p_value", 5).alias("p_value"), (F.col("p_value") < 0.05).alias("significant"))
@@ -377,6 +411,7 @@ def bootstrap_ci(
 def significance_report(
     stats: DataFrame, reference: str, measures: Mapping[str, tuple[str, str]],
     commit: str = "commit_sha", strategy: str = "strategy", replicates: int = 1000, seed: int = 42,
+    method: str = "normal",
 ) -> DataFrame:
     """Paired comparison of every strategy with the reference on every measure.
 
@@ -398,7 +433,7 @@ def significance_report(
         F.count(F.lit(1)).alias("available"),
         F.count_if(F.col("ref").isNotNull() & F.col("other").isNotNull()).alias("used"))
     effect = cliffs_delta(usable, "ref", "other", keys)
-    test = wilcoxon_signed_rank(usable, "ref", "other", keys).drop("n_pairs")
+    test = wilcoxon_signed_rank(usable, "ref", "other", keys, method).drop("n_pairs")
     gaps = usable.withColumns({"__d": F.col("ref") - F.col("other"), "__one": F.lit(1)})
     folded, _n = resampled_sums(gaps, [commit], keys, ["__d", "__one"], replicates, seed)
     sampled = materialise(folded.select(*keys, "rep", ratio(F.col("__d"), F.col("__one")).alias("value")))

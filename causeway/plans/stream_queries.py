@@ -108,12 +108,49 @@ def _experiment(t: Tables):
     return drift.drift_experiment(lifted, "repo", "position", "error", [0.25, 1.0, 4.0], 100, 500)
 
 
-@query("drift_experiment", "M5 E28")
+# The streams of the experiment and the recurrence over all of them at once.
+_TRACED = """
+    WITH RECURSIVE e AS (SELECT repo, CAST(ts AS DATE) AS day, epoch_us(min(ts)) AS first_at,
+        avg(abs(label - p)) + repo * 0.1 AS error FROM scored GROUP BY 1, 2),
+    o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY first_at, day) AS pos FROM e),
+    nx AS (SELECT repo AS src, coalesce(lead(repo) OVER (ORDER BY repo), min(repo) OVER ()) AS dst
+           FROM (SELECT DISTINCT repo FROM o) q),
+    st AS (SELECT 'stationary' AS kind, repo AS src, 'source' AS segment, pos - 100 AS step, error FROM o
+               WHERE pos > 100 AND pos <= 600
+           UNION ALL SELECT 'shift', repo, 'source', pos - 100, error FROM o WHERE pos > 100 AND pos <= 600
+           UNION ALL SELECT 'shift', src, 'target', pos + 500, error FROM o JOIN nx ON o.repo = nx.dst WHERE pos <= 500),
+    x AS (SELECT *, row_number() OVER (PARTITION BY kind, src, threshold ORDER BY step, segment) AS n
+          FROM st, (SELECT unnest([0.25::DOUBLE, 1.0::DOUBLE, 4.0::DOUBLE]) AS threshold) g),
+    s AS (SELECT DISTINCT kind, src, threshold, CAST(0 AS BIGINT) AS n, 0::DOUBLE AS mean, 0::DOUBLE AS total,
+                 0::DOUBLE AS low, 0 AS samples, 0::DOUBLE AS stat, '' AS segment, CAST(0 AS BIGINT) AS step,
+                 0::DOUBLE AS error FROM x
+      UNION ALL SELECT kind, src, threshold, n, m, CASE WHEN stat > threshold THEN 0 ELSE t2 END,
+          CASE WHEN stat > threshold THEN 0 ELSE l2 END, CASE WHEN stat > threshold THEN 0 ELSE samples + 1 END, stat,
+          segment, step, error FROM (
+          SELECT *, t2 - l2 AS stat FROM (SELECT *, least(low, t2) AS l2 FROM (
+          SELECT *, total + (error - m - 0.005::DOUBLE) AS t2 FROM (
+          SELECT x.kind, x.src, x.threshold, x.n, x.segment, x.step, x.error, s.low, s.total, s.samples,
+              CASE WHEN s.samples = 0 THEN x.error ELSE 0.99::DOUBLE * s.mean + (1.0::DOUBLE - 0.99::DOUBLE) * x.error
+              END AS m
+          FROM s JOIN x ON x.kind = s.kind AND x.src = s.src AND x.threshold = s.threshold AND x.n = s.n + 1) a) b) c) d),
+    a AS (SELECT *, stat > threshold AS alarm FROM s WHERE n > 0)"""
+
+
+@query("drift_experiment", "M5 E28", sql(_TRACED + f"""
+    SELECT src AS repo, {r('threshold')} AS threshold, count(*) FILTER (segment = 'source') AS source_samples,
+           count(*) FILTER (segment = 'target') AS target_samples,
+           count(*) FILTER (alarm AND segment = 'source') AS false_alarms_before_shift,
+           min(step - 500) FILTER (alarm AND segment = 'target') AS latency,
+           CAST(count(*) FILTER (alarm AND segment = 'target') > 0 AS BIGINT) AS detected
+    FROM a WHERE kind = 'shift' GROUP BY src, threshold""", "scored"))
 def _(t: Tables):
     return _experiment(t)[1]
 
 
-@query("drift_stationary", "M5")
+@query("drift_stationary", "M5", sql(_TRACED + f"""
+    SELECT src AS repo, {r('threshold')} AS threshold, count(*) AS streamed, count(*) FILTER (alarm) AS false_alarms,
+           count(*) FILTER (alarm) AS adaptations, {r('avg(error)')} AS mean_error
+    FROM a WHERE kind = 'stationary' GROUP BY src, threshold""", "scored"))
 def _(t: Tables):
     return _experiment(t)[0]
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +81,22 @@ def test_global_rule_is_applied(spark):
     rule = conformal.conformal_threshold(df, "y", "p", guarantee="marginal")
     kept = conformal.apply_conformal(df, rule, "p").filter(F.col("selected")).count()
     assert kept == conformal.marginal_rank(99, 1 - 0.95)
+
+
+def test_ranks_are_stable_for_huge_samples():
+    """Against the binomial sum for small n, and its skew-corrected normal quantile for large n."""
+    from fractions import Fraction
+
+    for n in (30, 45, 46, 100, 333):
+        tail, best = Fraction(0), None
+        for k in range(n, 0, -1):
+            tail += math.comb(n, k) * Fraction(19, 20) ** k * Fraction(1, 20) ** (n - k)
+            if tail > Fraction(1, 10):
+                break
+            best = k
+        assert conformal.pac_rank(n, 0.05, 0.10) == best
+    z = 1.2815515655446004
+    for n in (10 ** 9, 10 ** 11, 10 ** 12, 10 ** 14):
+        near = 0.95 * n + 0.5 + z * math.sqrt(n * 0.95 * 0.05) - (z * z - 1) * 0.9 / 6
+        assert abs(conformal.pac_rank(n, 0.05, 0.10) - near) <= 1.5
+    assert conformal.pac_rank(10 ** 12, 0.05, 0.10) == 950_000_279_309

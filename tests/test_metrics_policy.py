@@ -124,3 +124,16 @@ def test_evidence_is_capped_and_empty_runs_are_errors(spark):
     out = {r.run: r for r in quality.assemble_evidence(df, "run", "name", "context", 70).collect()}
     assert out["r"].evidence == ("--- a ---\n" + "x" * 50 + "\n\n--- b ---\n" + "y" * 50)[:70]
     assert out["e"].evidence is None and out["e"].error
+
+
+def test_sample_digest_streams_over_any_group(spark):
+    import hashlib
+
+    digest = lambda ids: hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()[:16]
+    rows = [("a", f"x{i}") for i in range(50)] + [("b", "y"), ("b", "y"), (None, "z"), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, id string").repartition(5)
+    found = {r.g: r.digest for r in metrics.sample_digest(df, ["g"], "id").collect()}
+    assert found == {"a": digest([f"x{i}" for i in range(50)]), "b": digest(["y", "y"]), None: digest(["z"]),
+                     "c": digest([])}
+    large = spark.range(1_100_000).select(F.lit("all").alias("g"), F.col("id").cast("string").alias("id"))
+    assert metrics.sample_digest(large, ["g"], "id").first().digest == digest([str(i) for i in range(1_100_000)])

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import itertools
 import random
 
@@ -136,3 +137,29 @@ def test_resume_is_refused_for_orphans(spark):
     sample = spark.createDataFrame([(1,), (2,)], "id int")
     with pytest.raises(ValueError):
         joins.verify_resumable(done, sample, ["id"])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_exact_signed_rank_equals_enumeration_with_ties(spark, seed):
+    """All sign patterns of the averaged ranks, ties included; and no other rule above any size."""
+    rng = random.Random(seed)
+    data = [(float(rng.randrange(-4, 6)), 0.0) for _ in range(rng.randrange(6, 13))]
+    sizes = sorted(abs(x) for x, _ in data if x)
+    ranks = [sum(1 for s in sizes if s < abs(x)) + (sum(1 for s in sizes if s == abs(x)) + 1) / 2 for x, _ in data if x]
+    plus = sum(r for r, (x, _) in zip(ranks, [d for d in data if d[0]]) if x > 0)
+    w = min(plus, sum(ranks) - plus)
+    ways = [sum(r for r, up in zip(ranks, signs) if up) for signs in itertools.product((0, 1), repeat=len(ranks))]
+    want = min(1.0, 2 * sum(v <= w for v in ways) / len(ways)) if len(ranks) >= 5 else 1.0
+    df = spark.createDataFrame([(1, *d) for d in data] + [(2, *d) for d in data] + [(3, 1.0, 0.0)], "g int, x double, y double")
+    found = {r.g: r for r in statistics.wilcoxon_signed_rank(df, "x", "y", ["g"], "exact").collect()}
+    assert found[1].p_value == found[2].p_value == pytest.approx(want, abs=1e-5) and found[3].p_value == 1.0
+    near = statistics.wilcoxon_signed_rank(df, "x", "y", ["g"], "normal").filter("g = 1").first()
+    assert near.p_value == pytest.approx(want, abs=0.25)
+
+
+def test_exact_signed_rank_has_no_switch_at_fifty():
+    for n in (49, 50, 51, 120):
+        ranks = [(float(i), 1) for i in range(1, n + 1)]
+        w = n * (n + 1) / 4 - 2.0 * (n * (n + 1) * (2 * n + 1) / 24) ** 0.5
+        exact = statistics.exact_signed_rank_p(math.floor(w), ranks)
+        assert exact == pytest.approx(statistics.normal_signed_rank_p(math.floor(w), n, 0.0), rel=0.05)
