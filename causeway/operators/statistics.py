@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -332,25 +334,94 @@ def interval_table(
         "fr_vs_reference", F.coalesce("fr_vs_reference", F.lit("reference")))
 
 
+@dataclass(frozen=True)
+class Aggregate:
+    """An aggregate as sums that can carry a replicate's weight, and what they come to.
+
+    ``sums`` gets the ``columns``, each less its mean over all rows (so that squares keep their
+    digits), and gives what is added up per row; ``final`` gets those totals and the means.
+    """
+
+    columns: tuple[str, ...]
+    sums: Callable[[list[Column]], list[Column]]
+    final: Callable[[list[Column], list[Column]], Column]
+
+
+def _seen(x: Column) -> Column:
+    return x.isNotNull().cast("double")
+
+
+def mean_of(column: str) -> Aggregate:
+    return Aggregate((column,), lambda x: [_seen(x[0]), x[0]], lambda s, m: m[0] + ratio(s[1], s[0]))
+
+
+def spread_of(column: str) -> Aggregate:
+    """Sample standard deviation; NULL for fewer than two values."""
+    return Aggregate(
+        (column,), lambda x: [_seen(x[0]), x[0], x[0] * x[0]],
+        lambda s, m: F.when(s[0] > 1, F.sqrt(F.greatest(s[2] - s[1] * s[1] / s[0], F.lit(0.0)) / (s[0] - 1))))
+
+
+def ratio_of(numerator: Column, denominator: Column) -> Aggregate:
+    """Ratio of two totals; NULL where the denominator is not positive."""
+    return Aggregate((), lambda x: [numerator, denominator], lambda s, m: ratio(s[0], s[1]))
+
+
+def correlation_of(first: str, second: str) -> Aggregate:
+    """Pearson correlation of the rows that have both values."""
+    def both(x: list[Column]) -> list[Column]:
+        one = _seen(x[0]) * _seen(x[1])
+        a, b = (F.when(one > 0, v) for v in x)
+        return [one, a, b, a * a, b * b, a * b]
+
+    def final(s: list[Column], m: list[Column]) -> Column:
+        n, a, b, aa, bb, ab = s
+        return ratio(n * ab - a * b, F.sqrt((n * aa - a * a) * (n * bb - b * b)))
+
+    return Aggregate((first, second), both, final)
+
+
 def bootstrap(
-    df: DataFrame, unit: Sequence[str], statistics: Mapping[str, Column],
+    df: DataFrame, unit: Sequence[str], statistics: Mapping[str, Aggregate | Column],
     replicates: int = 2000, seed: int = 42, ci: float = 0.95,
 ) -> DataFrame:
     """Intervals of user aggregates over resampled clusters.
 
-    Each statistic is a Column aggregate; it is evaluated per replicate over the rows of the
-    drawn clusters, repeated by their multiplicity.  Rows are multiplied by the replicates, as any
-    aggregate needs; for sums and ratios of sums use ``resampled_sums``.
+    An ``Aggregate`` is split into sums: a replicate weighs each cluster's totals, and no row is
+    multiplied. Any other aggregate, a plain Column such as a median, can't be weighed; it is
+    evaluated per replicate over the rows of the drawn clusters, repeated by their multiplicity.
     """
-    units, n = unit_index(df, unit)
-    drawn = _every_draw(df, n, replicates, seed).join(units, "__unit")
-    folded = df.join(drawn, list(unit)).groupBy("rep").agg(
-        *[c.cast("double").alias(s) for s, c in statistics.items()])
-    long = materialise(folded.unpivot(["rep"], list(statistics), "statistic", "value"))
-    at = df.agg(*[c.cast("double").alias(s) for s, c in statistics.items()])
-    points = at.withColumn("__one", F.lit(1)).unpivot(
-        ["__one"], list(statistics), "statistic", "point").drop("__one")
-    return intervals(long, points, ["statistic"], replicates, ci).withColumn("n_units", F.lit(n))
+    split = {n: a for n, a in statistics.items() if isinstance(a, Aggregate)}
+    plain = {n: c for n, c in statistics.items() if n not in split}
+    parts, points, n = [], [], None
+    if split:
+        columns = sorted({c for a in split.values() for c in a.columns})
+        # a plain count keeps the row when no column needs a mean
+        means = df.agg(F.count(F.lit(1)), *[F.avg(c).cast("double") for c in columns]).first()
+        centre = {c: F.lit(float(m or 0.0)) for c, m in zip(columns, means[1:])}
+        inputs, places = {}, {}
+        for name, a in split.items():
+            away = [F.col(c).cast("double") - centre[c] for c in a.columns]
+            places[name] = [f"__{len(inputs) + i}" for i in range(len(a.sums(away)))]
+            inputs |= {k: v.cast("double") for k, v in zip(places[name], a.sums(away))}
+        values = [a.final([F.col(k) for k in places[name]], [centre[c] for c in a.columns]).cast("double").alias(name)
+                  for name, a in split.items()]
+        rows = df.select(*unit, *[v.alias(k) for k, v in inputs.items()])
+        folded, n = resampled_sums(rows, unit, [], list(inputs), replicates, seed)
+        parts.append(folded.select("rep", *values).unpivot(["rep"], list(split), "statistic", "value"))
+        whole = rows.agg(*[F.sum(k).alias(k) for k in inputs]).select(F.lit(1).alias("__one"), *values)
+        points.append(whole.unpivot(["__one"], list(split), "statistic", "point").drop("__one"))
+    if plain:
+        units, n = unit_index(df, unit)
+        drawn = _every_draw(df, n, replicates, seed).join(units, "__unit")
+        values = [c.cast("double").alias(s) for s, c in plain.items()]
+        folded = df.join(drawn, list(unit)).groupBy("rep").agg(*values)
+        parts.append(folded.unpivot(["rep"], list(plain), "statistic", "value"))
+        whole = df.agg(*values).withColumn("__one", F.lit(1))
+        points.append(whole.unpivot(["__one"], list(plain), "statistic", "point").drop("__one"))
+    long = materialise(reduce(DataFrame.unionByName, parts))
+    return intervals(long, reduce(DataFrame.unionByName, points), ["statistic"], replicates, ci).withColumn(
+        "n_units", F.lit(n))
 
 
 def bootstrap_moments(

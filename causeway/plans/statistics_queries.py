@@ -376,25 +376,25 @@ def _(t: Tables):
 
 
 @query("user_bootstrap", "N2", sql(f"""
-    WITH units AS (SELECT DISTINCT commit_sha AS unit FROM scored),
-    numbered AS (SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS u FROM units),
-    size AS (SELECT count(*) AS n FROM units),
-    every AS (SELECT rep, unnest(range(n)) AS num, n FROM range(20) r(rep), size),
-    d AS (SELECT rep, {_drawn(str(statistics._cube(42)), 'rep', 'num', 'n')} FROM every),
-    v AS (SELECT rep, unnest(['mean_p', 'rate', 'spread']) AS statistic,
-                 unnest([avg(s.p), avg(label), stddev_samp(s.p)]) AS value
-          FROM d JOIN numbered m ON m.u = d.drawn JOIN scored s ON s.commit_sha = m.unit GROUP BY rep),
-    pt AS (SELECT unnest(['mean_p', 'rate', 'spread']) AS statistic,
-                  unnest([avg(p), avg(label), stddev_samp(p)]) AS point FROM scored)
+    WITH units AS (SELECT DISTINCT commit_sha AS unit FROM scored), {_resampled(2000)},
+    cells AS (SELECT commit_sha AS unit, count(*) AS c, sum(p) AS sp, sum(p * p) AS qp, sum(label) AS sl, sum(label * p) AS xl
+              FROM scored GROUP BY 1),
+    sums AS (SELECT rep, sum(w * c) AS c, sum(w * sp) AS sp, sum(w * qp) AS qp, sum(w * sl) AS sl, sum(w * xl) AS xl
+             FROM times JOIN cells USING (unit) GROUP BY rep),
+    v AS (SELECT unnest(['mean_p', 'rate', 'spread', 'correlation']) AS statistic,
+                 unnest([sp / c, sl / c, sqrt((qp - sp * sp / c) / (c - 1)),
+                        (c * xl - sp * sl) / sqrt((c * qp - sp * sp) * (c * sl - sl * sl))]) AS value FROM sums),
+    pt AS (SELECT unnest(['mean_p', 'rate', 'spread', 'correlation']) AS statistic,
+                  unnest([avg(p), avg(label), stddev_samp(p), corr(p, label)]) AS point FROM scored)
     SELECT statistic, {r('max(point)')} AS point, {r('quantile_cont(value, 0.025)')} AS ci_lower,
-           {r('quantile_cont(value, 0.975)')} AS ci_upper, 20 - count(value) AS undefined_replicates,
+           {r('quantile_cont(value, 0.975)')} AS ci_upper, 2000 - count(value) AS undefined_replicates,
            max(n) AS n_units
     FROM v JOIN pt USING (statistic), size GROUP BY statistic""", "scored"))
 def _(t: Tables):
     return statistics.bootstrap(
         t.scored.select("commit_sha", "p", "label"), ["commit_sha"],
-        {"mean_p": F.avg("p"), "rate": F.avg("label"), "spread": F.stddev_samp("p")},
-        replicates=20)
+        {"mean_p": statistics.mean_of("p"), "rate": statistics.mean_of("label"),
+         "spread": statistics.spread_of("p"), "correlation": statistics.correlation_of("p", "label")})
 
 
 @query("user_bootstrap_moments", "N2", sql(f"""

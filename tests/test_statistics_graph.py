@@ -163,3 +163,22 @@ def test_exact_signed_rank_has_no_switch_at_fifty():
         w = n * (n + 1) / 4 - 2.0 * (n * (n + 1) * (2 * n + 1) / 24) ** 0.5
         exact = statistics.exact_signed_rank_p(math.floor(w), ranks)
         assert exact == pytest.approx(statistics.normal_signed_rank_p(math.floor(w), n, 0.0), rel=0.05)
+
+
+def test_weighed_aggregates_equal_repeated_rows(spark):
+    """The same aggregates, once as weighed sums and once over repeated rows (draws of another order)."""
+    rng = random.Random(8)
+    rows = [(i % 17, 1e6 + rng.random(), rng.random() if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "g int, v double, u double")
+    split = statistics.bootstrap(df, ["g"], {
+        "mean": statistics.mean_of("v"), "spread": statistics.spread_of("v"), "u": statistics.mean_of("u"),
+        "corr": statistics.correlation_of("v", "u"), "ratio": statistics.ratio_of(F.col("u"), F.col("v"))}, 40)
+    plain = statistics.bootstrap(df, ["g"], {
+        "mean": F.avg("v"), "spread": F.stddev_samp("v"), "u": F.avg("u"), "corr": F.corr("v", "u"),
+        "ratio": F.sum("u") / F.sum("v")}, 40)
+    a, b = ({r.statistic: r for r in x.collect()} for x in (split, plain))
+    for name in b:
+        assert a[name].point == pytest.approx(b[name].point, rel=1e-9), name
+        width = b[name].ci_upper - b[name].ci_lower
+        assert a[name].ci_lower < a[name].point < a[name].ci_upper
+        assert a[name].ci_upper - a[name].ci_lower == pytest.approx(width, rel=0.6), name
