@@ -66,11 +66,6 @@ VIEWS: dict[str, str] = {
         SELECT d.doc_id, d.source, d.lang, l.quality AS y,
                least(d.n_chars / CAST(5000 AS DOUBLE), 1.0) AS p
         FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
-    "edges": """
-        SELECT DISTINCT src, dst FROM (
-            SELECT l_partkey % 200 AS src, (l_suppkey * 7 + 3) % 200 AS dst FROM lineitem
-            WHERE l_linenumber = 1 AND l_quantity < 3) e
-        WHERE src <> dst""",
     "repeat_runs": """
         SELECT conv_id AS test_id, turn AS run,
                CASE WHEN length(text) % 4 = 1 AND turn % 3 = 2 THEN 'FAILED'
@@ -88,7 +83,7 @@ _VIEW_INPUTS: dict[str, tuple[str, ...]] = {
     "runs": ("events",), "scored": ("lineitem",), "commits": ("orders",),
     "changed_files": ("lineitem", "part"), "decisions": ("customer",),
     "outcomes": ("orders", "lineitem"), "doc_labels": ("labels", "documents"),
-    "edges": ("lineitem",), "repeat_runs": ("conversations",), "paths": ("pages",),
+    "repeat_runs": ("conversations",), "paths": ("pages",),
     "logs": ("documents",),
 }
 
