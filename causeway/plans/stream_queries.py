@@ -82,12 +82,16 @@ def _(t: Tables):
         CASE WHEN (l_partkey * 7 + l_orderkey * 13) % 100 < l_quantity THEN 1 ELSE 0 END AS label,
         l_shipdate FROM lineitem""", "lineitem").withColumn("at", micros("l_shipdate")).drop("l_shipdate")
     early = rows.filter("day < '1998-01-01'")
-    rows.filter("day >= '1998-01-01'").repartitionByRange(2, "at").write.parquet(f"{folder}/in")
-    learner = ingest.ContinualLearner(
-        early, ["a", "b"], "label", "day", "at", 1000, drift.PageHinkley(threshold=0.5),
-        ModelConfig(trees=2, depth=2))
-    learner.run(ingest.replay_files(t.spark, f"{folder}/in", rows.schema), f"{folder}/out",
-                f"{folder}/state")
+    late = rows.filter("day >= '1998-01-01'")
+    # Three runs over the same folders, files arriving between them: each goes on from the state tables.
+    for begin, end in (("1998", "1999"), ("1999", "2001"), ("2001", "2999")):
+        part = late.filter((F.col("day") >= begin) & (F.col("day") < end))
+        part.repartitionByRange(2, "at").write.mode("append").parquet(f"{folder}/in")
+        learner = ingest.ContinualLearner(
+            early, ["a", "b"], "label", "day", "at", f"{folder}/learner", 1000, drift.PageHinkley(threshold=0.5),
+            ModelConfig(trees=2, depth=2))
+        learner.run(ingest.replay_files(t.spark, f"{folder}/in", rows.schema), f"{folder}/out",
+                    f"{folder}/state")
     return t.spark.read.parquet(f"{folder}/out").select("commit", "error", "alarm", "adaptations")
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
-import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,55 +86,82 @@ def failed_run_stream(events: DataFrame, kind: str, body: str) -> DataFrame:
 class ContinualLearner:
     """Scores each micro-batch, watches its error, keeps a replay table and refits on an alarm.
 
-    ``foreachBatch`` hands micro-batches over one at a time; rows stay in Spark tables and only
-    the per-commit errors of a micro-batch (one number per commit) reach the detector.  The model
-    is refitted between micro-batches, so one commit per micro-batch gives the commit-by-commit
-    behaviour.
+    All that carries over lies in tables below ``state``, one folder per epoch: the replay buffer, the
+    model, and a row with detector and counters, written last. A micro-batch starts from the newest
+    complete epoch before its own, and what it writes replaces what a failed attempt at the same
+    epoch left behind; so a retry writes nothing twice and a restart goes on where the last run
+    ended. The model is refitted between micro-batches, so one commit per micro-batch gives the
+    commit-by-commit behaviour.
     """
 
+    _ROW = ("epoch long, mean double, total double, low double, samples long, adaptations long, "
+            "model_epoch long")
+
     def __init__(
-        self, seed: DataFrame, features: Sequence[str], label: str, commit: str, position: str,
+        self, seed: DataFrame, features: Sequence[str], label: str, commit: str, position: str, state: str,
         capacity: int = 1000, detector: drift.PageHinkley | None = None,
         config: models.ModelConfig = models.ModelConfig(),
     ) -> None:
-        self.features, self.label = list(features), label
+        self.features, self.label, self.state = list(features), label, state
         self.commit, self.position = commit, position
         self.capacity, self.config = capacity, config
         self.columns = [commit, position, label, *self.features]
         self.detector = detector or drift.PageHinkley(threshold=10.0)
-        self.buffer = self._newest(seed.select(*self.columns))
-        self.model = models.fit_risk_model(self.buffer, None, self.features, label, config)
-        self.adaptations = 0
+        self.spark = seed.sparkSession
+        if not self._epochs():
+            buffer = self._newest(seed.select(*self.columns))
+            self._save(-1, buffer, models.fit_risk_model(buffer, None, self.features, label, config),
+                       self.detector, 0, -1)
+
+    def _epochs(self) -> list[int]:
+        try:
+            rows = self.spark.read.schema(self._ROW).parquet(f"{self.state}/epochs")
+            return sorted({r.epoch for r in rows.select("epoch").collect()})  # one row per epoch
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
+                return []
+            raise
 
     def _newest(self, rows: DataFrame) -> DataFrame:
         order = [F.col(self.position).desc(), *[F.col(c).desc() for c in self.features]]
         return materialise(rows.orderBy(*order).limit(self.capacity))
 
-    def step(self, batch: DataFrame) -> DataFrame:
+    def _save(self, epoch: int, buffer: DataFrame, model: models.RiskModel | None,
+              detector: drift.PageHinkley, adaptations: int, model_epoch: int) -> None:
+        buffer.write.mode("overwrite").parquet(f"{self.state}/buffer-{epoch}")
+        if model is not None:
+            model.model.write().overwrite().save(f"{self.state}/model-{epoch}")
+        row = (epoch, detector.mean, detector.total, detector.low, detector.samples, adaptations, model_epoch)
+        self.spark.createDataFrame([row], self._ROW).write.mode("overwrite").parquet(
+            f"{self.state}/epochs/n={epoch}")
+
+    def step(self, batch: DataFrame, epoch: int) -> DataFrame:
         """Advance over one micro-batch; returns one timeline row per commit."""
+        before = max(e for e in self._epochs() if e < epoch)
+        row = self.spark.read.parquet(f"{self.state}/epochs/n={before}").first()
+        model = models.RiskModel(GBTClassificationModel.load(f"{self.state}/model-{row.model_epoch}"),
+                                 tuple(self.features))
         rows = materialise(batch.select(*self.columns))
         errors = drift.commit_errors(
-            self.model.score(rows, "p"), [], self.commit, F.col(self.position), self.label, "p")
-        timeline = []
-        for row in errors.orderBy("at", self.commit).toLocalIterator():
-            statistics, alarms, self.detector = self.detector.follow(np.array([row["error"]]))
-            statistic, alarm = statistics[0], alarms[0]
-            timeline.append((str(row[self.commit]), int(row["at"]), float(row["error"]),
-                             float(statistic), int(alarm)))
-        self.buffer = self._newest(self.buffer.unionByName(rows))
-        if any(alarm for *_rest, alarm in timeline):
-            self.adaptations += 1
-            self.model = models.fit_risk_model(
-                self.buffer, None, self.features, self.label, self.config)
-        return batch.sparkSession.createDataFrame(
-            [(*row, self.adaptations) for row in timeline],
-            "commit string, position long, error double, statistic double, alarm int, adaptations int")
+            model.score(rows, "p"), [], self.commit, F.col(self.position), self.label, "p")
+        detector = replace(self.detector, mean=row.mean, total=row.total, low=row.low, samples=row.samples)
+        traced, detector = drift.follow_stream(errors, ["at", self.commit], "error", detector)
+        traced = materialise(traced)
+        buffer = self._newest(self.spark.read.parquet(f"{self.state}/buffer-{before}").unionByName(rows))
+        fresh, adaptations, model_epoch = None, row.adaptations, row.model_epoch
+        if not traced.filter("alarm = 1").isEmpty():
+            fresh = models.fit_risk_model(buffer, None, self.features, self.label, self.config)
+            adaptations, model_epoch = adaptations + 1, epoch
+        self._save(epoch, buffer, fresh, detector, adaptations, model_epoch)
+        return traced.select(
+            F.col(self.commit).cast("string").alias("commit"), F.col("at").cast("long").alias("position"),
+            "error", "statistic", "alarm", F.lit(adaptations).cast("int").alias("adaptations"))
 
     def run(self, stream: DataFrame, path: str, checkpoint: str) -> None:
-        """Consume everything available now and append the timeline to a Parquet table."""
-        def advance(batch: DataFrame, _epoch: int) -> None:
+        """Consume everything available now; the timeline of an epoch is a folder of its own."""
+        def advance(batch: DataFrame, epoch: int) -> None:
             if not batch.isEmpty():
-                self.step(batch).write.mode("append").parquet(path)
+                self.step(batch, epoch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
         query = (stream.writeStream.foreachBatch(advance)
                  .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
