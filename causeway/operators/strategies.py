@@ -115,10 +115,9 @@ def scored(
     df: DataFrame, commit: str, score: str, identity: Sequence[str], budget: float
 ) -> DataFrame:
     """The top share by a model score; a missing score is an error, never a default."""
-    checked = df.withColumn(score, F.coalesce(
-        F.col(score), F.raise_error(F.lit("a row carries no model score"))))
-    return _top_share(
-        checked, commit, [ordering.desc(score), *[F.col(c) for c in identity]], budget)
+    share = _top_share(df, commit, [ordering.desc(score), *[F.col(c) for c in identity]], budget)
+    return share.withColumn("selected", F.when(F.col(score).isNull(), F.raise_error(
+        F.lit("a row carries no model score"))).otherwise(F.col("selected")))
 
 
 def with_scorer(
