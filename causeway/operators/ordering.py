@@ -64,6 +64,11 @@ def sort_columns(order: Order) -> list[Column]:
     return [k.sort() for k in order_keys(order)]
 
 
+def sorted_by(order: Order) -> list[Column | str]:
+    """Arguments of ``orderBy``; Columns with a direction of their own are taken as they are."""
+    return [c.sort() if isinstance(c, Key) else c for c in order]
+
+
 def order_buckets(df: DataFrame) -> int:
     """Shares of an order's range: as many as the session has shuffle partitions, unless set."""
     conf = df.sparkSession.conf
@@ -107,10 +112,9 @@ def _bucketed(df: DataFrame, order: Sequence[Key]) -> DataFrame:
         F.min("c").alias("__low"), F.max("c").alias("__high"))
     code, low, high = F.col("__code"), F.col("__low"), F.col("__high")
     share = F.nanvl((code - low) / (high - low) * buckets, F.lit(0.0))
-    share = F.when(F.isnan(code), buckets).when(code >= high, buckets - 1).otherwise(
-        F.least(F.floor(share), F.lit(buckets - 1)))
     null = buckets + 1 if key.last != key.descending else -1
-    level = F.coalesce(share, F.lit(null)).cast("long")
+    level = (F.when(code.isNull(), null).when(F.isnan(code), buckets).when(code >= high, buckets - 1)
+             .otherwise(F.least(F.floor(share), F.lit(buckets - 1)))).cast("long")
     joined = coded.join(F.broadcast(ends))  # one row
     return joined.withColumn("__b", place * (2 * buckets + 8) + (-level if key.descending else level)).drop(
         "__code", "__low", "__high")

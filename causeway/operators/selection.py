@@ -185,11 +185,11 @@ def risk_coverage_sweep(
 
 def page(df: DataFrame, order: Sequence[Column], skip: int, limit: int) -> DataFrame:
     """Offset and limit listing under a total order."""
-    return df.orderBy(*order).offset(skip).limit(limit)
+    return df.orderBy(*ordering.sorted_by(order)).offset(skip).limit(limit)
 
 
 def global_topk(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    return df.orderBy(*order).limit(k)
+    return df.orderBy(*ordering.sorted_by(order)).limit(k)
 
 
 def top_features(importances: DataFrame, k: int = 20) -> DataFrame:

@@ -60,3 +60,12 @@ def test_running_sums_do_not_depend_on_partitioning(values):
             df, ["k"], [F.col("v"), F.col("id")], sums={"s": F.col("v")}).collect())
 
     assert scan(values) == scan(values.repartition(11, "id"))
+
+
+def test_nulls_and_nans_keep_their_place(spark, hot):
+    data = [(0, None), (1, 2.0), (2, float("nan")), (3, -1.0), (4, None), (5, float("inf"))]
+    df = spark.createDataFrame(data, "id int, v double")
+    for key, order in ((ordering.asc("v"), [0, 4, 3, 1, 5, 2]), (ordering.desc("v"), [2, 5, 1, 3, 0, 4]),
+                       (ordering.asc("v", nulls_last=True), [3, 1, 5, 2, 0, 4])):
+        ranked = ordering.row_rank(df, [], [key, F.col("id")]).orderBy("rank").collect()
+        assert [r.id for r in ranked] == order
