@@ -37,3 +37,33 @@ def test_op8_counts_every_kind(spark, tmp_path):
         assert [row[f"n_{n}"] for n in names] == [sum(k == i for _, k, _ in spans) for i in range(3)], row
         assert row.base_sha256 == sha(",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans))
     assert len(found) == len(texts)
+
+
+def luhn(digits):
+    turned = [int(d) for d in reversed(digits)]
+    return sum(turned[::2] + [d // 5 + d * 2 % 10 for d in turned[1::2]]) % 10 == 0
+
+
+def personal(text):
+    """(kind, start, end) of the contract's patterns."""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    found = (
+        [m for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)],
+        [m for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+         if all(int(p) <= 255 for p in m[0].split("."))],
+        [m for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))],
+        [m for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15])
+    return [(k, *m.span()) for k, kind in enumerate(found) for m in kind]
+
+
+def test_op11_counts_every_kind(spark, tmp_path):
+    card = "4111 1111 1111 1111"
+    texts = [None, "", "a@b.cd e@f.gh i@j.kl", f"{card}, {card}", "1.2.3.4 and 255.0.0.1 and 256.1.1.1",
+             f"é𝔸 +44 20 7946 0958 and +1 (202) 555-0143; {card} x@y.z 10.0.0.1", "@@a@b@c.de +1"]
+    found = queries.op11_personal_data(spark, written(spark, tmp_path, texts)).collect()
+    names = ("email", "ip", "card", "phone")
+    for row in found:
+        spans = personal(texts[row.doc_id] or "")
+        assert [row[f"n_{n}"] for n in names] == [sum(k == i for k, _, _ in spans) for i in range(4)], row
+        assert row.base_sha256 == sha(",".join(f"{names[k]}:{s}:{e}" for k, s, e in spans))
+    assert len(found) == len(texts)
