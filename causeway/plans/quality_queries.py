@@ -213,9 +213,9 @@ def _(t: Tables):
 
 @query("assemble_evidence", "B13", f"""{_CONTEXT},
     b AS (SELECT run_id % 200 AS run, lpad(CAST(run_id AS STRING), 9, '0') AS name, context FROM c
-          WHERE trim(context) <> ''),
+          WHERE regexp_matches(context, '{quality.INK}')),
     a AS (SELECT run, substr(string_agg('--- ' || name || ' ---' || chr(10) || context,
-          chr(10) || chr(10) ORDER BY name), 1, 5000) AS evidence FROM b GROUP BY run)
+          chr(10) || chr(10) ORDER BY name, context), 1, 5000) AS evidence FROM b GROUP BY run)
     SELECT r.run, sha256(evidence) AS digest, length(evidence) AS n,
            CASE WHEN evidence IS NULL THEN 'no readable evidence' END AS error
     FROM (SELECT DISTINCT doc_id % 200 AS run FROM documents) r LEFT JOIN a ON r.run = a.run""")

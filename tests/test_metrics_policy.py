@@ -137,3 +137,13 @@ def test_sample_digest_streams_over_any_group(spark):
                      "c": digest([])}
     large = spark.range(1_100_000).select(F.lit("all").alias("g"), F.col("id").cast("string").alias("id"))
     assert metrics.sample_digest(large, ["g"], "id").first().digest == digest([str(i) for i in range(1_100_000)])
+
+
+def test_evidence_order_leaves_no_ties(spark):
+    """Equal names go by their text, and white space of any kind is no evidence."""
+    texts = [f"line {i:02d}" for i in range(30)]
+    df = frame(spark, [("r", "a", t) for t in reversed(texts)] + [("e", "a", " \n\t ")],
+               "run string, name string, context string").repartition(7)
+    out = {r.run: r for r in quality.assemble_evidence(df, "run", "name", "context", 60).collect()}
+    assert out["r"].evidence == "\n\n".join(f"--- a ---\n{t}" for t in texts)[:60]
+    assert out["e"].evidence is None and out["e"].error
