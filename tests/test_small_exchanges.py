@@ -25,9 +25,25 @@ def test_commits_take_only_keys_that_the_other_side_has(spark):
         spark.createDataFrame(files, "commit int, path string"), "test", "module", "path", ["commit"])
     assert {tuple(r) for r in found.collect()} == {
         (c, t, p) for c, t, m in imports for d, p in files if c == d and fits(m, p)}
-    # the derived keys are worked out on distinct strings, before the commits are joined
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert not [line for line in plan.splitlines() if "Generate explode" in line and "commit" in line]
+    assert not cut_with_commits(found)
+
+
+def cut_with_commits(df):
+    """Plan lines of rows with their commit that are multiplied by the parts of a name."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return [below for line, below in zip(lines, lines[1:])
+            if "Generate explode" in line and "sequence" in line and "commit" in below]
+
+
+def test_containment_cuts_distinct_names(spark):
+    rng = random.Random(8)
+    needles = [(rng.randrange(9), rng.choice(["", "a", "bolt", "ring", "gear_box", None])) for _ in range(40)]
+    hays = [(rng.randrange(9), rng.choice(["ring_bolt", "gear_box_test", "xa", "", None, "bo"])) for _ in range(60)]
+    found = joins.containments(spark.createDataFrame(needles, "commit int, n string"),
+                               spark.createDataFrame(hays, "commit int, h string"), ["commit"], "n", "h")
+    assert sorted(map(tuple, found.collect())) == sorted(
+        {(c, n, h) for c, n in needles for d, h in hays if c == d and None not in (n, h) and n in h})
+    assert not cut_with_commits(found)
 
 
 def test_attribution_ranks_are_limited_before_the_exchange(spark):
