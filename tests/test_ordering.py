@@ -69,3 +69,20 @@ def test_nulls_and_nans_keep_their_place(spark, hot):
                        (ordering.asc("v", nulls_last=True), [3, 1, 5, 2, 0, 4])):
         ranked = ordering.row_rank(df, [], [key, F.col("id")]).orderBy("rank").collect()
         assert [r.id for r in ranked] == order
+
+
+@pytest.mark.parametrize("make", [
+    ordering.asc, ordering.desc, lambda c: ordering.asc(c, nulls_last=True)])
+def test_structs_are_cut_by_their_fields(spark, hot, make):
+    key = make("s")
+    rng = random.Random(5)
+    data = [(i, None if i % 50 == 0 else (
+        None if i % 9 == 0 else rng.randrange(40), None if i % 25 == 1 else (rng.randrange(3), "x")))
+        for i in range(400)]
+    df = spark.createDataFrame(data, "id int, s struct<a:int,b:struct<c:int,d:string>>")
+    ranked = ordering.row_rank(df, [], [key, F.col("id")]).orderBy("rank").collect()
+    assert [r.id for r in ranked] == [r.id for r in df.orderBy(key.sort(), "id").collect()]
+    cuts = ordering._bucketed(df, [key, ordering.asc("id")]).groupBy("__b").count().collect()
+    buckets = ordering.order_buckets(df)
+    assert len(cuts) > min(buckets, 8)  # one bucket would be one task's whole group
+    assert buckets < 8 or max(r["count"] for r in cuts) < 200
