@@ -206,23 +206,49 @@ def threshold_policy_rows(
         "__c", "__u", "__o", "__r")
 
 
+# The highest status of an item in text order, as a number: a number is summed up without sorting rows.
+_ERROR, _FAILED, _SKIPPED = 1, 3, 5
+
+
+def _level(status: Column) -> Column:
+    level = F.when(status.isNull(), F.lit(None))
+    for text, at in (("ERROR", _ERROR), ("FAILED", _FAILED), ("SKIPPED", _SKIPPED)):
+        level = level.when(status < text, at - 1).when(status == text, at)
+    return level.otherwise(_SKIPPED + 1)
+
+
+def _outcomes(
+    universe: DataFrame, observed: DataFrame, group: str, item: str, status: str
+) -> DataFrame:
+    """Every (group, item) of the universe once, with ``__vanished``, ``__killed`` and ``__skipped``.
+
+    Both tables are added up together, in one exchange and without a join of the two.
+    """
+    level = F.lit(None).cast("int")
+    expected = universe.select(group, item, F.lit(True).alias("__expected"), level.alias("__level"))
+    seen = observed.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).select(
+        group, item, F.lit(False).alias("__expected"), _level(F.col(status)).cast("int").alias("__level"))
+    folded = expected.unionByName(seen).groupBy(group, item).agg(
+        F.max("__expected").alias("__expected"), F.max("__level").alias("__level"))
+    vanished = F.col("__level").isNull()
+    return folded.filter("__expected").select(
+        group, item, vanished.alias("__vanished"),
+        (vanished | F.col("__level").isin(_FAILED, _ERROR)).alias("__killed"),
+        F.coalesce(F.col("__level") == _SKIPPED, F.lit(False)).alias("__skipped"))
+
+
 def run_status(
     universe: DataFrame, observed: DataFrame, group: str, item: str, status: str,
     flags: DataFrame, broke_ratio: float,
 ) -> DataFrame:
     """Kill set of every group: universe items that fail, err or vanish (skipping is not one).
 
-    ``universe`` has the expected (group, item) rows, ``flags`` has timed_out and
+    ``universe`` has the expected (group, item) rows, which may repeat; ``flags`` has timed_out and
     timeout_enforced per group.
     """
-    seen = observed.groupBy(group, item).agg(F.max(status).alias("__status"))
-    joined = universe.select(group, item).join(seen, [group, item], "left")
-    vanished = F.col("__status").isNull()
-    killed = vanished | F.col("__status").isin("FAILED", "ERROR")
-    counts = joined.groupBy(group).agg(
-        F.count(F.lit(1)).alias("universe_size"), F.count_if(killed).alias("n_killed"),
-        F.count_if(vanished).alias("n_missing"),
-        F.count_if(F.coalesce(F.col("__status") == "SKIPPED", F.lit(False))).alias("n_skipped"))
+    counts = _outcomes(universe, observed, group, item, status).groupBy(group).agg(
+        F.count(F.lit(1)).alias("universe_size"), F.count_if("__killed").alias("n_killed"),
+        F.count_if("__vanished").alias("n_missing"), F.count_if("__skipped").alias("n_skipped"))
     share = ratio(F.col("n_killed"), F.col("universe_size"))
     verdict = (
         F.when(~F.col("timeout_enforced").cast("boolean"), F.lit("timeout_broken"))
@@ -234,12 +260,8 @@ def run_status(
 
 
 def killed_items(universe: DataFrame, observed: DataFrame, group: str, item: str, status: str):
-    """The killed (group, item) rows themselves; every other universe row is label 0."""
-    seen = observed.groupBy(group, item).agg(F.max(status).alias("__status"))
-    joined = universe.select(group, item).join(seen, [group, item], "left")
-    return joined.filter(
-        F.col("__status").isNull() | F.col("__status").isin("FAILED", "ERROR")
-    ).select(group, item)
+    """The killed (group, item) rows themselves, each once; every other universe row is label 0."""
+    return _outcomes(universe, observed, group, item, status).filter("__killed").select(group, item)
 
 
 def defect_status(df: DataFrame) -> DataFrame:

@@ -571,7 +571,7 @@ _FLAGS = """SELECT o_orderkey AS mutant, o_custkey % 11 = 0 AS timed_out,
     FROM ({_FLAGS}) f JOIN c ON f.mutant = c.mutant""")
 def _(t: Tables):
     universe = t.lineitem.select(F.col("l_orderkey").alias("mutant"),
-                                 F.col("l_partkey").alias("test_id")).distinct()
+                                 F.col("l_partkey").alias("test_id"))
     return policy.run_status(universe, t.select(_OBSERVED, "lineitem"), "mutant", "test_id",
                              "status", t.select(_FLAGS, "orders"), 0.8)
 
