@@ -125,26 +125,26 @@ def cross_features(
     rows = df.withColumns({
         changed: F.coalesce(F.col(changed), F.lit("")),
         test_path: F.coalesce(F.col(test_path), F.lit(""))})
-    # Path features once per distinct pair.  The join and the co-change window use the same
-    # keys, so the observation rows are shuffled once for both.
-    left, right = F.col(changed), F.col(test_path)
+    # Texts are compared once per distinct combination, however many rows hold it.
+    left, right = F.col("__left"), F.col("__right")
     tokens = text.identifier_tokens
-    pairs = rows.select(changed, test_path).distinct().withColumns({
+    texts = rows.select(F.col(changed).alias("__left"), F.col(test_path).alias("__right"),
+                        F.col(function).alias("__function")).distinct().withColumns({
         "__changed": tokens(left), "__test": tokens(right),
         "path_overlap": text.path_overlap(left, right),
         "same_module": (text.module_of(left) == text.module_of(right)).cast("int"),
-    })
-    pairs = pairs.withColumn(
-        "file_test_similarity", text.dice(F.col("__changed"), F.col("__test"))).drop("__test")
+    }).withColumns({
+        "file_test_similarity": text.dice(F.col("__changed"), F.col("__test")),
+        "lexical_similarity": text.jaccard(F.col("__changed"), tokens(F.col("__function"))),
+    }).drop("__changed", "__test")
     if depth is None:
         distance = 1 - F.col("path_overlap")
     else:
         near = F.col(reachable).cast("boolean") if reachable else F.col(depth) > 0
         distance = F.coalesce(F.when(near, F.col(depth).cast("double")), F.lit(99.0))
-    joined = rows.join(pairs, [changed, test_path]).withColumns({
-        "lexical_similarity": text.jaccard(F.col("__changed"), tokens(F.col(function))),
-        "dependency_distance": distance,
-    }).drop("__changed")
+    same = (F.col(changed) == left) & (F.col(test_path) == right) & F.col(function).eqNullSafe(F.col("__function"))
+    joined = rows.join(texts, same).withColumn("dependency_distance", distance).drop(
+        "__left", "__right", "__function")
     return history.co_change_rate(joined, changed, test_path, ts, ties, label)
 
 

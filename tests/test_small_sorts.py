@@ -1,16 +1,25 @@
 """Jobs that once sorted, joined or compared more rows than their results need."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from causeway.operators import policy
+from causeway.operators import features, joins, policy
 
 
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def compared_on(df, name):
+    """By how many columns the rows are distinct that a similarity is worked out for."""
+    lines = plan_of(df).splitlines()
+    at = next(i for i, line in enumerate(lines) if f" AS {name}#" in line and "transform(" in line)
+    below = next(line for line in lines[at:] if "Aggregate [" in line or "Relation" in line or "RDD" in line)
+    return len(re.search(r"Aggregate \[([^\]]*)\]", below)[1].split(", "))
+
+
 def test_statuses_are_folded_as_numbers_without_a_join(spark):
     rng = random.Random(7)
     names = ["ERROR", "FAILED", "PASSED", "SKIPPED", "A", "EZ", "FZ", "Z", "", None]
@@ -33,3 +42,19 @@ def test_statuses_are_folded_as_numbers_without_a_join(spark):
     assert set(got) == set(range(8))
     plan = plan_of(found)
     assert plan.count("Join ") == 1 and "max(s#" not in plan
+
+
+def test_paths_are_compared_once_per_combination(spark):
+    data = [(i, f"tests/test_{i % 3}x.py", f"src/m{i % 2}x.py" if i % 5 else None) for i in range(60)]
+    rows = spark.createDataFrame(data, "id int, t string, c string").union(
+        spark.createDataFrame([(1, None, "src/a.py"), (1, None, None)], "id int, t string, c string"))
+    found = joins.nearest_source(rows, ["id"], "t", "c")
+    assert compared_on(found, "__sim") == 2
+    assert found.count() == 61 and found.filter("t IS NULL").first().similarity == 0
+    assert found.filter("nearest IS NULL").count() == 13  # a null file comes first among equals
+
+    wide = rows.withColumns({"fn": F.when(F.col("id") % 7 > 0, "test_m1x"), "ts": F.col("id"), "y": F.lit(1)})
+    crossed = features.cross_features(wide, "c", "t", "fn", "ts", ["id"], "y")
+    assert crossed.count() == 62 and set(wide.columns) <= set(crossed.columns)
+    assert compared_on(crossed, "lexical_similarity") == 3
+    assert crossed.filter("fn IS NULL AND lexical_similarity <> 0").count() == 0
