@@ -2,10 +2,12 @@
 
 import random
 import re
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from causeway.operators import features, joins, policy
+from causeway.plans import registry
 
 
 def plan_of(df):
@@ -58,3 +60,32 @@ def test_paths_are_compared_once_per_combination(spark):
     assert crossed.count() == 62 and set(wide.columns) <= set(crossed.columns)
     assert compared_on(crossed, "lexical_similarity") == 3
     assert crossed.filter("fn IS NULL AND lexical_similarity <> 0").count() == 0
+
+
+def test_touches_are_counted_side_by_side_and_once(spark, hot, tmp_path):
+    """Repeated commits, lines and files, files and commits without a name or a time."""
+    rng = random.Random(30)
+    days = [datetime(2024, 1, 1) + timedelta(days=d) for d in range(0, 40, 2)]
+    orders = [(k, rng.choice([*days, None])) for k in range(90)]
+    orders += [(1, days[3]), (1, days[3]), (2, days[5]), (None, days[6])]
+    lines = [(rng.choice([*range(100), None]), rng.randrange(9)) for _ in range(500)] + [(1, 1)] * 5
+    parts = [(k, None if k == 8 else f"n{k % 6}") for k in range(9)]  # 6 and 7 are files 0 and 1 again
+    spark.createDataFrame(orders, "o_orderkey bigint, o_orderdate timestamp").selectExpr(
+        "*", "1L o_custkey", "'F' o_orderstatus", "'1' o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").selectExpr(
+        "*", "1L l_suppkey", "1 l_linenumber", "1D l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string").selectExpr(
+        "*", "'b' p_brand", "'t' p_type").write.parquet(f"{tmp_path}/part.parquet")
+
+    names = dict(parts)
+    touches = [(c, names[p], ts) for c, p in lines for k, ts in orders if c is not None and c == k and ts and names[p]]
+    wanted = {}
+    for c, p, ts in set(touches):
+        wanted[c] = wanted.get(c, 0) + sum(q == p and earlier < ts for _, q, earlier in touches)
+    found = registry.queries()["prior_modifications"](spark, str(tmp_path))
+    assert {r.commit_sha: r.prior_mod_count for r in found.collect()} == wanted
+
+    plan = plan_of(found)
+    hashed = [line.split("[")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert not any("commit_sha" in keys and "path" in keys for keys in hashed)
+    assert "max(" not in plan  # no pass of its own over the touches for the ends of their times
