@@ -33,3 +33,7 @@ def test_a_stream_is_ordered_by_one_column_as_time_and_index(spark, hot):
 
 def test_the_experiment_runs(spark):
     assert registry.queries()["drift_experiment"](spark, "/root/testdata/sf0.001").count() == 15
+
+
+def test_the_stationary_part_runs(spark):
+    assert registry.queries()["drift_stationary"](spark, "/root/testdata/sf0.001").count() == 15
