@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,64 +67,114 @@ def distances_to(edges: DataFrame, targets: DataFrame, max_depth: int | None = N
     return known
 
 
-def _useful_nodes(edges: DataFrame, tests: DataFrame) -> DataFrame:
-    """(node) that any wanted test imports, however indirectly, and the tests in the graph.
+# How many commits have their places in one row of a node: enough to fold most rows of a node into
+# one, few enough that a node that everything imports stays a small row.
+_PLACES = 4096
 
-    One search from all tests together; a node is stored once, whatever the number of tests.
-    """
-    known = materialise(tests.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi"))
-    frontier = known
-    while True:
-        reached = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"))
-        frontier = materialise(reached.distinct().join(known, "node", "left_anti"))
+
+def _folded(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(commit, node) rows as (node, part, places): a node once per part of the commits, with a list."""
+    return rows.join(ids, "commit").groupBy("node", "part").agg(F.array_distinct(F.collect_list("place")).alias("places"))
+
+
+def _moved(frontier: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """One step along ``edges`` (node, next): (node, part, all, fresh), without and with what is known."""
+    steps = frontier.join(edges, "node").select(F.col("next").alias("node"), "part", F.col("places").alias("new"))
+    old = known.select("node", "part", F.col("places").alias("old"))
+    met = steps.unionByName(old, True).groupBy("node", "part").agg(
+        F.flatten(F.collect_list("new")).alias("new"), F.flatten(F.collect_list("old")).alias("old"))
+    return met.filter(F.size("new") > 0).select("node", "part", F.col("new").alias("all"),
+                                                F.array_except("new", "old").alias("fresh"))
+
+
+def _within(rows: DataFrame, name: str, others: DataFrame) -> DataFrame:
+    """What the lists ``name`` and the places of ``others`` share, as (node, part, places)."""
+    kept = rows.select("node", "part", name).join(others.select("node", "part", F.col("places").alias("__other")),
+                                                  ["node", "part"])
+    return kept.select("node", "part", F.array_intersect(name, "__other").alias("places")).filter(F.size("places") > 0)
+
+
+def _near_parts(back: DataFrame, files: DataFrame) -> DataFrame:
+    """(node, part) of the nodes from which a file can be reached that some commit of the part changes."""
+    known = frontier = materialise(files.select("node", "part").distinct())
+    for level in itertools.count(1):
+        steps = frontier.join(back, "node").select(F.col("next").alias("node"), "part").distinct()
+        frontier = materialise(steps.join(known, ["node", "part"], "left_anti"))
         if frontier.isEmpty():
-            return known
+            return materialise(known)
         known = known.unionByName(frontier)
+        if level % 5 == 0:
+            known = materialise(known)
 
 
 def nearest_change(edges: DataFrame, changed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(commit, node, depth): shortest import distance from a node to a changed file of the commit.
+    """(commit, node, depth, direct) of every wanted row with a path to a changed file of its commit.
 
     ``edges`` (src, dst; distinct), ``changed`` (commit, node) and ``wanted`` (commit, node) with the
-    tests in question. The search runs backwards from all changed files of a commit at once. It is
-    pruned from both ends: it keeps to nodes that some wanted test imports, and a commit leaves it
-    once all its tests are settled. What is stored is bounded by commits x useful nodes; a level
-    is one job. Every wanted row that has a distance is in the result.
+    tests in question; ``depth`` is the shortest import distance, ``direct`` says whether the node itself
+    imports a changed file. The first search finds which nodes have a path to a file that any commit of
+    a part changes, the second, among those, what a commit's own tests import, however indirectly; the
+    third runs backwards from all files of a commit at once and keeps to that. A node carries its
+    commits as lists, so a level exchanges nodes and not (commit, node) rows; what is stored is bounded
+    by commits x nodes that their tests import. A level is one job.
     """
-    useful = materialise(_useful_nodes(edges, wanted.select("node").distinct()))
-    back = materialise(edges.join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi").join(
-        useful.withColumnRenamed("node", "src"), "src", "left_semi").select(
-        F.col("dst").alias("node"), F.col("src").alias("next")))
-    tests = materialise(wanted.distinct().join(useful, "node", "left_semi").select("commit", "node"))
-    known = materialise(changed.distinct().join(useful, "node", "left_semi").select(
-        "commit", "node", F.lit(0).alias("depth")))
-    frontier, depth = known, 0
-    while True:
-        depth += 1
-        open_ = tests.join(known, ["commit", "node"], "left_anti").select("commit").distinct()
-        reached = frontier.join(open_, "commit", "left_semi").join(back, "node").select(
-            "commit", F.col("next").alias("node")).distinct()
-        frontier = materialise(reached.join(known, ["commit", "node"], "left_anti").withColumn(
-            "depth", F.lit(depth)))
+    edges = materialise(edges.filter("src <> dst").select("src", "dst"))
+    onward = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next"))
+    commits = wanted.select("commit").distinct().join(changed.select("commit").distinct(), "commit", "left_semi")
+    numbered = materialise(commits.orderBy("commit").select("commit", F.monotonically_increasing_id().alias("id")))
+    id_ = F.col("id")
+    ids = numbered.select("commit", F.floor(id_ / _PLACES).alias("part"), (id_ % _PLACES).cast("int").alias("place"))
+    tests, files = materialise(_folded(wanted, ids)), materialise(_folded(changed, ids))
+
+    near = _near_parts(back, files)
+    tests = materialise(tests.join(near, ["node", "part"], "left_semi"))
+    imported = frontier = tests
+    for level in itertools.count(1):
+        found = _moved(frontier, onward, imported).select("node", "part", F.col("fresh").alias("places"))
+        frontier = materialise(found.filter(F.size("places") > 0).join(near, ["node", "part"], "left_semi"))
         if frontier.isEmpty():
-            return known
+            break
+        imported = imported.unionByName(frontier)
+        if level % 5 == 0:  # keep the union of levels flat
+            imported = materialise(imported)
+    imported = materialise(imported)
+
+    frontier = known = materialise(_within(files, "places", imported))
+    depths, direct = [known.withColumn("depth", F.lit(0))], None
+    for level in itertools.count(1):
+        moved = _moved(frontier, back, known)
+        if direct is None:
+            moved = materialise(moved)
+            direct = _within(moved, "all", tests)
+        frontier = materialise(_within(moved, "fresh", imported))
+        if frontier.isEmpty():
+            break
         known = known.unionByName(frontier)
+        depths.append(frontier.withColumn("depth", F.lit(level)))
+        if level % 5 == 0:
+            known, depths = materialise(known), [materialise(reduce(DataFrame.unionByName, depths))]
+    settled = reduce(DataFrame.unionByName, depths).join(
+        tests.withColumnRenamed("places", "__tests"), ["node", "part"]).select(
+        "node", "part", F.explode(F.array_intersect("places", "__tests")).alias("place"), "depth")
+    hits = direct.select("node", "part", F.explode("places").alias("place"), F.lit(1).alias("direct"))
+    both = settled.unionByName(hits, True).groupBy("node", "part", "place").agg(
+        F.min("depth").alias("depth"), F.max("direct").alias("direct"))
+    return both.join(ids, ["part", "place"]).select("commit", "node", "depth", "direct")
 
 
 def dependency_features(
     pairs: DataFrame, changed: DataFrame, edges: DataFrame, commit: str, test: str, path: str
 ) -> DataFrame:
     """Dependency features of every (commit, test) row against the commit's changed files."""
-    edges = materialise(edges.select("src", "dst").distinct())
+    pairs, edges = materialise(pairs), materialise(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    files = changed.select(F.col(commit).alias("commit"), F.col(path).alias("node")).distinct()
+    files = materialise(changed.select(F.col(commit).alias("commit"), F.col(path).alias("node")).distinct())
     in_graph = materialise(files.join(nodes, "node", "left_semi").select("commit", "node"))
     wanted = pairs.select(F.col(commit).alias("commit"), F.col(test).alias("node"))
     nearest = nearest_change(edges, in_graph, wanted).select(
-        F.col("commit").alias(commit), F.col("node").alias(test), F.col("depth").alias("__depth"))
-    direct = edges.filter("src <> dst").select(F.col("src").alias(test), F.col("dst").alias("node")).join(
-        in_graph, "node").select(F.col("commit").alias(commit), test).distinct().withColumn(
-        "__direct", F.lit(1))
+        F.col("commit").alias(commit), F.col("node").alias(test), F.col("depth").alias("__depth"),
+        F.col("direct").alias("__direct"))
     reverse = edges.groupBy(F.col("dst").alias("node")).agg(F.count("src").alias("__in"))
     most = in_graph.join(reverse, "node", "left").groupBy(F.col("commit").alias(commit)).agg(
         F.max(F.coalesce("__in", F.lit(0))).alias("__reverse"))
@@ -130,7 +182,7 @@ def dependency_features(
     coupled = _name_coupled(pairs, files, commit, test)
     both = [commit, test]
     joined = (
-        pairs.join(nearest, both, "left").join(direct, both, "left").join(coupled, both, "left")
+        pairs.join(nearest, both, "left").join(coupled, both, "left")
         .join(most, commit, "left").join(out, test, "left"))
     return joined.select(
         *pairs.columns,
@@ -144,10 +196,13 @@ def dependency_features(
 
 def _name_coupled(pairs: DataFrame, files: DataFrame, commit: str, test: str) -> DataFrame:
     """(commit, test) rows whose bare stem is contained in a changed stem of the commit."""
-    stems = files.select("commit", text.file_stem(F.col("node").cast("string")).alias("stem"))
+    # Names are cut once per distinct string, not once per row and use.
+    stems = materialise(files.join(files.select("node").distinct().withColumn(
+        "stem", text.file_stem(F.col("node").cast("string"))), "node").select("commit", "stem").distinct())
     bare = F.regexp_replace(F.regexp_replace(
         text.file_stem(F.col(test).cast("string")), "test_", ""), "_test", "")
-    tests = pairs.select(F.col(commit).alias("commit"), test, bare.alias("bare")).distinct()
+    names = pairs.select(test).distinct().withColumn("bare", bare)
+    tests = materialise(pairs.select(F.col(commit).alias("commit"), test).distinct().join(names, test))
     found = joins.containments(tests, stems, ["commit"], "bare", "stem").select("commit", "bare").distinct()
     return tests.join(found, ["commit", "bare"], "left_semi").select(
         F.col("commit").alias(commit), test).distinct().withColumn("__coupled", F.lit(1))
